@@ -163,19 +163,11 @@ def rate(
 
     Events are first counted per slide (reduced before the shuffle); only
     those counts are repeated into the windows they belong to."""
-    slot = F.window(time_col, f"{slide_seconds} seconds")
-    counts = df.groupBy(slot.alias("_slot"), *by).agg(F.count("*").alias("_n"))
-    steps = width_seconds // slide_seconds
-    start = F.col("_slot.start")
-    spread = counts.select(
-        *by, "_n",
-        F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"), start.alias("_start"),
-    ).select(
-        *by, "_n",
-        (F.col("_start") + F.make_dt_interval(secs=(F.col("_i") + 1) * slide_seconds)).alias("window_end"),
-    )
-    return spread.groupBy("window_end", *by).agg(
-        (F.sum("_n") / float(width_seconds)).alias("per_second")
+    slide, width = f"{slide_seconds} seconds", f"{width_seconds} seconds"
+    counts = df.groupBy(F.window(time_col, slide).alias("slot"), *by).agg(F.count("*").alias("_n"))
+    look_back = F.window(F.window_time("slot"), width, slide).alias("look_back")
+    return counts.groupBy(look_back, *by).agg((F.sum("_n") / float(width_seconds)).alias("per_second")).select(
+        F.col("look_back.end").alias("window_end"), *by, "per_second"
     )
 
 
