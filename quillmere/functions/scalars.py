@@ -34,9 +34,12 @@ def merge_maps(base: Column, override: Column) -> Column:
     """Map union in which ``override`` wins, whatever the session's
     duplicate-key policy is."""
     empty = F.create_map().cast("map<string,string>")
-    base, override = F.coalesce(base, empty), F.coalesce(override, empty)
-    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(override, k))
-    return F.map_concat(kept, override)
+    base = F.coalesce(base, empty)
+
+    def merge(new: Column) -> Column:
+        return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+    return let(F.coalesce(override, empty), merge)
 
 
 def megabytes(size: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quillmere.functions.scalars import let
+
 # Unicode white space: (?U) makes Java's \s cover it, bar four separators.
 SPACE = r"\s\x1C-\x1F"
 HORIZONTAL_SPACE = r"[^\S\n]\x1C-\x1F"
@@ -167,12 +169,15 @@ def unescape(text: Column) -> Column:
     """Resolve the character references that occur in the text; the ampersand
     is last so that an escaped reference is resolved once."""
     ampersand = r"&(?:amp|#38|#[xX]26);"
-    found = F.filter(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#?[0-9A-Za-z]+;"), F.lit(0))),
-        lambda e: ~e.rlike(f"^{ampersand}$"),
-    )
-    resolved = F.aggregate(found, text, lambda acc, e: F.replace(acc, e, _resolve(e)))
-    return F.regexp_replace(F.when(F.size(found) > 0, resolved).otherwise(text), ampersand, "&")
+
+    def resolve(t: Column) -> Column:
+        found = F.filter(
+            F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#?[0-9A-Za-z]+;"), F.lit(0))),
+            lambda e: ~e.rlike(f"^{ampersand}$"),
+        )
+        return F.aggregate(found, t, lambda acc, e: F.replace(acc, e, _resolve(e)))
+
+    return F.regexp_replace(let(text, resolve), ampersand, "&")
 
 
 def html_to_text(html: Column) -> Column:
@@ -220,17 +225,19 @@ def csv_records(content: Column) -> Column:
 
 def csv_digest_text(name: Column, content: Column, sample: int = 10) -> Column:
     """Readable digest of one CSV file: columns, row count, leading rows."""
-    records = csv_records(content)
-    columns = F.transform(
-        F.split(F.element_at(records, 1), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))
-    )
-    rows = F.size(records) - 1
-    digest = F.concat(
-        F.lit("CSV Data from "), name, F.lit(":\n\nColumns: "), F.array_join(columns, ", "),
-        F.lit("\nTotal rows: "), rows.cast("string"), F.lit("\n\n"),
-        F.when(
-            rows > 0,
-            F.concat(F.lit("Sample data:\n"), F.array_join(F.slice(records, 2, sample), "\n")),
-        ).otherwise(F.lit("")),
-    )
-    return F.when(F.size(records) > 0, digest)
+
+    def digest(records: Column) -> Column:
+        header = F.split(F.element_at(records, 1), ",")
+        columns = F.transform(header, lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+        rows = F.size(records) - 1
+        lines = F.concat(F.lit("Sample data:\n"), F.array_join(F.slice(records, 2, sample), "\n"))
+        return F.when(
+            rows >= 0,
+            F.concat(
+                F.lit("CSV Data from "), name, F.lit(":\n\nColumns: "), F.array_join(columns, ", "),
+                F.lit("\nTotal rows: "), rows.cast("string"), F.lit("\n\n"),
+                F.when(rows > 0, lines).otherwise(F.lit("")),
+            ),
+        )
+
+    return let(csv_records(content), digest)

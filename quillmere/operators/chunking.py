@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmere.functions import text as tx
-from quillmere.functions.scalars import let, merge_maps
+from quillmere.functions.scalars import let
 
 
 def check_window(size: int, overlap: int) -> None:
@@ -119,9 +119,11 @@ def with_chunk_metadata(chunks: DataFrame) -> DataFrame:
         **tx.profile(content),
         "total_chunks": F.col("total_chunks"),
     }
+    empty = F.create_map().cast("map<string,string>")
+    base = F.coalesce("metadata", empty) if "metadata" in chunks.columns else empty
+    kept = F.map_filter(base, lambda name, _: ~name.isin(*own))
     pairs = [item for name, value in own.items() for item in (F.lit(name), value.cast("string"))]
-    base = F.col("metadata") if "metadata" in chunks.columns else F.lit(None).cast("map<string,string>")
-    return chunks.withColumn("metadata", merge_maps(base, F.create_map(*pairs)))
+    return chunks.withColumn("metadata", F.map_concat(kept, F.create_map(*pairs)))
 
 
 def token_counts(text: Column, load_counter: Callable[[], Callable[[list[str]], list[int]]]) -> Column:

@@ -73,13 +73,17 @@ def exact_median(df: DataFrame, column: str, limit: int = EXACT_LIMIT, sketch: i
 
 
 def fill_numeric_with_median(
-    df: DataFrame, columns: list[str] | None = None, limit: int = EXACT_LIMIT
+    df: DataFrame, columns: list[str] | None = None, limit: int = EXACT_LIMIT, bound: DataFrame | None = None
 ) -> DataFrame:
-    """Nulls to the column's median; a column without values stays null."""
+    """Nulls to the column's median; a column without values stays null.
+
+    ``bound`` is a table with at least as many values that is cheaper to
+    count, such as the one ``df`` was de-duplicated from.
+    """
     names = numeric_columns(df) if columns is None else columns
     if not names:
         return df
-    counts = df.agg(*[F.count(c).alias(c) for c in names]).first()
+    counts = (df if bound is None else bound).agg(*[F.count(c).alias(c) for c in names]).first()
     large = [c for c in names if counts[c] > limit]
     if large:
         source = written(df, "median")
@@ -110,7 +114,7 @@ def process_table(df: DataFrame, processed_at: datetime | str) -> DataFrame:
     standardise the text, stamp the rows."""
     return (
         df.transform(drop_duplicate_rows)
-        .transform(fill_numeric_with_median)
+        .transform(fill_numeric_with_median, bound=df)
         .transform(fill_text_with_empty)
         .transform(standardise_columns)
         .withColumn("processed_at", F.lit(str(processed_at)))
