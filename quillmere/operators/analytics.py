@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmere.functions.scalars import before, hour_of
+from quillmere.schemas import QUERY_LOGS
 
 
 def document_stats(documents: DataFrame, by: str = "file_type") -> DataFrame:
@@ -59,6 +60,35 @@ def refresh(view: DataFrame, path: str) -> DataFrame:
     return view.sparkSession.read.schema(view.schema).parquet(path)
 
 
+def log_rows(responses: DataFrame, as_of) -> DataFrame:
+    """Query log rows for responses (request_id, query, cached, and where
+    present user_id, response_time_ms, num_sources, confidence_score).  The
+    id comes from request and time, so a repeated run gives the same rows."""
+    now = F.lit(as_of).cast("timestamp")
+
+    def given(name: str, kind: str, default=None) -> Column:
+        present = F.col(name) if name in responses.columns else F.lit(default)
+        return present.cast(kind)
+
+    values = {
+        "id": F.md5(F.concat_ws("|", F.col("request_id").cast("string"), F.lit(str(as_of))).cast("binary")),
+        "user_id": given("user_id", "string"),
+        "query_text": F.col("query"),
+        "response_time_ms": given("response_time_ms", "int", 0),
+        "num_results": given("num_sources", "int", 0),
+        "confidence_score": given("confidence_score", "double"),
+        "cached": F.col("cached"),
+        "created_at": now,
+        "ip_address": given("ip_address", "string"),
+        "user_agent": given("user_agent", "string"),
+    }
+    return responses.select(*[values[f.name].alias(f.name) for f in QUERY_LOGS])
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
 def batch_send_summary(sends: DataFrame) -> DataFrame:
     """Per batch: total, sent, failed and success rate."""
     total, sent = F.count("*"), F.count_if("sent")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillmere.functions.joins import salted_join
+from quillmere.functions.joins import skew_join
 from quillmere.functions.scalars import merge_maps
 from quillmere.schemas import CHUNKS
 
@@ -66,7 +66,7 @@ def current(spark: SparkSession, path: str, with_changes: bool = True) -> DataFr
     """The visible chunks, metadata changes applied."""
     chunks = _read(spark, path, "chunks")
     removed = _read(spark, path, "removed").groupBy("document_id").agg(F.max("version").alias("version"))
-    live = salted_join(
+    live = skew_join(
         chunks, removed, ["document_id"], "left_anti", spread=["id"],
         condition=F.col("l.version") < F.col("r.version"),
     )
@@ -83,7 +83,7 @@ def current(spark: SparkSession, path: str, with_changes: bool = True) -> DataFr
     overlay = latest.groupBy("document_id").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_changes")
     )
-    joined = salted_join(live, overlay, ["document_id"], "left", spread=["id"])
+    joined = skew_join(live, overlay, ["document_id"], "left", spread=["id"])
     return joined.withColumn(
         "metadata",
         F.when(F.col("_changes").isNull(), F.col("metadata")).otherwise(merge_maps(F.col("metadata"), F.col("_changes"))),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillmere.functions.joins import salted_join
+from quillmere.functions.joins import skew_join
 from quillmere.operators.chunking import chunk_documents, packed_windows, with_chunk_metadata
 from quillmere.operators.curation import check_requests
 from quillmere.operators.embedding import embed
@@ -81,13 +81,13 @@ def document_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def cascade_delete(chunks: DataFrame, deleted: DataFrame) -> DataFrame:
     """Chunks whose document was not deleted."""
     gone = deleted.select(F.col("id").alias("document_id")).distinct()
-    return salted_join(chunks, gone, ["document_id"], "left_anti", spread=["id"])
+    return skew_join(chunks, gone, ["document_id"], "left_anti", spread=["id"])
 
 
 def forget_users(logs: DataFrame, deleted_users: DataFrame) -> DataFrame:
     """Logs of deleted users keep their row and lose the user id."""
     gone = deleted_users.select("user_id", F.lit(True).alias("_gone")).distinct()
-    joined = salted_join(logs, gone, ["user_id"], "left", spread=["id"])
+    joined = skew_join(logs, gone, ["user_id"], "left", spread=["id"])
     return joined.withColumn("user_id", F.when(F.col("_gone").isNull(), F.col("user_id"))).select(logs.columns)
 
 

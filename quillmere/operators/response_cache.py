@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillmere.functions.joins import salted_join
+from quillmere.functions.joins import skew_join
 from quillmere.functions.scalars import cache_key
 
 TTL_SECONDS = 3600
@@ -26,8 +26,8 @@ def lookup(requests: DataFrame, cache: DataFrame, as_of, spread: str) -> tuple[D
     """Hits (with the response) and misses.  ``spread`` names the request id:
     a question asked by a third of all requests is dealt out over it."""
     live = _live(cache, as_of).select("cache_key", "response", "source_documents")
-    hits = salted_join(requests, live, ["cache_key"], "inner", spread=[spread])
-    misses = salted_join(requests, live.select("cache_key"), ["cache_key"], "left_anti", spread=[spread])
+    hits = skew_join(requests, live, ["cache_key"], "inner", spread=[spread])
+    misses = skew_join(requests, live.select("cache_key"), ["cache_key"], "left_anti", spread=[spread])
     return hits, misses
 
 
@@ -67,7 +67,7 @@ def clear(cache: DataFrame) -> DataFrame:
 def invalidate_documents(cache: DataFrame, documents: DataFrame) -> DataFrame:
     """Drop the answers that rest on any of the documents."""
     cited = cache.select("cache_key", F.explode("source_documents").alias("document_id"))
-    stale = salted_join(
+    stale = skew_join(
         cited, documents.select("document_id").distinct(), ["document_id"], "left_semi", spread=["cache_key"]
     ).select("cache_key").distinct()
     return cache.join(stale, "cache_key", "left_anti")
@@ -103,7 +103,7 @@ def answer_with_cache(
         *[F.min(c).alias(c) for c in misses.columns if c not in ("cache_key", request_id)]
     )
     fresh = entries(answer_misses(asked), as_of)
-    answered = salted_join(
+    answered = skew_join(
         misses, fresh.select("cache_key", "response", "source_documents"), ["cache_key"], "inner",
         spread=[request_id],
     )

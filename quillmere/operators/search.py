@@ -130,8 +130,11 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
 
 
 def _blocks(questions: DataFrame) -> Iterator[pa.Table]:
-    """The questions in blocks of a checked size."""
-    size, width = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    """The questions in blocks of a checked size.  A question without a
+    vector, or with one of another length, has no hits."""
+    width = questions.agg(F.max(F.size("embedding"))).first()[0]
+    questions = questions.filter(F.size("embedding") == (width or 0))
+    size = questions.count()
     if not size:
         return
     rows = max(BLOCK_BYTES // (8 * max(width or 1, 1)), 1)

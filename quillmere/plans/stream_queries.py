@@ -101,12 +101,13 @@ def latest_event_per_document(spark, sf):
 def latest_event_stream(spark, sf):
     """The same from a stream of message files, kept up to date."""
     root = shared_dir(spark, "latest")
-    for i, part in enumerate(event_log(spark, sf)):
-        part.write.json(f"{root}/in/{i}")
-    parsed = ev.parse(ev.read_messages(spark, f"{root}/in/*")).filter("reason is null")
-    query_ = metrics.run_complete(handlers.latest_events(parsed), f"{root}/out", f"{root}/checkpoint")
-    last = query_.lastProgress["batchId"]
-    return spark.read.parquet(f"{root}/out/batch={last}").select("document_id", "event_type")
+    for part in event_log(spark, sf):
+        part.write.mode("append").json(f"{root}/in")
+    messages = ev.read_messages(spark, f"{root}/in", max_files=20)
+    parsed = ev.parse(messages).filter("reason is null")
+    latest = handlers.latest_events(parsed, ["event_type"])
+    metrics.run_updates(latest, f"{root}/out", f"{root}/checkpoint")
+    return metrics.last_update(spark.read.parquet(f"{root}/out"), "document_id")
 
 
 _ALIVE = f"""(SELECT doc_id, CASE WHEN lang = 'de' THEN 'updated ' || text ELSE text END AS text,
@@ -141,17 +142,13 @@ def dead_letters(spark, sf):
     )
 
 
-@query("""SELECT doc_id::VARCHAR AS document_id FROM documents WHERE text <> '' AND octet_length(encode(text)) <= 4000 AND lang <> 'es'
-  AND doc_id::VARCHAR NOT LIKE '9%'""")
+@query("""SELECT lang || '_' || doc_id AS document_id FROM documents
+WHERE text <> '' AND octet_length(encode(text)) <= 4000 AND lang <> 'es'""")
 def message_filter(spark, sf):
     """Size, required fields and excluded ids."""
-    parsed = ev.parse(ev.create_messages(_documents(spark, sf)))
-    titled = parsed.withColumns(
-        {"metadata": F.when(F.instr("metadata.title", "src") > 0, F.col("metadata")), "value": F.col("content")}
-    )
-    spanish = table(spark, sf, "documents").filter("lang = 'es'").select(F.col("doc_id").cast("string").alias("document_id"))
-    wanted = ev.filter_events(titled, max_bytes=4000, exclude=["9*"])
-    return wanted.join(spanish, "document_id", "left_anti").select("document_id")
+    named = _documents(spark, sf).withColumn("document_id", F.concat_ws("_", "lang", "document_id"))
+    parsed = ev.parse(ev.create_messages(named)).withColumn("value", F.col("content"))
+    return ev.filter_events(parsed, max_bytes=4000, exclude=["es_*", "temp_*"]).select("document_id")
 
 
 @query(f"""SELECT topic, max(doc_id + step::BIGINT * 1000000000)::BIGINT AS current_position, count(*) AS messages FROM (

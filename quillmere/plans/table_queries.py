@@ -13,6 +13,7 @@ from quillmere.plans import lake_etl, snippets as sn
 from quillmere.plans.log_queries import query_logs
 from quillmere.plans.registry import entries, query, stamp, table, texts
 from quillmere.plans.text_queries import window_chunks
+from quillmere.schemas import QUERY_LOGS
 from quillmere.session import shared_dir
 from quillmere.sources import collections, jdbc, rest
 
@@ -370,6 +371,17 @@ def answer_with_cache(spark, sf):
     return answers.select("request_id", "cached", "response")
 
 
+@query(f"""SELECT md5(request_id || '|{AS_OF}') AS id, query AS query_text, expires_at > {sn.NOW} AS cached, '{AS_OF}' AS created_at
+FROM {_REQUESTS} JOIN {_CACHE} USING (query)""")
+def query_log_append(spark, sf):
+    """Cached and fresh answers logged, hits included."""
+    answers, _ = response_cache.answer_with_cache(_requests(spark, sf), _cache(spark, sf), _answer_misses, AS_OF)
+    path = shared_dir(spark, "query_logs")
+    analytics.append_log(analytics.log_rows(answers, AS_OF), path)
+    written_rows = spark.read.schema(QUERY_LOGS).parquet(path)
+    return written_rows.select("id", "query_text", "cached", stamp(F.col("created_at")).alias("created_at"))
+
+
 @query(f"""SELECT * FROM ({_OLD}) WHERE NOT regexp_matches(cache_key, '^rag_query:[0-9a-f]a.*$') AND
   cache_key NOT IN (SELECT 'rag_query:' || md5(text) FROM conversations WHERE role = 'user' AND turn = 0)""")
 def cache_delete(spark, sf):

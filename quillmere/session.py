@@ -50,9 +50,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SMALL_BYTES = 256 << 20
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan, the one its broadcast choice uses."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def setting_bytes(spark: SparkSession, name: str) -> int:
+    """A byte-size setting such as 10485760b or 10MB as a number."""
+    text = spark.conf.get(name).strip().lower()
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    digits = text.rstrip("bkmgt")
+    unit = text[len(digits):].rstrip("b")
+    return int(digits) << units.get(unit, 0)
+
+
 def spread_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     """Deal the rows of a small table over all cores before costly per-row
     work: a small Parquet file is one row group and so one task.  A large
     table has splits enough and is left as it is, without a shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) <= limit else df

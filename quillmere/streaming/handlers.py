@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,10 +22,14 @@ def in_order():
     return F.struct("event_time", "offset")
 
 
-def latest_events(parsed: DataFrame) -> DataFrame:
+EVENT_COLUMNS = ("event_type", "update_type", "content", "metadata", "event_time", "offset")
+
+
+def latest_events(parsed: DataFrame, columns: Sequence[str] = EVENT_COLUMNS) -> DataFrame:
     """Last event per document, on a batch or (update mode) on a stream.  The
-    maximum is kept per task, so a busy document is one row per task."""
-    last = F.max_by(F.struct("event_type", "update_type", "content", "metadata", "event_time", "offset"), in_order())
+    maximum is kept per task, so a busy document is one row per task; on a
+    stream name only the columns that are needed, they make up the state."""
+    last = F.max_by(F.struct(*columns), in_order())
     return parsed.groupBy("document_id").agg(last.alias("_e")).select("document_id", "_e.*")
 
 

@@ -41,16 +41,31 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def run_complete(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a report table up to date: each micro-batch replaces it with the
-    full result in a folder of its own number."""
-
+def _run(df: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
-        df.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint)
+        df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return query
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a small report up to date: each micro-batch writes the full result
+    in a folder of its own number."""
+    return _run(df, path, checkpoint, "complete")
+
+
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch writes only the rows it changed."""
+    return _run(df, path, checkpoint, "update")
+
+
+def last_update(updates: DataFrame, key: str) -> DataFrame:
+    """Current rows of a table written by ``run_updates``."""
+    columns = [c for c in updates.columns if c not in (key, "batch")]
+    last = F.max_by(F.struct(*columns), "batch")
+    return updates.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
