@@ -66,6 +66,8 @@ def _unit_rows(vectors: pa.Array) -> np.ndarray:
     """List column to a matrix of unit rows; a zero vector stays zero."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    if not len(vectors):
+        return np.zeros((0, 0))
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(vectors), -1)
     norms = np.sqrt((matrix * matrix).sum(axis=1))
@@ -142,7 +144,11 @@ def _blocks(questions: DataFrame) -> Iterator[pa.Table]:
     number = F.pmod(F.xxhash64("question_id"), F.lit(count))
     for block in range(count):
         part = questions if count == 1 else questions.filter(number == block)
-        yield part.toArrow()
+        table = part.limit(4 * rows + 1).toArrow()
+        if table.num_rows > 4 * rows:
+            raise ValueError("a block of questions is too large: question ids must be unique")
+        if table.num_rows:
+            yield table
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -235,6 +241,8 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("int")
     def nearest(embedding: pa.Array) -> pa.Array:
+        if not len(embedding):
+            return pa.array([], pa.int32())
         scores = np.round(_unit_rows(embedding) @ centroids.T, 9)
         return pa.array(scores.argmax(axis=1).astype(np.int32))
 
