@@ -252,14 +252,15 @@ def deleted_chunk_counts(spark, sf):
     return chunk_store.deleted_counts(window_chunks(spark, sf), gone)
 
 
-@query(f"""SELECT id, CASE WHEN user_id NOT IN (SELECT user_id FROM events WHERE value > 200) THEN user_id END AS user_id,
+@query(f"""SELECT id, CASE WHEN user_id NOT IN (SELECT user_id FROM events WHERE value > 200) THEN user_id::VARCHAR END AS user_id,
   endpoint FROM {sn.LOGS}""")
 def forget_users(spark, sf):
     gone = table(spark, sf, "events").filter("value > 200").select("user_id")
-    return ingestion.forget_users(query_logs(spark, sf), gone).select("id", "user_id", "endpoint")
+    kept = ingestion.forget_users(query_logs(spark, sf), gone)
+    return kept.select("id", F.col("user_id").cast("string").alias("user_id"), "endpoint")
 
 
-@query("""SELECT doc_id, quality, toxic FROM labels
+@query("""SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels
 UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def insert_if_absent(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))

@@ -1,5 +1,7 @@
 """Every registered query gives the rows of its SQL."""
 
+import numbers
+
 import pandas as pd
 import pytest
 
@@ -10,7 +12,7 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     def text(value):
         if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "null"
-        return repr(float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
+        return repr(float(value)) if isinstance(value, numbers.Number) and not isinstance(value, bool) else str(value)
 
     columns = sorted(frame.columns)
     return sorted(tuple(text(v) for v in row) for row in frame[columns].itertuples(index=False))
