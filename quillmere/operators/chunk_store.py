@@ -30,7 +30,8 @@ def _write(df: DataFrame, path: str, table: str, version: int) -> None:
 def create(spark: SparkSession, path: str) -> None:
     """Empty tables at version 0."""
     for table, schema in TABLES.items():
-        _write(spark.createDataFrame([], schema), path, table, 0)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        _write(spark.range(0, 0, 1, 1).select(*none), path, table, 0)
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:

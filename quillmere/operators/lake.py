@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from quillmere.functions.scalars import megabytes
 from quillmere.operators.quality import split_by_age
@@ -31,25 +31,24 @@ def _catalog_path(root: str) -> str:
     return f"{root.rstrip('/')}/_assets"
 
 
-def _stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of an asset from its file listing; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(ASSETS).parquet(_catalog_path(root))
 
 
 def _register(spark, root, zone, key, fmt, as_of, metadata, tags, source) -> DataFrame:
+    """Append the catalog row of a written asset.  Its size comes from the
+    file listing; no content is read."""
     path = asset_path(root, zone, key)
-    row = Row(
-        path=path, zone=zone, key=key, format=fmt, size_bytes=_stored_bytes(spark, path), created_at=as_of,
-        metadata={k: str(v) for k, v in (metadata or {}).items()}, tags=list(tags or []), source=source,
-        version=VERSION,
-    )
-    asset = spark.createDataFrame([row], ASSETS)
-    asset.coalesce(1).write.mode("append").parquet(_catalog_path(root))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    pairs = [F.lit(item) for k, v in (metadata or {}).items() for item in (k, str(v))]
+    values = {
+        "path": F.lit(path), "zone": F.lit(zone), "key": F.lit(key), "format": F.lit(fmt),
+        "size_bytes": F.col("size_bytes"), "created_at": F.lit(as_of), "metadata": F.create_map(*pairs),
+        "tags": F.array(*[F.lit(t) for t in tags or []]), "source": F.lit(source), "version": F.lit(VERSION),
+    }
+    sizes = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+    asset = sizes.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in ASSETS])
+    asset.write.mode("append").parquet(_catalog_path(root))
     return asset
 
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BLOCK_BYTES = 64 << 20  # question vectors held by one task
+FEW_QUESTIONS = 2048  # up to here one block, without counting first
 TILE_CELLS = 1 << 21  # scores held at a time
 SCORE_DIGITS = 6  # scores are compared after rounding; ties go to the lowest id
 
@@ -131,22 +132,28 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
     return scan
 
 
+def _same_width(block: pa.Table, width: int) -> pa.Table:
+    return block.filter(pc.equal(pc.list_value_length(block["embedding"]), width))
+
+
 def _blocks(questions: DataFrame) -> Iterator[pa.Table]:
     """The questions in blocks of a checked size.  A question without a
     vector, or with one of another length, has no hits."""
-    width = questions.agg(F.max(F.size("embedding"))).first()[0]
-    questions = questions.filter(F.size("embedding") == (width or 0))
-    size = questions.count()
-    if not size:
+    few = questions.limit(FEW_QUESTIONS + 1).toArrow()
+    if few.num_rows <= FEW_QUESTIONS:
+        width = pc.max(pc.list_value_length(few["embedding"])).as_py() if few.num_rows else None
+        if width:
+            yield _same_width(few, width)
         return
-    rows = max(BLOCK_BYTES // (8 * max(width or 1, 1)), 1)
+    size, width = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    rows = max(BLOCK_BYTES // (8 * max(width, 1)), 1)
     count = -(-size // rows)
     number = F.pmod(F.xxhash64("question_id"), F.lit(count))
     for block in range(count):
-        part = questions if count == 1 else questions.filter(number == block)
-        table = part.limit(4 * rows + 1).toArrow()
+        table = questions.filter(number == block).limit(4 * rows + 1).toArrow()
         if table.num_rows > 4 * rows:
             raise ValueError("a block of questions is too large: question ids must be unique")
+        table = _same_width(table, width)
         if table.num_rows:
             yield table
 

@@ -94,7 +94,7 @@ def batch_messages(spark, sf):
 @query(f"""SELECT doc_id::VARCHAR AS document_id, event_type FROM {_SENT} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) = 1""")
 def latest_event_per_document(spark, sf):
     parsed = ev.parse(union_sources(event_log(spark, sf))).filter("reason is null")
-    return handlers.latest_events(parsed).select("document_id", "event_type")
+    return handlers.latest_events(parsed, ["event_type"])
 
 
 @query(f"""SELECT doc_id::VARCHAR AS document_id, event_type FROM {_SENT} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) = 1""")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quillmere.functions import text as tx
+from quillmere.functions.scalars import let
 from quillmere.schemas import DOCUMENT_TYPES, EVENT, MESSAGE, TOPICS
 
 RATE_LIMIT = 100
@@ -105,30 +105,39 @@ def read_kafka(spark: SparkSession, servers: str, per_trigger: int = RATE_LIMIT)
     )
 
 
-def parse(messages: DataFrame) -> DataFrame:
-    """Parsed event columns and ``reason``: why a message cannot be handled
-    (null if it can)."""
-    event = F.from_json("value", EVENT, {"mode": "PERMISSIVE"})
-    parsed = messages.withColumn("_e", event).select(
-        *messages.columns,
-        F.col("_e.event_type").alias("event_type"),
-        F.try_to_timestamp(F.col("_e.timestamp")).alias("event_time"),
-        F.col("_e.document_id").alias("document_id"),
-        F.coalesce("_e.update_type", F.lit("content")).alias("update_type"),
-        F.col("_e.data.content").alias("content"),
-        F.coalesce("_e.data.metadata", "_e.metadata").alias("metadata"),
-    )
-    kind = F.try_element_at("metadata", F.lit("file_type"))
+def _event(e: Column, topic: Column) -> Column:
+    """Columns of a parsed event, and why it cannot be handled (null if it can)."""
+    event_type, time = e["event_type"], F.try_to_timestamp(e["timestamp"])
+    metadata = F.coalesce(e["data"]["metadata"], e["metadata"])
     expected = F.create_map(*[F.lit(x) for pair in EVENT_TOPICS.items() for x in pair])
     reason = (
-        F.when(F.col("event_type").isNull(), F.lit("not a JSON event"))
-        .when(F.try_element_at(expected, F.col("event_type")).isNull(), F.lit("unknown event type"))
-        .when(F.try_element_at(expected, F.col("event_type")) != F.col("topic"), F.lit("wrong topic"))
-        .when(F.col("document_id").isNull(), F.lit("no document id"))
-        .when(F.col("event_time").isNull(), F.lit("no event time"))
-        .when(~kind.isin(*DOCUMENT_TYPES), F.lit("unknown file type"))
+        F.when(event_type.isNull(), F.lit("not a JSON event"))
+        .when(F.try_element_at(expected, event_type).isNull(), F.lit("unknown event type"))
+        .when(F.try_element_at(expected, event_type) != topic, F.lit("wrong topic"))
+        .when(e["document_id"].isNull(), F.lit("no document id"))
+        .when(time.isNull(), F.lit("no event time"))
+        .when(~F.try_element_at(metadata, F.lit("file_type")).isin(*DOCUMENT_TYPES), F.lit("unknown file type"))
     )
-    return parsed.withColumn("reason", reason)
+    return F.struct(
+        event_type.alias("event_type"),
+        time.alias("event_time"),
+        e["document_id"].alias("document_id"),
+        F.coalesce(e["update_type"], F.lit("content")).alias("update_type"),
+        e["data"]["content"].alias("content"),
+        metadata.alias("metadata"),
+        reason.alias("reason"),
+    )
+
+
+def parse(messages: DataFrame) -> DataFrame:
+    """The messages with their parsed event columns and ``reason``.
+
+    The outer generator keeps filters on those columns above it, so each
+    message is parsed once.
+    """
+    event = F.from_json("value", EVENT, {"mode": "PERMISSIVE"})
+    columns = let(event, lambda e: _event(e, F.col("topic")))
+    return messages.select(*messages.columns, F.inline_outer(F.array(columns)))
 
 
 def _glob(pattern: str) -> str:

@@ -66,6 +66,7 @@ def test_string_ids(spark, data):
 def test_many_blocks_and_tiles(spark, data, monkeypatch):
     questions, vectors = data
     monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 8 * 2)  # two questions per block
+    monkeypatch.setattr(search, "FEW_QUESTIONS", 3)
     monkeypatch.setattr(search, "TILE_CELLS", 20)
     q, v = frames(spark, questions, vectors)
     assert collected(search.top_k(q, v, 4)) == brute(questions, vectors, 4)
