@@ -147,22 +147,18 @@ def decode_bytes(content: Column) -> Column:
     )
 
 
-def _code_point(number: Column, entity: Column) -> Column:
-    usable = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(
-        usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    ).otherwise(entity)
-
-
 def _resolve(entity: Column) -> Column:
+    """One character reference, or itself where it means nothing."""
     named = F.create_map(*[F.lit(item) for pair in ENTITIES.items() for item in pair])
-    digits = F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)
-    hex_digits = F.regexp_extract(entity, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-    return (
-        F.when(digits != "", _code_point(digits.try_cast("long"), entity))
-        .when(hex_digits != "", _code_point(F.conv(hex_digits, 16, 10).try_cast("long"), entity))
-        .otherwise(F.coalesce(F.try_element_at(named, entity), entity))
-    )
+    decimal = F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1).try_cast("long")
+    hexadecimal = F.conv(F.nullif(F.regexp_extract(entity, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1), F.lit("")), 16, 10)
+
+    def character(point: Column) -> Column:
+        usable = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+
+    numbered = let(F.coalesce(decimal, hexadecimal.try_cast("long")), character)
+    return F.coalesce(F.try_element_at(named, entity), numbered, entity)
 
 
 def unescape(text: Column) -> Column:

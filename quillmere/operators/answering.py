@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillmere.functions.scalars import let
 from quillmere.functions.text import strip
 from quillmere.operators.embedding import hashed_encoder
 from quillmere.operators.search import top_k
@@ -59,14 +60,17 @@ def prompt(context: Column, question: Column) -> Column:
 
 def template_answer(filled: Column) -> Column:
     """Answer read off the filled prompt, text marks included."""
+
+    def reply(parts: Column) -> Column:
+        context = strip(F.try_element_at(parts, F.lit(1)))
+        question = strip(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))
+        text = F.concat(
+            F.lit(ANSWER), F.lower(question), F.lit(ANSWER_USING), F.left(context, F.lit(100)), F.lit("...")
+        )
+        return F.when((context != "") & (question != ""), text).otherwise(F.lit(UNCLEAR))
+
     after = F.try_element_at(F.split(filled, "Context:"), F.lit(2))
-    parts = F.split(after, "Question:")
-    context = strip(F.element_at(parts, 1))
-    question = strip(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))
-    return F.when(
-        (context != "") & (question != ""),
-        F.concat(F.lit(ANSWER), F.lower(question), F.lit(ANSWER_USING), F.left(context, F.lit(100)), F.lit("...")),
-    ).otherwise(F.lit(UNCLEAR))
+    return let(F.split(after, "Question:"), reply)
 
 
 def attach_content(hits: DataFrame, chunks: DataFrame, include_metadata: bool = True) -> DataFrame:

@@ -103,6 +103,10 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(k, len(wanted))
         for batch in batches:
+            # checked here: a Spark filter on a computed vector would run its
+            # encoder a second time
+            fits = pc.equal(pc.list_value_length(batch.column("embedding")), wanted.shape[1])
+            batch = batch.filter(fits)
             if not batch.num_rows:
                 continue
             matrix = _unit_rows(batch.column("embedding"))
@@ -188,9 +192,7 @@ def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0):
     ]
     found = None
     for block in _blocks(q):
-        width = pc.max(pc.list_value_length(block["embedding"])).as_py()
-        rows = vectors.filter(F.size("embedding") == width)
-        probes = None
+        rows, probes = vectors, None
         if centroids is not None:
             near = _unit_rows(block["embedding"]) @ centroids.T
             order = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
@@ -244,18 +246,19 @@ def train_cells(vectors: DataFrame, cells: int = 1024, iterations: int = 10, see
 
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Add the number of the nearest centroid."""
+    """Add the number of the nearest centroid; null for a vector of another
+    length."""
 
     @F.arrow_udf("int")
     def nearest(embedding: pa.Array) -> pa.Array:
-        if not len(embedding):
-            return pa.array([], pa.int32())
-        scores = np.round(_unit_rows(embedding) @ centroids.T, 9)
-        return pa.array(scores.argmax(axis=1).astype(np.int32))
-
-    return vectors.filter(F.size("embedding") == centroids.shape[1]).withColumn(
-        "cell", nearest("embedding")
-    )
+        fits = np.array(pc.equal(pc.list_value_length(embedding), centroids.shape[1]).fill_null(False))
+        cells = np.zeros(len(embedding), dtype=np.int32)
+        if fits.any():
+            scores = np.round(_unit_rows(embedding.filter(pa.array(fits))) @ centroids.T, 9)
+            cells[fits] = scores.argmax(axis=1)
+        return pa.array(cells, mask=~fits)
+
+    return vectors.withColumn("cell", nearest("embedding"))
 
 
 def write_cells(indexed: DataFrame, path: str) -> None:
