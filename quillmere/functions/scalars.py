@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +22,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    """A constant map, as one parsed expression instead of many columns."""
+    return F.expr(f"map({', '.join(_quoted(x) for pair in values.items() for x in pair)})")
+
+
+def literal_array(values: Iterable[str]) -> Column:
+    return F.expr(f"array({', '.join(map(_quoted, values))})")
+
+
 def split_tags(tags: Column) -> Column:
     return F.when(F.length(tags) > 0, F.split(tags, ",")).otherwise(F.array().cast("array<string>"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quillmere.functions.scalars import let
+from quillmere.functions.scalars import let, literal_array, literal_map
 
 # Unicode white space: (?U) makes Java's \s cover it, bar four separators.
 SPACE = r"\s\x1C-\x1F"
@@ -92,12 +92,8 @@ def paragraph_count(text: Column) -> Column:
 
 def english_word_count(text: Column) -> Column:
     """How many of the common English words occur, also inside other words."""
-    lowered = F.lower(text)
-    hits = [F.contains(lowered, F.lit(word)).cast("int") for word in ENGLISH_WORDS]
-    total = hits[0]
-    for hit in hits[1:]:
-        total = total + hit
-    return total
+    words = literal_array(ENGLISH_WORDS)
+    return let(F.lower(text), lambda t: F.size(F.filter(words, lambda word: F.contains(t, word))))
 
 
 def profile(text: Column) -> dict[str, Column]:
@@ -135,8 +131,7 @@ def file_extension(path: Column) -> Column:
 
 
 def file_type(path: Column) -> Column:
-    pairs = [F.lit(item) for pair in EXTENSION_TYPES.items() for item in pair]
-    return F.coalesce(F.element_at(F.create_map(*pairs), file_extension(path)), F.lit("txt"))
+    return F.coalesce(F.try_element_at(literal_map(EXTENSION_TYPES), file_extension(path)), F.lit("txt"))
 
 
 def decode_bytes(content: Column) -> Column:
@@ -149,7 +144,7 @@ def decode_bytes(content: Column) -> Column:
 
 def _resolve(entity: Column) -> Column:
     """One character reference, or itself where it means nothing."""
-    named = F.create_map(*[F.lit(item) for pair in ENTITIES.items() for item in pair])
+    named = literal_map(ENTITIES)
     decimal = F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1).try_cast("long")
     hexadecimal = F.conv(F.nullif(F.regexp_extract(entity, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1), F.lit("")), 16, 10)
 

@@ -73,14 +73,15 @@ def current(spark: SparkSession, path: str, with_changes: bool = True) -> DataFr
     )
     if not with_changes:
         return live
-    # last writer per document and key, reduced before the shuffle; a change
-    # older than the document's last removal belongs to its former content
-    changes = _read(spark, path, "metadata").join(
+    # last writer per document and key, reduced before the shuffle; if even
+    # that is older than the document's last removal, it is about content
+    # that is gone
+    latest = _read(spark, path, "metadata").groupBy("document_id", "key").agg(
+        F.max_by(F.struct("value", "version"), F.struct("version", "sequence")).alias("_last")
+    )
+    latest = latest.select("document_id", "key", "_last.*").join(
         removed.withColumnRenamed("version", "_removed"), "document_id", "left"
     ).filter(F.col("_removed").isNull() | (F.col("version") >= F.col("_removed")))
-    latest = changes.groupBy("document_id", "key").agg(
-        F.max_by("value", F.struct("version", "sequence")).alias("value")
-    )
     overlay = latest.groupBy("document_id").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_changes")
     )

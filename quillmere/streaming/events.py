@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quillmere.functions.scalars import let
+from quillmere.functions.scalars import let, literal_map
 from quillmere.schemas import DOCUMENT_TYPES, EVENT, MESSAGE, TOPICS
 
 RATE_LIMIT = 100
@@ -109,7 +109,7 @@ def _event(e: Column, topic: Column) -> Column:
     """Columns of a parsed event, and why it cannot be handled (null if it can)."""
     event_type, time = e["event_type"], F.try_to_timestamp(e["timestamp"])
     metadata = F.coalesce(e["data"]["metadata"], e["metadata"])
-    expected = F.create_map(*[F.lit(x) for pair in EVENT_TOPICS.items() for x in pair])
+    expected = literal_map(EVENT_TOPICS)
     reason = (
         F.when(event_type.isNull(), F.lit("not a JSON event"))
         .when(F.try_element_at(expected, event_type).isNull(), F.lit("unknown event type"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillmere.functions.joins import skew_join
 from quillmere.operators import chunk_store
 from quillmere.operators.chunking import packed_windows
 from quillmere.operators.ingestion import request_chunks
@@ -66,7 +67,7 @@ def apply_events(
     chunks = request_chunks(ev.request_of(alive, tags), windows, encoder)
     chunk_store.replace(chunks, last, store, version)
     since = last.select("document_id", F.struct("event_time", "offset").alias("_since"))
-    changes = metadata_events(good).join(since, "document_id", "left").filter(
+    changes = skew_join(metadata_events(good), since, ["document_id"], "left", spread=["offset"]).filter(
         F.col("_since").isNull() | (in_order() > F.col("_since"))
     )
     sequence = F.concat_ws(

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere.functions import joins
-from quillmere.operators import answering, chunk_store, cleaning, curation, ingestion, lake, monitoring, quality, response_cache
+from quillmere.operators import (
+    analytics, answering, chunk_store, cleaning, curation, ingestion, lake, monitoring, quality, response_cache,
+)
 from quillmere.session import setting_bytes, shared_dir
 from quillmere.streaming.events import numbered
 
@@ -146,6 +148,13 @@ def test_lake(spark):
     assert [(r["zone"], r["format"], r["size_bytes"], r["source"]) for r in listed] == [("documents", "text", 6, "me")]
 
 
+def test_refresh_replaces_the_report(spark):
+    path = shared_dir(spark, "view")
+    for n in (3, 5):
+        view = analytics.refresh(spark.range(n).agg(F.count("*").alias("n")), path)
+        assert [r["n"] for r in view.collect()] == [n]
+
+
 def test_template_answer(spark):
     def run(context, question):
         frame = spark.createDataFrame([(context, question)], "c string, q string")
