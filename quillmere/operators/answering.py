@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillmere.functions.scalars import let
 from quillmere.functions.text import strip
 from quillmere.operators.embedding import hashed_encoder
-from quillmere.operators.search import top_k
+from quillmere.operators.search import top_k_bounded
 
 MAX_QUERY = 1000
 DEFAULT_RESULTS, MAX_RESULTS = 5, 20
 DEFAULT_THRESHOLD = 0.7
+BROADCAST_HITS = 500_000  # rows of ids, score and rank: some tens of megabytes
 
 # Prompt, answer and fallback texts.
 PROMPT_HEAD = (
@@ -73,14 +74,22 @@ def template_answer(filled: Column) -> Column:
     return let(F.split(after, "Question:"), reply)
 
 
-def attach_content(hits: DataFrame, chunks: DataFrame, include_metadata: bool = True) -> DataFrame:
-    """Content (and metadata) of the hits.  Hits are at most k per question,
-    so Catalyst broadcasts them when they are few."""
+def attach_content(
+    hits: DataFrame, chunks: DataFrame, most_hits: int | None = None, include_metadata: bool = True
+) -> DataFrame:
+    """Content (and metadata) of the hits.
+
+    ``most_hits`` is a known upper bound of their number.  If it is small the
+    hits are broadcast, so that the chunk contents are scanned but never
+    shuffled; otherwise the join is left to Catalyst.
+    """
     columns = [c for c in ("content", "metadata", "document_id", "chunk_index") if c in chunks.columns]
     if not include_metadata:
         columns = [c for c in columns if c != "metadata"]
     wanted = chunks.select(F.col("id").alias("vector_id"), *columns)
-    return hits.join(wanted, "vector_id")
+    if most_hits is not None and most_hits <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    return wanted.join(hits, "vector_id")
 
 
 def answer(questions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -119,5 +128,5 @@ def answer_questions(
     answer."""
     encode = encoder or hashed_encoder()
     asked = questions.withColumn("embedding", encode(F.col("query")))
-    hits = top_k(asked, chunks, k, threshold, **search)
-    return answer(questions, attach_content(hits, chunks))
+    hits, most = top_k_bounded(asked, chunks, k, threshold, **search)
+    return answer(questions, attach_content(hits, chunks, most))

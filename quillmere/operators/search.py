@@ -190,8 +190,9 @@ def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0):
         F.col("id").alias("vector_id"), "embedding",
         *[F.col(c).cast("string").alias(f"_f_{c}") for c in names],
     ]
-    found = None
+    found, asked = None, 0
     for block in _blocks(q):
+        asked += block.num_rows
         rows, probes = vectors, None
         if centroids is not None:
             near = _unit_rows(block["embedding"]) @ centroids.T
@@ -206,7 +207,7 @@ def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0):
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = questions.sparkSession.createDataFrame([], result_type)
-    return rank_hits(found, k, threshold)
+    return rank_hits(found, k, threshold), asked * k
 
 
 def rank_hits(hits: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
@@ -230,6 +231,18 @@ def top_k(
     ``where`` filters the vectors before ranking; ``match`` maps a vector
     column to the question column it must equal (null: no restriction).
     """
+    return top_k_bounded(questions, vectors, k, threshold, where, match)[0]
+
+
+def top_k_bounded(
+    questions: DataFrame,
+    vectors: DataFrame,
+    k: int = 5,
+    threshold: float | None = None,
+    where: Column | None = None,
+    match: dict[str, str] | None = None,
+) -> tuple[DataFrame, int]:
+    """As ``top_k``, with the most hits there can be."""
     rows = vectors if where is None else vectors.filter(where)
     return _search(questions, rows, k, match or {}, threshold)
 
@@ -278,4 +291,4 @@ def search_cells(
 ) -> DataFrame:
     """Search the ``nprobe`` nearest cells of each question, exact inside them.
     On a table written by ``write_cells`` the other cells are not read."""
-    return _search(questions, indexed, k, match or {}, threshold, centroids, nprobe)
+    return _search(questions, indexed, k, match or {}, threshold, centroids, nprobe)[0]
