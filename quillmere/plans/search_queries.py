@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmere.operators import answering, embedding, search
 from quillmere.plans import snippets as sn
-from quillmere.plans.registry import query, table, texts
+from quillmere.plans.registry import query, table
 from quillmere.plans.text_queries import window_chunks
 from quillmere.session import shared_dir
 

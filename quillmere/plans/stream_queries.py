@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillmere.operators import chunk_store
 from quillmere.operators.chunking import word_windows
 from quillmere.plans import log_queries as lq, snippets as sn
-from quillmere.plans.registry import entries, query, stamp, table, texts
+from quillmere.plans.registry import query, stamp, table, texts
 from quillmere.session import shared_dir
 from quillmere.sources.jdbc import union_sources
 from quillmere.streaming import events as ev, handlers, metrics

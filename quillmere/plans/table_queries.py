@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillmere.functions import text as tx
 from quillmere.operators import analytics, chunk_store, cleaning, curation, ingestion, lake, quality, response_cache
 from quillmere.operators.chunking import word_windows
 from quillmere.plans import lake_etl, snippets as sn
