@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import packing
+from quillmere.llm import exact_dedup, packing, quality_ranking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +30,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op2_exact_dedup", r"""
+    WITH n AS (
+        SELECT doc_id, coalesce(text, '') AS body,
+            regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+        FROM documents),
+    r AS (
+        SELECT doc_id, sha256(norm) AS text_sha256,
+            first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(body) DESC, doc_id) AS keep_id,
+            count(*) OVER (PARTITION BY norm) AS group_size
+        FROM n)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
+""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    decided = exact_dedup.find_duplicates(table(spark, sf, "documents"))
+    return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op9_bradley_terry_quality")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality_ranking.score(docs, quality_ranking.fit(docs, table(spark, sf, "labels")))

@@ -98,3 +98,15 @@ def ascii_lower(word: str) -> str:
 def in_order(column: pa.Array) -> np.ndarray:
     """Whole numbers of a column; the caller handles nulls by its mask."""
     return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def fresh(df, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
