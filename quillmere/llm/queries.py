@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmere.llm import exact_dedup, packing, quality_ranking
+from quillmere.llm import decontamination, exact_dedup, packing, quality_ranking, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return quality_ranking.score(docs, quality_ranking.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op3_toxic_segments")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op8_benchmark_tiling")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
