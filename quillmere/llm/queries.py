@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmere.llm import decontamination, exact_dedup, packing, quality_ranking, toxicity
+from quillmere.llm import decontamination, exact_dedup, packing, quality_ranking, token_files, toxicity, warc
+from quillmere.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +66,25 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_benchmark_tiling")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op7_warc_index_merge", """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+    FROM f
+""")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf, "pages"), shared_dir(spark, "archive"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_rans_token_files")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "token-files")
+    token_files.write_tokens(table(spark, sf, "documents"), path)
+    return token_files.read_tokens(spark, path)
