@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmere.llm import decontamination, exact_dedup, packing, quality_ranking, token_files, toxicity, warc
+from quillmere.llm import (
+    decontamination, exact_dedup, license_scan, packing, quality_ranking, token_files, toxicity, warc,
+)
 from quillmere.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +90,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
     token_files.write_tokens(table(spark, sf, "documents"), path)
     return token_files.read_tokens(spark, path)
+
+
+@query("op4_license_notices")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf, "documents"))
