@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmere.llm import (
-    decontamination, exact_dedup, license_scan, packing, quality_ranking, token_files, toxicity, warc,
+    decontamination, exact_dedup, license_scan, packing, quality_ranking, substring_dedup, token_files,
+    toxicity, warc,
 )
 from quillmere.session import shared_dir
 
@@ -95,3 +96,24 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_license_notices")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents"))
+
+
+@query("op5_repeated_passages", r"""
+    WITH w AS (
+        SELECT doc_id,
+            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents),
+    i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w),
+    g AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS win FROM i),
+    f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY win) AS first_doc FROM g),
+    c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM f WHERE first_doc < doc_id),
+    x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    k AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+        FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)
+""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("spans")
