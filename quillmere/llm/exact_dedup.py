@@ -98,18 +98,24 @@ def _decided(runs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns."""
+    return kept_rows(docs, written(find_duplicates(docs), "digest-decided"))
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, chars, text_hash, kept: a
+    row for each) keeps.
 
     The dropped rows, the smaller side, are anti-joined by doc_id and two
     hashes of the text.  Rows that agree in all of that with a row that stays
     (a row that occurs twice) cannot be told apart by a join; they are set
-    aside and one of each is taken.
+    aside and one of each, the smallest, is taken.
     """
     names = docs.columns
-    decided = written(find_duplicates(docs), "digest-decided")
     key = ["doc_id", "text_hash", "chars"]
-    twins = decided.groupBy(*key).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept")).filter(
-        (F.col("_n") > 1) & F.col("_kept")
+    stays = F.sum(F.col("kept").cast("int"))
+    twins = decided.groupBy(*key).agg(F.count("*").alias("_n"), stays.alias("_kept")).filter(
+        (F.col("_kept") > 0) & (F.col("_n") > F.col("_kept"))
     )
     gone = decided.filter(~F.col("kept")).select(*key).distinct()
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmere.llm import (
-    decontamination, exact_dedup, license_scan, packing, quality_ranking, substring_dedup, token_files,
+    decontamination, exact_dedup, jaccard_join, license_scan, packing, quality_ranking, substring_dedup, token_files,
     toxicity, warc,
 )
 from quillmere.session import shared_dir
@@ -117,3 +117,27 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("spans")
+
+
+@query("op6_jaccard_count_tree", r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents),
+    i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS p FROM w WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 3], ' ') AS sh FROM i),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+        FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (
+        SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+        WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+    r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.other),
+    c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
