@@ -1,13 +1,19 @@
 """The chunk table under create, replace and delete.
 
-Plain Parquet, append only: every change writes its own ``version`` folder
-and overwrites nothing else, so a repeated write of the same version changes
-nothing and readers never meet a half-written file.  A deletion is a row in
-``removed``; it hides the document's chunks of earlier versions.
+Plain Parquet, append only.  Every change has a version that the store gives
+out (the highest so far and one) for a writer and its batch number, recorded in
+``commits``; the same writer and batch get the same version again.  A change
+writes only its own ``version``/``writer`` folder, so a repeated batch replaces
+its own rows, no writer can touch another's, and readers never meet a
+half-written file.  A deletion is a row in ``removed``; it hides the document's
+chunks of earlier versions.
 """
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillmere.functions.joins import skew_join
@@ -22,45 +28,83 @@ CHANGES = T.StructType(
 TABLES = {"chunks": CHUNKS, "removed": REMOVED, "metadata": CHANGES}
 
 
-def _write(df: DataFrame, path: str, table: str, version: int) -> None:
+PLACE = [T.StructField("version", T.LongType()), T.StructField("writer", T.StringType())]
+COMMITS = T.StructType([T.StructField("batch", T.LongType()), *PLACE])
+
+
+class Change(NamedTuple):
+    """A change's place in the store."""
+
+    version: int
+    writer: str
+
+    def folder(self, path: str, table: str) -> str:
+        return f"{path}/{table}/version={self.version}/writer={self.writer}"
+
+
+def _write(df: DataFrame, path: str, table: str, change: Change) -> None:
     names = [f.name for f in TABLES[table]]
-    df.select(names).write.mode("overwrite").parquet(f"{path}/{table}/version={version}")
+    df.select(names).write.mode("overwrite").parquet(change.folder(path, table))
 
 
 def create(spark: SparkSession, path: str) -> None:
-    """Empty tables at version 0."""
-    for table, schema in TABLES.items():
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-        _write(spark.range(0, 0, 1, 1).select(*none), path, table, 0)
+    """Empty tables at version 0.  A store that is there is left as it is."""
+    start = Change(0, "store")
+    for table, schema in {**TABLES, "commits": COMMITS}.items():
+        names = [f for f in schema if f not in PLACE]
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in names]
+        spark.range(0, 0, 1, 1).select(*none).write.mode("ignore").parquet(start.folder(path, table))
+
+
+def begin(spark: SparkSession, path: str, writer: str, batch: int = 0) -> Change:
+    """The place of a writer's batch: the one it had before, or a new version.
+    Give each writer a name of its own; a stream's is its query id, which a new
+    checkpoint changes."""
+    name = re.sub("[^A-Za-z0-9_.-]", "_", writer) + f"-{batch}"
+    mine = F.max(F.when(F.col("writer") == name, F.col("version")))
+    commits = spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    highest, again = commits.agg(F.max("version"), mine).first()
+    known = spark.read.schema(T.StructType(PLACE)).parquet(f"{path}/chunks").agg(F.max("version")).first()[0]
+    if again is not None:
+        return Change(again, name)
+    change = Change(max(highest or 0, known or 0) + 1, name)
+    # a folder that exists is refused, so two runs of one batch cannot both claim it
+    spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.parquet(change.folder(path, "commits"))
+    return change
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    schema = T.StructType([*TABLES[table].fields, T.StructField("version", T.LongType())])
-    return spark.read.schema(schema).parquet(f"{path}/{table}")
+    schema = T.StructType([*TABLES[table].fields, *PLACE])
+    return spark.read.schema(schema).parquet(f"{path}/{table}").drop("writer")
 
 
-def insert(chunks: DataFrame, path: str, version: int) -> DataFrame:
+def insert(chunks: DataFrame, path: str, change: Change) -> DataFrame:
     """Append chunks; returns their ids."""
-    _write(chunks, path, "chunks", version)
-    return chunks.sparkSession.read.parquet(f"{path}/chunks/version={version}").select("id")
+    _write(chunks, path, "chunks", change)
+    return chunks.sparkSession.read.parquet(change.folder(path, "chunks")).select("id")
 
 
-def remove(documents: DataFrame, path: str, version: int) -> None:
-    """Hide all chunks of the documents written before ``version``."""
-    _write(documents.select("document_id").distinct(), path, "removed", version)
+def remove(documents: DataFrame, path: str, change: Change) -> None:
+    """Hide all chunks of the documents written before the change.  Documents
+    the store has never had need no row: a new document's creation adds none."""
+    stored = _read(documents.sparkSession, path, "chunks").filter(F.col("version") < change.version)
+    changed = _read(documents.sparkSession, path, "metadata").filter(F.col("version") < change.version)
+    known = stored.select("document_id").unionByName(changed.select("document_id"))
+    asked = documents.select("document_id").distinct()
+    _write(asked.join(known, "document_id", "left_semi"), path, "removed", change)
 
 
-def replace(chunks: DataFrame, documents: DataFrame, path: str, version: int) -> None:
+def replace(chunks: DataFrame, documents: DataFrame, path: str, change: Change) -> None:
     """New content for the documents: old chunks go, the given ones come."""
-    remove(documents, path, version)
-    _write(chunks, path, "chunks", version)
+    remove(documents, path, change)
+    _write(chunks, path, "chunks", change)
 
 
-def change_metadata(changes: DataFrame, path: str, version: int) -> None:
+def change_metadata(changes: DataFrame, path: str, change: Change) -> None:
     """Record metadata changes: document_id, metadata map, sequence (a string
     that sorts in event order)."""
     rows = changes.select("document_id", F.explode("metadata").alias("key", "value"), "sequence")
-    _write(rows, path, "metadata", version)
+    _write(rows, path, "metadata", change)
 
 
 def current(spark: SparkSession, path: str, with_changes: bool = True) -> DataFrame:
@@ -95,7 +139,7 @@ def current(spark: SparkSession, path: str, with_changes: bool = True) -> DataFr
 def deleted_counts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks each given document would lose; 0 for unknown documents."""
     wanted = documents.select("document_id").distinct()
-    counts = chunks.groupBy("document_id").agg(F.count("*").alias("deleted"))
+    counts = chunks.join(wanted, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("deleted"))
     return wanted.join(counts, "document_id", "left").withColumn(
         "deleted", F.coalesce("deleted", F.lit(0))
     )
@@ -103,9 +147,10 @@ def deleted_counts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the visible chunks to a new store at ``target``; its readers
-    switch by using that path.  The rebalance hint evens out file sizes."""
+    switch by using that path, and its next change comes after them.  The
+    rebalance hint evens out file sizes."""
     create(spark, target)
-    _write(current(spark, path).hint("rebalance"), target, "chunks", 1)
+    _write(current(spark, path).hint("rebalance"), target, "chunks", begin(spark, target, "compact"))
 
 
 def collection_stats(chunks: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ def run(
     root: str,
     sources: dict[str, tuple[DataFrame, str]],
     as_of: datetime,
-    version: int = 1,
     windows: Callable = packed_windows,
 ) -> tuple[DataFrame, DataFrame]:
     """``sources`` maps a name to (table, key column).  Returns the responses
@@ -40,7 +39,8 @@ def run(
     for name, (_, key_column) in sources.items():
         key = f"{name}/{as_of:%Y%m%d}"
         lake.promote(
-            spark, root, "raw", "processed", key, "parquet", as_of, lambda df: process_table(df, as_of.isoformat())
+            spark, root, "raw", "processed", key, "parquet", as_of,
+            lambda df, k=key_column: process_table(df, as_of.isoformat(), keys=[k]),
         )
         lake.promote(
             spark, root, "processed", "curated", key, "parquet", as_of,
@@ -50,7 +50,8 @@ def run(
     wanted = union_sources(requests)
     store = f"{root.rstrip('/')}/chunks"
     chunk_store.create(spark, store)
-    chunk_store.insert(request_chunks(wanted, windows, as_of=as_of), store, version)
+    change = chunk_store.begin(spark, store, f"etl-{as_of:%Y%m%d_%H%M%S}")
+    chunk_store.insert(request_chunks(wanted, windows, as_of=as_of), store, change)
     responses = ingestion_responses(wanted, chunk_store.current(spark, store, with_changes=False))
     report = etl_report(profiles, union_sources(landed), responses)
     lake.store(

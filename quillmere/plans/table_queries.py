@@ -36,7 +36,7 @@ def drop_duplicate_rows(spark, sf):
 
 
 @query(f"""WITH d AS (SELECT DISTINCT * FROM {sn.DIRTY_EVENTS})
-SELECT event_id::DOUBLE AS event_id, user_id::DOUBLE AS user_id, coalesce(value, (SELECT median(value) FROM d)) AS value,
+SELECT event_id, user_id, coalesce(value, (SELECT median(value) FROM d)) AS value,
   {sn.strip("lower(coalesce(event_type, ''))")} AS event_type, '2024-01-30T12:00:00' AS processed_at FROM d""")
 def process_table(spark, sf):
     return cleaning.process_table(dirty_events(spark, sf), "2024-01-30T12:00:00")
@@ -280,16 +280,17 @@ def chunk_store_lifecycle(spark, sf):
     none = {"embedding": F.lit(None).cast("array<float>"), "metadata": F.create_map().cast("map<string,string>")}
     documents = texts(spark, sf, "documents")
     chunk_store.create(spark, store)
-    chunk_store.insert(window_chunks(spark, sf).withColumns(none), store, 1)
-    chunk_store.remove(_toxic(spark, sf).withColumnRenamed("id", "document_id"), store, 2)
+    step = lambda n: chunk_store.begin(spark, store, "load", n)
+    chunk_store.insert(window_chunks(spark, sf).withColumns(none), store, step(1))
+    chunk_store.remove(_toxic(spark, sf).withColumnRenamed("id", "document_id"), store, step(2))
     german = documents.filter("lang = 'de'").withColumn("text", F.concat(F.lit("updated "), F.col("text")))
     fresh = chunk_documents(german, "doc_id", "text", windows=word_windows).withColumns(none)
-    chunk_store.replace(fresh, german.select(F.col("doc_id").cast("string").alias("document_id")), store, 3)
+    chunk_store.replace(fresh, german.select(F.col("doc_id").cast("string").alias("document_id")), store, step(3))
     french = documents.filter("lang = 'fr'").select(F.col("doc_id").cast("string").alias("document_id"))
     title = F.concat(F.lit("new "), F.col("document_id"))
     first = french.select("document_id", F.create_map(F.lit("title"), F.lit("old"), F.lit("v"), F.lit("2")).alias("metadata"), F.lit("1").alias("sequence"))
     second = french.select("document_id", F.create_map(F.lit("title"), title).alias("metadata"), F.lit("2").alias("sequence"))
-    chunk_store.change_metadata(first.unionByName(second), store, 4)
+    chunk_store.change_metadata(first.unionByName(second), store, step(4))
     chunk_store.compact(spark, store, target)
     return chunk_store.current(spark, target).select("id", "content", entries(F.col("metadata")).alias("metadata"))
 

@@ -20,7 +20,14 @@ UPDATE_TAGS = ("streaming", "kafka", "updated")
 
 def in_order():
     """Order of the events of one document."""
-    return F.struct("event_time", "offset")
+    return F.struct("event_time", event_rank(), "offset")
+
+
+def event_rank():
+    """Order of events of one document at the same moment: offsets of different
+    topics do not compare, so a creation comes first and a deletion last."""
+    kinds = ("document_create", "document_update", "metadata_update", "document_delete")
+    return F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")), F.lit(0))
 
 
 EVENT_COLUMNS = ("event_type", "update_type", "content", "metadata", "event_time", "offset")
@@ -53,20 +60,27 @@ def metadata_events(parsed: DataFrame) -> DataFrame:
 
 
 def apply_events(
-    messages: DataFrame, store: str, version: int, windows=packed_windows, encoder=None
+    parsed: DataFrame, store: str, change: chunk_store.Change, windows=packed_windows, encoder=None
 ) -> DataFrame:
-    """Apply one batch of messages to the store as ``version`` and return the
-    dead letters.  Repeating a version writes the same folders again."""
-    parsed = ev.parse(messages)
+    """Apply one batch of parsed messages to the store as ``change`` and return
+    the dead letters.  Repeating a change writes the same folders again."""
     good = parsed.filter(F.col("reason").isNull())
-    last = latest_events(content_events(good))
+    last = latest_events(content_events(good)).persist()
+    try:
+        _apply(good, last, store, change, windows, encoder)
+    finally:
+        last.unpersist()
+    return ev.dead_letters(parsed)
+
+
+def _apply(good: DataFrame, last: DataFrame, store: str, change: chunk_store.Change, windows, encoder) -> None:
     alive = last.filter(F.col("event_type") != "document_delete")
     tags = F.when(F.col("event_type") == "document_update", F.array(*[F.lit(t) for t in UPDATE_TAGS])).otherwise(
         F.array(*[F.lit(t) for t in CREATE_TAGS])
     )
     chunks = request_chunks(ev.request_of(alive, tags), windows, encoder)
-    chunk_store.replace(chunks, last, store, version)
-    since = last.select("document_id", F.struct("event_time", "offset").alias("_since"))
+    chunk_store.replace(chunks, last, store, change)
+    since = last.select("document_id", in_order().alias("_since"))
     changes = skew_join(metadata_events(good), since, ["document_id"], "left", spread=["offset"]).filter(
         F.col("_since").isNull() | (in_order() > F.col("_since"))
     )
@@ -74,8 +88,7 @@ def apply_events(
         "-", F.lpad(F.unix_micros("event_time").cast("string"), 20, "0"),
         F.lpad(F.coalesce("offset", F.lit(0)).cast("string"), 20, "0"),
     )
-    chunk_store.change_metadata(changes.withColumn("sequence", sequence), store, version)
-    return ev.dead_letters(parsed)
+    chunk_store.change_metadata(changes.withColumn("sequence", sequence), store, change)
 
 
 def process(
@@ -87,13 +100,16 @@ def process(
     query ends."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1  # version 0 holds the empty tables
-        batch.persist()
+        spark = batch.sparkSession
+        # the query's id belongs to its checkpoint: a new checkpoint is a new writer
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        change = chunk_store.begin(spark, store, f"stream-{writer}", batch_id)
+        parsed = ev.parse(batch).persist()
         try:
-            letters = apply_events(batch, store, version, windows, encoder)
-            letters.write.mode("overwrite").parquet(f"{dead_letter_path}/version={version}")
+            letters = apply_events(parsed, store, change, windows, encoder)
+            letters.write.mode("overwrite").parquet(change.folder(dead_letter_path, "letters"))
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -123,5 +139,5 @@ def publish(messages: DataFrame, path: str, checkpoint: str | None = None):
 
 def dead_letter_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(
-        "topic string, key string, value string, reason string, attempt int, version long"
-    ).parquet(path)
+        "topic string, key string, value string, reason string, attempt int, version long, writer string"
+    ).parquet(f"{path}/letters")

@@ -42,7 +42,7 @@ def first(spark):
 def test_one_batch(spark, first):
     store = shared_dir(spark, "s")
     chunk_store.create(spark, store)
-    letters = handlers.apply_events(first, store, 1, windows=word_windows)
+    letters = handlers.apply_events(ev.parse(first), store, chunk_store.begin(spark, store, "t", 1), windows=word_windows)
     got = seen(spark, store)
     assert {d: c for d, (c, _) in got.items()} == {"a": "one", "b": "two again"}
     assert got["a"][1]["title"] == "T2" and got["a"][1]["tags"] == "x" and got["a"][1]["filename"] == "a.txt"
@@ -50,7 +50,7 @@ def test_one_batch(spark, first):
     assert {(r["key"], r["reason"]) for r in letters.collect()} == {
         ("x", "not a JSON event"), ("a", "wrong topic"), ("p", "unknown file type")
     }
-    handlers.apply_events(first, store, 1, windows=word_windows)  # a repeated micro-batch
+    handlers.apply_events(ev.parse(first), store, chunk_store.begin(spark, store, "t", 1), windows=word_windows)  # a repeated micro-batch
     assert seen(spark, store) == got
 
 
@@ -59,9 +59,9 @@ def test_batches_equal_the_whole(spark, first):
     chunk_store.create(spark, whole)
     chunk_store.create(spark, parts)
     ordered = first.filter("offset not in (8, 10)")
-    handlers.apply_events(ordered, whole, 1, windows=word_windows)
+    handlers.apply_events(ev.parse(ordered), whole, chunk_store.begin(spark, whole, "t", 1), windows=word_windows)
     for version, where in enumerate(("offset <= 4 or offset > 11", "offset between 5 and 7", "offset between 9 and 11"), 1):
-        handlers.apply_events(ordered.filter(where), parts, version, windows=word_windows)
+        handlers.apply_events(ev.parse(ordered.filter(where)), parts, chunk_store.begin(spark, parts, "t", version), windows=word_windows)
     assert seen(spark, parts) == seen(spark, whole)
 
 
@@ -84,6 +84,17 @@ def test_stream_restart_continues(spark, first):
     assert {d: c for d, (c, _) in seen(spark, store).items()} == {"a": "one", "b": "two again"}
     assert handlers.dead_letter_table(spark, f"{root}/dead").count() == 3
     assert handlers.query_progress(query)[0]["rows"] > 0
+    writers = {r[0] for r in spark.read.parquet(f"{store}/commits").select("writer").distinct().collect()}
+    assert len(writers) == 3 and not any("None" in w for w in writers)  # the store's own, and two batches
+    # a lost checkpoint: everything comes again, as another writer, and nothing is lost
+    target = f"{root}/compacted"
+    chunk_store.compact(spark, store, target)
+    first.filter("offset = 4").coalesce(1).write.json(f"{root}/more")
+    again = handlers.process(ev.read_messages(spark, f"{root}/more"), target, f"{root}/dead2", f"{root}/check2", windows=word_windows)
+    again.awaitTermination()
+    assert set(seen(spark, store)) <= set(seen(spark, target))
+    handlers.process(ev.read_messages(spark, f"{root}/in"), store, f"{root}/dead", f"{root}/check3", windows=word_windows).awaitTermination()
+    assert {d: c for d, (c, _) in seen(spark, store).items()} == {"a": "one", "b": "two again"}
 
 
 def test_publish_batch(spark):
