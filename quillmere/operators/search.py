@@ -3,8 +3,12 @@
 The vectors are never shuffled and no pair is written out: each scan task
 scores its Arrow batches against a size-checked block of questions with one
 matrix product, keeps the best k per question, and hands over at most
-k rows per question.  A short ranking over those rows ends the job.  Any
+k rows per question.  A ranking in two steps over those rows ends the job.  Any
 number of questions is handled exactly, one block after the other.
+
+A question is compared with the vectors of its own length.  Vectors and
+questions that hold a null, NaN or infinite number have no hits
+(``embedding.dimension_rejects`` and ``unusable`` list them).
 """
 
 from __future__ import annotations
@@ -17,8 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from quillmere.session import written
+
 BLOCK_BYTES = 64 << 20  # question vectors held by one task
-FEW_QUESTIONS = 2048  # up to here one block, without counting first
+PUSHED_VALUES = 1000  # of a match column that are sent to the scan as a filter
+RANK_PARTS = 64  # of the hits of a question, ranked by themselves first
 TILE_CELLS = 1 << 21  # scores held at a time
 SCORE_DIGITS = 6  # scores are compared after rounding; ties go to the lowest id
 
@@ -75,6 +82,12 @@ def _unit_rows(vectors: pa.Array) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)[:, None]
 
 
+def unusable(embedding: Column) -> Column:
+    """Whether a vector is null, empty, or holds a null, NaN or infinite number."""
+    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(embedding) <= 0) | bad, F.lit(True))
+
+
 def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray | None, out: pa.Schema):
     """The per-task function: Arrow batches of vectors in, best rows out.
 
@@ -87,6 +100,7 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
         for column in (block[name].to_pylist() for name in filters)
     ]
     question_ids = block["question_id"].combine_chunks()
+    own_k, own_threshold = block["_k"].combine_chunks(), block["_threshold"].combine_chunks()
 
     def pieces(batch: pa.RecordBatch):
         everyone = np.arange(len(wanted))
@@ -110,6 +124,11 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
             if not batch.num_rows:
                 continue
             matrix = _unit_rows(batch.column("embedding"))
+            finite = np.isfinite(matrix).all(axis=1)
+            if not finite.all():
+                matrix, batch = matrix[finite], batch.filter(pa.array(finite))
+            if not batch.num_rows:
+                continue
             ids = batch.column("vector_id")
             allowed = [
                 [(np.array(pc.equal(batch.column(name), value).fill_null(False)), who)
@@ -128,7 +147,8 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
                     best.offer(ids.take(pa.array(part)), asking, scores)
         best.shrink()
         for table in best.parts:
-            columns = [question_ids.take(table["q"].combine_chunks()), table["id"], table["score"]]
+            q = table["q"].combine_chunks()
+            columns = [question_ids.take(q), table["id"], table["score"], own_k.take(q), own_threshold.take(q)]
             yield from pa.table(
                 [c.cast(f.type) for c, f in zip(columns, out)], schema=out
             ).combine_chunks().to_batches()
@@ -136,30 +156,21 @@ def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray
     return scan
 
 
-def _same_width(block: pa.Table, width: int) -> pa.Table:
-    return block.filter(pc.equal(pc.list_value_length(block["embedding"]), width))
-
-
-def _blocks(questions: DataFrame) -> Iterator[pa.Table]:
-    """The questions in blocks of a checked size.  A question without a
-    vector, or with one of another length, has no hits."""
-    few = questions.limit(FEW_QUESTIONS + 1).toArrow()
-    if few.num_rows <= FEW_QUESTIONS:
-        width = pc.max(pc.list_value_length(few["embedding"])).as_py() if few.num_rows else None
-        if width:
-            yield _same_width(few, width)
-        return
-    size, width = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    rows = max(BLOCK_BYTES // (8 * max(width, 1)), 1)
-    count = -(-size // rows)
-    number = F.pmod(F.xxhash64("question_id"), F.lit(count))
-    for block in range(count):
-        table = questions.filter(number == block).limit(4 * rows + 1).toArrow()
-        if table.num_rows > 4 * rows:
-            raise ValueError("a block of questions is too large: question ids must be unique")
-        table = _same_width(table, width)
-        if table.num_rows:
-            yield table
+def _blocks(questions: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
+    """The usable questions of each vector length, written once and then
+    brought here in blocks of about ``BLOCK_BYTES``; and whether there are
+    several blocks."""
+    numbered = questions.withColumn("_n", F.monotonically_increasing_id())
+    stored = written(numbered.filter(~unusable(F.col("embedding").cast("array<double>"))), "questions")
+    width = F.size("embedding")
+    sizes = stored.groupBy(width.alias("width")).agg(F.count("*").alias("n")).collect()  # a row per length
+    parts = [(r["width"], -(-r["n"] * 8 * r["width"] // BLOCK_BYTES)) for r in sizes]
+    for w, count in sorted(parts):
+        for block in range(count):
+            here = (width == w) & (F.pmod(F.xxhash64("_n"), F.lit(count)) == block)
+            table = stored.filter(here).drop("_n").toArrow()
+            if table.num_rows:
+                yield table, sum(c for _, c in parts) > 1
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -172,28 +183,42 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     raise TypeError(f"ids must be strings or integers, not {kind.simpleString()}")
 
 
-def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0):
+def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0, dimension=None):
     names = list(match)
+    own_k = F.col(k) if isinstance(k, str) else F.lit(k)
+    own_threshold = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     q = questions.select(
-        "question_id", "embedding", *[F.col(match[c]).cast("string").alias(f"_f_{c}") for c in names]
+        "question_id", "embedding", own_k.cast("int").alias("_k"), own_threshold.cast("double").alias("_threshold"),
+        *[F.col(match[c]).cast("string").alias(f"_f_{c}") for c in names],
     )
+    if dimension is not None:
+        q = q.filter(F.size("embedding") == dimension)
     filters = [f"_f_{c}" for c in names]
     ids = vectors.schema["id"].dataType, q.schema["question_id"].dataType
     out = pa.schema(
-        [("question_id", _arrow_type(ids[1])), ("vector_id", _arrow_type(ids[0])), ("score", pa.float64())]
+        [("question_id", _arrow_type(ids[1])), ("vector_id", _arrow_type(ids[0])), ("score", pa.float64()),
+         ("_k", pa.int32()), ("_threshold", pa.float64())]
     )
     result_type = T.StructType(
         [T.StructField("question_id", ids[1]), T.StructField("vector_id", ids[0]),
-         T.StructField("score", T.DoubleType())]
+         T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType()),
+         T.StructField("_threshold", T.DoubleType())]
     )
     columns = [
         F.col("id").alias("vector_id"), "embedding",
         *[F.col(c).cast("string").alias(f"_f_{c}") for c in names],
     ]
-    found, asked = None, 0
-    for block in _blocks(q):
-        asked += block.num_rows
+    found, most, largest = None, 0, 1
+    for block, several in _blocks(q):
+        block_k = max(pc.max(block["_k"]).as_py() or 0, 1)
+        most, largest = most + (pc.sum(block["_k"]).as_py() or 0), max(largest, block_k)
         rows, probes = vectors, None
+        for c in names:
+            values = pc.unique(block[f"_f_{c}"]).to_pylist()
+            if None not in values and len(values) <= PUSHED_VALUES:
+                rows = rows.filter(F.col(c).cast("string").isin(values))
+        if centroids is not None and len(block["embedding"][0]) != centroids.shape[1]:
+            continue
         if centroids is not None:
             near = _unit_rows(block["embedding"]) @ centroids.T
             order = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
@@ -203,11 +228,26 @@ def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0):
             rows = rows.select(*columns, "cell")
         else:
             rows = rows.select(*columns)
-        part = rows.mapInArrow(_scanner(block, k, filters, probes, out), result_type)
+        part = rows.mapInArrow(_scanner(block, block_k, filters, probes, out), result_type)
+        if several:  # so that one block at a time is held here
+            part = written(part, "hits")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = questions.sparkSession.createDataFrame([], result_type)
-    return rank_hits(found, k, threshold), asked * k
+    return _rank_own(found, largest), most
+
+
+def _rank_own(hits: DataFrame, most: int) -> DataFrame:
+    """Rank the hits of each question up to its own ``_k`` and ``_threshold``,
+    part by part first, so that a question with hits from very many tasks is
+    not one task's work."""
+    order = [F.desc("score"), F.asc("vector_id")]
+    part = F.pmod(F.xxhash64("vector_id"), F.lit(RANK_PARTS))
+    first = Window.partitionBy("question_id", part).orderBy(*order)
+    kept = hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).drop("rank")
+    ranked = rank_hits(kept, most).filter(F.col("rank") <= F.col("_k"))
+    enough = F.col("_threshold").isNull() | (F.col("score") >= F.col("_threshold"))
+    return ranked.filter(enough).drop("_k", "_threshold")
 
 
 def rank_hits(hits: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
@@ -220,39 +260,54 @@ def rank_hits(hits: DataFrame, k: int, threshold: float | None = None) -> DataFr
 def top_k(
     questions: DataFrame,
     vectors: DataFrame,
-    k: int = 5,
-    threshold: float | None = None,
+    k: int | str = 5,
+    threshold: float | str | None = None,
     where: Column | None = None,
     match: dict[str, str] | None = None,
+    dimension: int | None = None,
 ) -> DataFrame:
     """Exact search: question_id, vector_id, score, rank.
 
     ``questions`` has question_id and embedding, ``vectors`` id and embedding.
     ``where`` filters the vectors before ranking; ``match`` maps a vector
-    column to the question column it must equal (null: no restriction).
+    column to the question column it must equal (null: no restriction).  ``k``
+    and ``threshold`` may name question columns, so that each question brings
+    its own (null threshold: none).  With ``dimension`` questions of another
+    length are left out.
     """
-    return top_k_bounded(questions, vectors, k, threshold, where, match)[0]
+    return top_k_bounded(questions, vectors, k, threshold, where, match, dimension)[0]
 
 
 def top_k_bounded(
     questions: DataFrame,
     vectors: DataFrame,
-    k: int = 5,
-    threshold: float | None = None,
+    k: int | str = 5,
+    threshold: float | str | None = None,
     where: Column | None = None,
     match: dict[str, str] | None = None,
+    dimension: int | None = None,
 ) -> tuple[DataFrame, int]:
     """As ``top_k``, with the most hits there can be."""
     rows = vectors if where is None else vectors.filter(where)
-    return _search(questions, rows, k, match or {}, threshold)
+    return _search(questions, rows, k, match or {}, threshold, dimension=dimension)
 
 
-def train_cells(vectors: DataFrame, cells: int = 1024, iterations: int = 10, seed: int = 42) -> np.ndarray:
-    """Unit centroids by distributed k-means (cells x dimension numbers)."""
+def train_cells(
+    vectors: DataFrame, cells: int = 1024, iterations: int = 10, seed: int = 42, dimension: int | None = None
+) -> np.ndarray:
+    """Unit centroids by distributed k-means (cells x dimension numbers), from
+    the usable vectors of the most common length, or of ``dimension``, that
+    are not zero.  ``assign_cells`` puts zero vectors in the first cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    numbers = F.col("embedding").cast("array<double>")
+    good = vectors.select(numbers.alias("embedding")).filter(~unusable(F.col("embedding")))
+    if dimension is None:
+        dimension = good.agg(F.mode(F.size("embedding"))).first()[0]
+    not_zero = F.exists("embedding", lambda x: x != 0)
+    good = good.filter((F.size("embedding") == dimension) & not_zero)
+    rows = good.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=cells, maxIter=iterations, seed=seed, distanceMeasure="cosine").fit(rows)
     centers = np.array(model.clusterCenters())
     return centers / np.linalg.norm(centers, axis=1, keepdims=True)
@@ -267,7 +322,8 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
         fits = np.array(pc.equal(pc.list_value_length(embedding), centroids.shape[1]).fill_null(False))
         cells = np.zeros(len(embedding), dtype=np.int32)
         if fits.any():
-            scores = np.round(_unit_rows(embedding.filter(pa.array(fits))) @ centroids.T, 9)
+            matrix = _unit_rows(embedding.filter(pa.array(fits)))
+            scores = np.nan_to_num(np.round(matrix @ centroids.T, 9))
             cells[fits] = scores.argmax(axis=1)
         return pa.array(cells, mask=~fits)
 
@@ -284,9 +340,9 @@ def search_cells(
     questions: DataFrame,
     indexed: DataFrame,
     centroids: np.ndarray,
-    k: int = 5,
+    k: int | str = 5,
     nprobe: int = 10,
-    threshold: float | None = None,
+    threshold: float | str | None = None,
     match: dict[str, str] | None = None,
 ) -> DataFrame:
     """Search the ``nprobe`` nearest cells of each question, exact inside them.

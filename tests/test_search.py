@@ -66,7 +66,6 @@ def test_string_ids(spark, data):
 def test_many_blocks_and_tiles(spark, data, monkeypatch):
     questions, vectors = data
     monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 8 * 2)  # two questions per block
-    monkeypatch.setattr(search, "FEW_QUESTIONS", 3)
     monkeypatch.setattr(search, "TILE_CELLS", 20)
     q, v = frames(spark, questions, vectors)
     assert collected(search.top_k(q, v, 4)) == brute(questions, vectors, 4)
@@ -109,3 +108,48 @@ def test_cells_find_the_neighbours(spark, sf_dir):
     assert exact.exceptAll(every).count() == 0
     near = search.search_cells(questions, indexed, centers, 5, nprobe=6).select("question_id", "vector_id")
     assert near.intersect(exact).count() / exact.count() >= 0.9
+
+
+def test_bad_numbers_take_no_place(spark, data):
+    questions, vectors = data
+    q, v = frames(spark, questions, vectors)
+    bad = [(900, [float("nan")] * 8, "l0"), (901, [1.0] * 7 + [None], "l0"), (902, [float("inf")] + [0.0] * 7, "l0"), (903, [], "l0")]
+    more = v.unionByName(spark.createDataFrame(bad, v.schema))
+    assert collected(search.top_k(q, more, 5)) == brute(questions, vectors, 5)
+    some = q.select("question_id", F.when(F.col("question_id") % 2 == 0, F.col("embedding")).otherwise(
+        F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x))).alias("embedding"))
+    wanted = {k: r for k, r in brute(questions, vectors, 5).items() if k % 2 == 0}
+    assert collected(search.top_k(some, v, 5)) == wanted
+
+
+def test_questions_of_other_lengths(spark, data):
+    questions, vectors = data
+    q, v = frames(spark, questions, vectors)
+    long = spark.createDataFrame([(77, [1.0] * 9)], "question_id long, embedding array<double>")
+    both = q.select(F.col("question_id").cast("long").alias("question_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    wide = spark.createDataFrame([(500, [2.0] * 9, "l0")], v.schema)
+    got = collected(search.top_k(both.unionByName(long), v.unionByName(wide), 5))
+    assert got.pop(77) == [(500, 1.0)] and got == brute(questions, vectors, 5)
+    assert 77 not in collected(search.top_k(both.unionByName(long), v.unionByName(wide), 5, dimension=8))
+
+
+def test_limits_of_each_question(spark, data):
+    questions, vectors = data
+    q, v = frames(spark, questions, vectors)
+    asked = q.withColumn("n", F.col("question_id") % 4 + 1).withColumn("least", F.when(F.col("question_id") % 2 == 0, F.lit(0.5)))
+    every = brute(questions, vectors, 4)
+    wanted = {
+        k: kept for k, rows in every.items()
+        if (kept := [r for r in rows[: k % 4 + 1] if k % 2 or r[1] >= 0.5])
+    }
+    assert collected(search.top_k(asked, v, k="n", threshold="least")) == wanted
+
+
+def test_cells_of_zero_and_odd_vectors(spark, data):
+    questions, vectors = data
+    q, v = frames(spark, questions, vectors)
+    odd = v.unionByName(spark.createDataFrame([(900, [0.0] * 8, "l0"), (901, [1.0], "l0"), (902, None, "l0"), (903, [float("nan")] * 8, "l0")], v.schema))
+    centers = search.train_cells(odd, cells=4, iterations=3)
+    indexed = search.assign_cells(odd, centers)
+    got = collected(search.search_cells(q, indexed, centers, 5, nprobe=4))
+    assert got == collected(search.top_k(q, odd, 5))
