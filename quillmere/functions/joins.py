@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,8 +46,10 @@ def skew_join(
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(left, on))  # at most 1/HOT_SHARE rows
     deal = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    # null keys match nothing: they are dealt out like a hot key
+    alone = reduce(or_, [F.col(k).isNull() for k in on])
     salted = left.join(hot, list(on), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), deal).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | alone, deal).otherwise(F.lit(0))
     ).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, list(on), "left").withColumn("_salt", F.explode(every)).drop("_hot")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 from quillmere.functions.scalars import let, literal_array, literal_map
@@ -32,14 +34,8 @@ EXTENSION_TYPES = {
     ".html": "html", ".htm": "html", ".csv": "csv", ".xlsx": "xlsx", ".xls": "xlsx",
 }
 
-# Named character references (HTML standard); & itself comes last.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©",
-    "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–",
-    "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«",
-    "&raquo;": "»", "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&cent;": "¢", "&sect;": "§",
-    "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&divide;": "÷", "&para;": "¶",
-}
+# Named character references, from Python's table of HTML's; & itself comes last.
+ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items() if name != "amp"} | {"&apos;": "'"}
 
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|"

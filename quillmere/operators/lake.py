@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime
-from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from quillmere.functions.scalars import megabytes
-from quillmere.operators.quality import split_by_age
+from quillmere.functions.scalars import before, megabytes
 from quillmere.schemas import ASSETS, ZONES
+from quillmere.session import written
 
 VERSION = "1.0"
 # Days kept per zone and for logs.
@@ -20,7 +20,7 @@ LOG_DAYS = 30
 
 def _check_zone(zone: str) -> None:
     if zone not in ZONES:
-        raise ValueError(f"Invalid zone: {zone}. Valid zones: {list(ZONES)}")
+        raise ValueError(f"{zone!r} is not a zone of the lake, which has {', '.join(ZONES)}")
 
 
 def asset_path(root: str, zone: str, key: str) -> str:
@@ -32,7 +32,29 @@ def _catalog_path(root: str) -> str:
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(ASSETS).parquet(_catalog_path(root))
+    """The last row of each (zone, key); keys whose last row has no path were
+    deleted."""
+    rows = spark.read.schema(ASSETS).parquet(_catalog_path(root))
+    when = F.struct("created_at", F.col("_metadata.file_modification_time"))
+    last = rows.groupBy("zone", "key").agg(F.max_by(F.struct(*[f.name for f in ASSETS]), when).alias("_a"))
+    return last.select("_a.*").filter(F.col("path").isNotNull())
+
+
+def delete_stored(spark: SparkSession, root: str, gone: DataFrame, as_of: datetime) -> int:
+    """Delete the files of the given (zone, key) assets and mark them as gone in
+    the stored catalog; returns how many there were."""
+    there = catalog(spark, root).join(gone.select("zone", "key").distinct(), ["zone", "key"], "left_semi")
+    found = written(there, "assets-deleted")
+    marks = found.withColumns({"path": F.lit(None).cast("string"), "created_at": F.lit(as_of)})
+    marks = marks.select(*[F.col(f.name).cast(f.dataType) for f in ASSETS])
+    marks.write.mode("append").parquet(_catalog_path(root))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    for row in found.select("path").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(row["path"])
+        path.getFileSystem(conf).delete(path, True)
+        deleted += 1
+    return deleted
 
 
 def _register(spark, root, zone, key, fmt, as_of, metadata, tags, source) -> DataFrame:
@@ -79,18 +101,29 @@ def load(spark: SparkSession, root: str, zone: str, key: str, fmt: str) -> DataF
 
 
 def land(
-    records: DataFrame, root: str, source: str, as_of: datetime, zone: str = "raw", batch_size: int = 1000
+    records: DataFrame, root: str, source: str, as_of: datetime, zone: str = "raw", batch_size: int = 1_000_000,
+    problems: DataFrame | None = None,
 ) -> dict:
-    """Land connector records in files of at most ``batch_size`` rows; take
-    more for large sources.  The rows are counted while they are written."""
+    """Land connector records in files of at most ``batch_size`` rows.  The rows
+    are counted while they are written.  A landing that breaks off gives a
+    summary with its error; ``problems`` are the source's own failures."""
+    _check_zone(zone)
+    failed = problems.count() if problems is not None else 0
     key = f"{source}/{as_of:%Y%m%d_%H%M%S}_batch"
     seen = Observation(f"land-{source}")
     observed = records.observe(seen, F.count(F.lit(1)).alias("rows"))
-    asset = store(
-        observed, root, zone, key, as_of, metadata={"source": source, "ingestion_timestamp": as_of.isoformat()},
-        tags=[source, "batch_ingestion"], source=source, max_records=batch_size,
-    )
-    return {"status": "completed", "records_ingested": seen.get["rows"], "records_failed": 0, "asset": asset}
+    path = asset_path(root, zone, key)
+    try:
+        asset = store(
+            observed, root, zone, key, as_of, metadata={"source": source, "ingestion_timestamp": as_of.isoformat()},
+            tags=[source, "batch_ingestion"], source=source, max_records=batch_size,
+        )
+    except PySparkException as problem:
+        return {"status": "failed", "records_ingested": 0, "records_failed": failed, "path": path, "error": str(problem)}
+    return {
+        "status": "completed", "records_ingested": seen.get["rows"], "records_failed": failed, "path": path,
+        "asset": asset,
+    }
 
 
 def promote(
@@ -127,12 +160,10 @@ def delete_assets(assets: DataFrame, gone: DataFrame) -> DataFrame:
 
 def expire_assets(assets: DataFrame, as_of) -> DataFrame:
     """Catalog rows within their zone's retention; other zones are kept."""
-    kept = [assets.filter(~F.coalesce(F.col("zone").isin(*RETENTION_DAYS), F.lit(False)))]
-    kept += [
-        split_by_age(assets.filter(F.col("zone") == zone), as_of, days)[0]
-        for zone, days in RETENTION_DAYS.items()
-    ]
-    return reduce(DataFrame.unionByName, kept)
+    now, cut = F.lit(as_of).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    for zone, days in RETENTION_DAYS.items():
+        cut = F.when(F.col("zone") == zone, before(now, days=days)).otherwise(cut)
+    return assets.filter(~F.coalesce(F.col("created_at") < cut, F.lit(False)))
 
 
 def zone_statistics(assets: DataFrame) -> DataFrame:

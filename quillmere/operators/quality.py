@@ -24,16 +24,17 @@ FILE_REQUIRED = ("source", "upload_date")
 
 
 def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """Rows, columns, share of empty cells and repeated rows in one shuffle:
-    equal rows are counted together before it."""
+    """Rows, columns, share of empty cells and repeated rows in one shuffle, of
+    a digest of each row: equal rows are counted together before it."""
     columns = df.columns
     nulls = sum((F.col(f"`{c}`").isNull().cast("long") for c in columns), F.lit(0))
     return (
-        df.groupBy(*[f"`{c}`" for c in columns])
-        .agg(F.count("*").alias("_n"))
+        df.select(F.sha2(F.to_json(F.struct(*[f"`{c}`" for c in columns])), 256).alias("_row"), nulls.alias("_nulls"))
+        .groupBy("_row")
+        .agg(F.count("*").alias("_n"), F.sum("_nulls").alias("_nulls"))
         .agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
-            F.sum(F.col("_n") * nulls).alias("_nulls"),
+            F.sum("_nulls").alias("_nulls"),
             F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
         )
         .select(

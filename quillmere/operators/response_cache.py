@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmere.functions.joins import skew_join
 from quillmere.functions.scalars import cache_key
+from quillmere.session import written
 
 TTL_SECONDS = 3600
 
@@ -25,9 +26,10 @@ def _live(cache: DataFrame, as_of) -> DataFrame:
 def lookup(requests: DataFrame, cache: DataFrame, as_of, spread: str) -> tuple[DataFrame, DataFrame]:
     """Hits (with the response) and misses.  ``spread`` names the request id:
     a question asked by a third of all requests is dealt out over it."""
-    live = _live(cache, as_of).select("cache_key", "response", "source_documents")
-    hits = skew_join(requests, live, ["cache_key"], "inner", spread=[spread])
-    misses = skew_join(requests, live.select("cache_key"), ["cache_key"], "left_anti", spread=[spread])
+    live = _live(cache, as_of).select("cache_key", "response", "source_documents", F.lit(True).alias("_hit"))
+    looked_up = written(skew_join(requests, live, ["cache_key"], "left", spread=[spread]), "cache-lookup")
+    hits = looked_up.filter("_hit").drop("_hit")
+    misses = looked_up.filter("_hit is null").drop("_hit", "response", "source_documents")
     return hits, misses
 
 
@@ -99,10 +101,11 @@ def answer_with_cache(
     """
     keyed = with_key(requests, parts)
     hits, misses = lookup(keyed, cache, as_of, spread=request_id)
+    # one whole request a key: the one with the smallest id
     asked = misses.groupBy("cache_key").agg(
-        *[F.min(c).alias(c) for c in misses.columns if c not in ("cache_key", request_id)]
-    )
-    fresh = entries(answer_misses(asked), as_of)
+        F.min_by(F.struct(*[c for c in misses.columns if c not in ("cache_key", request_id)]), request_id).alias("_r")
+    ).select("cache_key", "_r.*")
+    fresh = written(entries(answer_misses(asked), as_of), "fresh-answers")
     answered = skew_join(
         misses, fresh.select("cache_key", "response", "source_documents"), ["cache_key"], "inner",
         spread=[request_id],

@@ -15,6 +15,7 @@ from quillmere.operators.cleaning import process_table
 from quillmere.operators.curation import curate_rows, ingestion_requests
 from quillmere.operators.ingestion import ingestion_responses, request_chunks
 from quillmere.operators.quality import profile_tables
+from quillmere.session import written
 from quillmere.sources.jdbc import union_sources
 
 
@@ -52,8 +53,9 @@ def run(
     chunk_store.create(spark, store)
     change = chunk_store.begin(spark, store, f"etl-{as_of:%Y%m%d_%H%M%S}")
     chunk_store.insert(request_chunks(wanted, windows, as_of=as_of), store, change)
-    responses = ingestion_responses(wanted, chunk_store.current(spark, store, with_changes=False))
-    report = etl_report(profiles, union_sources(landed), responses)
+    answered = ingestion_responses(wanted, chunk_store.current(spark, store, with_changes=False))
+    responses = written(answered, "responses")
+    report = written(etl_report(profiles, union_sources(landed), responses), "report")
     lake.store(
         report, root, "processed", f"reports/{as_of:%Y%m%d_%H%M%S}", as_of, fmt="text", tags=["report"],
         metadata={"report_type": "execution"}, source="lake_etl",

@@ -23,7 +23,8 @@ def scan_collection(
         id_type = rows.schema["_id"].dataType
         plain = F.col("_id.$oid") if "$oid" in getattr(id_type, "names", ()) else F.col("_id")
         rows = rows.withColumn("_id", plain.cast("string"))
-    return rows.select(F.lit(collection).alias("collection"), F.to_json(F.struct("*")).alias("data"))
+    as_json = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return rows.select(F.lit(collection).alias("collection"), as_json.alias("data"))
 
 
 def scan_collections(

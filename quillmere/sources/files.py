@@ -13,24 +13,29 @@ MAX_FILE_BYTES = 50 * 1024 * 1024
 TEXT_TYPES = ("txt", "md", "html", "csv")
 
 
-def _binary(spark: SparkSession, path, **options) -> DataFrame:
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-    )
+# A larger file cannot be one value of a row.
+MOST_BYTES = (1 << 31) - 1024
+TOO_LARGE = "file too large to read"
+
+
+def _binary(spark: SparkSession, path, limit: int, **options) -> DataFrame:
+    """Files with their content; those above ``limit`` keep their row, and their
+    content is null and never read.  A file that cannot be read fails the job:
+    none is left out in silence."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     for name, value in options.items():
         reader = reader.option(name, value)
-    return reader.load(path)
+    found = reader.load(path)
+    large = found.filter(F.col("length") > limit).withColumn("content", F.lit(None).cast("binary"))
+    return found.filter(F.col("length") <= limit).unionByName(large)
 
 
-def scan_objects(spark: SparkSession, bucket: str, prefix: str = "") -> DataFrame:
-    """Objects below ``bucket``/``prefix``: key, size, last_modified, content,
-    metadata, source_path.  Columns that are not asked for, the content above
-    all, are not read."""
+def scan_objects(spark: SparkSession, bucket: str, prefix: str = "", limit: int = MOST_BYTES) -> DataFrame:
+    """Objects below ``bucket``/``prefix``: key, size, last_modified, content
+    (null above ``limit`` bytes), metadata, source_path.  Columns that are not
+    asked for, the content above all, are not read."""
     root = bucket.rstrip("/")
-    found = _binary(spark, f"{root}/{prefix}" if prefix else root)
+    found = _binary(spark, f"{root}/{prefix}" if prefix else root, limit)
     bare = root.split(":", 1)[-1].lstrip("/") if ":" in root.split("/")[0] else root.lstrip("/")
     at = F.instr(F.col("path"), bare)
     return found.select(
@@ -43,10 +48,13 @@ def scan_objects(spark: SparkSession, bucket: str, prefix: str = "") -> DataFram
     )
 
 
-def scan_directory(spark: SparkSession, root: str, patterns: Sequence[str] = ("*",)) -> DataFrame:
-    """Files below ``root`` whose name matches any of the patterns, each once."""
+def scan_directory(
+    spark: SparkSession, root: str, patterns: Sequence[str] = ("*",), limit: int = MOST_BYTES
+) -> DataFrame:
+    """Files below ``root`` whose name matches any of the patterns, each once;
+    the content of files above ``limit`` bytes is null and not read."""
     glob = patterns[0] if len(patterns) == 1 else "{" + ",".join(patterns) + "}"
-    found = _binary(spark, root, pathGlobFilter=glob)
+    found = _binary(spark, root, limit, pathGlobFilter=glob)
     path = F.col("path")
     return found.select(
         path.alias("file_path"),

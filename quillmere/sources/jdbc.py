@@ -38,7 +38,7 @@ def table_options(config: dict, table: str) -> dict[str, str]:
 def _record(rows: DataFrame, table: str, extracted_at) -> DataFrame:
     return rows.select(
         F.lit(table).alias("table"),
-        F.to_json(F.struct("*")).alias("data"),
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("data"),
         F.lit(extracted_at).cast("timestamp").alias("extracted_at"),
     )
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillmere.session import written
+
 SCHEMA = "endpoint string, data string, page int, error string"
 
 FetchPage = Callable[[str, int, int], object]
@@ -88,9 +91,11 @@ class PagesSource(DataSource):
 
 
 def scan_endpoints(
-    spark: SparkSession, endpoints: list[str], fetch: FetchPage, page_size: int = 100, stripes: int = 1
+    spark: SparkSession, endpoints: list[str], fetch: FetchPage, page_size: int = 100, stripes: int = 1,
+    extracted_at: datetime | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Records and errors of paged endpoints.
+    """Records and errors of paged endpoints.  Every page is fetched once: what
+    came is written, and both results are read from there.
 
     ``stripes`` tasks share one endpoint, each taking every n-th page until
     it meets a short one.  Records past an endpoint's first failed page are
@@ -105,6 +110,9 @@ def scan_endpoints(
         .option("fetch", cloudpickle.dumps(fetch).hex())
         .load()
     )
+    rows = written(rows, "pages")
+    if extracted_at is not None:
+        rows = rows.withColumn("extracted_at", F.lit(extracted_at))
     errors = rows.filter(F.col("error").isNotNull())
     records = rows.filter(F.col("error").isNull()).drop("error")
     if stripes > 1:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quillmere.functions.scalars import let, literal_map
 from quillmere.schemas import DOCUMENT_TYPES, EVENT, MESSAGE, TOPICS
 
-RATE_LIMIT = 100
 MAX_MESSAGE_BYTES = 10 * 1024 * 1024
 MAX_ATTEMPTS = 3
 
@@ -87,20 +86,26 @@ def batch_messages(documents: DataFrame, order: str) -> DataFrame:
     return create_messages(named, partition_key="batch_id")
 
 
-def read_messages(spark: SparkSession, path: str, max_files: int = RATE_LIMIT) -> DataFrame:
-    """Message stream from JSON files with topic, key, value, partition, offset."""
-    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", max_files).json(path)
+def read_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Message stream from JSON files with topic, key, value, partition, offset;
+    ``max_files`` limits a micro-batch."""
+    reader = spark.readStream.schema(MESSAGE)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, per_trigger: int = RATE_LIMIT) -> DataFrame:
-    """Message stream from a broker, where the Kafka package is installed."""
-    return (
+def read_kafka(spark: SparkSession, servers: str, per_trigger: int | None = None) -> DataFrame:
+    """Message stream from a broker, where the Kafka package is installed;
+    ``per_trigger`` limits the messages of a micro-batch."""
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", ",".join(TOPICS.values()))
         .option("startingOffsets", "latest")
-        .option("maxOffsetsPerTrigger", per_trigger)
-        .load()
+    )
+    if per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", per_trigger)
+    return (
+        reader.load()
         .select("topic", F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset")
     )
 

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,14 +119,45 @@ def test_collections(spark, tmp_path):
 
 
 def test_source_kinds(spark, folder):
-    rows = registry.read_source(spark, "filesystem", {"root_path": str(folder), "file_patterns": ["*.txt"]})
-    assert rows.count() == 1
-    api = registry.read_source(spark, "api", {"endpoints": ["a"], "fetch": pages(3)})
-    assert api.count() == 3
+    files = registry.read_source(spark, "filesystem", {"root_path": str(folder), "file_patterns": ["*.txt"]})
+    assert files.rows.count() == 1 and files.problems.count() == 0
+    api = registry.read_source(spark, "api", {"endpoints": ["a"], "fetch": pages(3)}, datetime(2024, 1, 1))
+    assert {r["extracted_at"] for r in api.rows.collect()} == {datetime(2024, 1, 1)} and api.rows.count() == 3
+
+    def failing(endpoint, page, limit):
+        raise OSError("no route")
+
+    broken = registry.read_source(spark, "api", {"endpoints": ["a"], "fetch": failing})
+    assert [tuple(r) for r in broken.problems.collect()] == [("a, page 1", "no route")] and broken.rows.count() == 0
     with pytest.raises(ValueError):
         registry.read_source(spark, "fax", {})
 
 
+def test_large_files_keep_their_row(spark, folder):
+    rows = files.scan_directory(spark, str(folder), limit=1).select("file_name", "content", "file_size").collect()
+    assert rows and all((r["content"] is None) == (r["file_size"] > 1) for r in rows)
+
+
+def test_pages_are_fetched_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def fetch(endpoint, page, limit):
+        with calls.open("a") as log:
+            log.write(f"{endpoint} {page}\n")
+        return [{"n": page}] * (limit if page < 3 else 1)
+
+    records, errors = rest.scan_endpoints(spark, ["a"], fetch, page_size=2)
+    assert records.count() == 5 and errors.count() == 0 and records.filter("page = 1").count() == 2
+    assert sorted(calls.read_text().split("\n")[:-1]) == ["a 1", "a 2", "a 3"]
+
+
+def test_nulls_stay_in_records(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.json").write_text('{"a": 1, "b": null}\n{"a": null, "b": 2}\n')
+    rows, _ = collections.scan_collections(spark, str(tmp_path), ["c"])
+    assert sorted(r["data"] for r in rows.collect()) == ['{"a":1,"b":null}', '{"a":null,"b":2}']
+
+
 def test_union_fills_missing_columns(spark):
     parts = [spark.range(1).withColumn("a", F.lit(1)), spark.range(1).withColumn("b", F.lit(2))]
     assert sorted(jdbc.union_sources(parts).columns) == ["a", "b", "id"]

@@ -68,6 +68,7 @@ def test_profile_of_an_empty_table(spark):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_hot_keys_do_not_change_a_join(spark, how):
     left = spark.range(3000).select("id", F.when(F.col("id") < 1000, 1).otherwise(F.col("id") % 500).alias("k"))
+    left = left.unionByName(spark.range(500).select((F.col("id") + 9000).alias("id"), F.lit(None).cast("long").alias("k")))
     right = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = left.join(right, ["k"], how)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -169,6 +170,17 @@ def test_lake(spark):
     assert lake.load(spark, root, "documents", "notes/x", "text").first()["value"] == "a b\nc\n"
     listed = lake.list_assets(lake.catalog(spark, root), prefix="notes/", tags=["n", "other"]).collect()
     assert [(r["zone"], r["format"], r["size_bytes"], r["source"]) for r in listed] == [("documents", "text", 6, "me")]
+    lake.store(lines.limit(1), root, "documents", "notes/x", now, fmt="text", source="again")  # one row a key
+    listed = lake.list_assets(lake.catalog(spark, root), prefix="notes/").collect()
+    assert [(r["size_bytes"], r["source"]) for r in listed] == [(4, "again")]
+    gone = spark.createDataFrame([("documents", "notes/x"), ("raw", "unknown")], "zone string, key string")
+    assert lake.delete_stored(spark, root, gone, datetime(2024, 1, 2)) == 1
+    assert lake.catalog(spark, root).count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        lake.load(spark, root, "documents", "notes/x", "text").count()
+    bad = spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("v"))
+    summary = lake.land(bad, root, "src", now)
+    assert summary["status"] == "failed" and "broken" in summary["error"]
 
 
 def test_refresh_replaces_the_report(spark):
