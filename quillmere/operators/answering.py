@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillmere.functions.scalars import let
 from quillmere.functions.text import strip
 from quillmere.operators.embedding import hashed_encoder
+from quillmere.operators.response_cache import answer_with_cache
 from quillmere.operators.search import top_k_bounded
+from quillmere.session import written
 
 MAX_QUERY = 1000
 DEFAULT_RESULTS, MAX_RESULTS = 5, 20
@@ -94,13 +96,18 @@ def attach_content(
 
 def answer(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """One response per question from its ranked sources (question_id,
-    vector_id, score, rank, content): answer, context, confidence, sources.
+    vector_id, score, rank, content and what else a source shows): answer,
+    confidence, the sources and their ids.
 
     A question has at most k sources, so the collected lists are bounded."""
+    shown = [c for c in ("document_id", "chunk_index", "metadata") if c in sources.columns]
     per_question = sources.groupBy("question_id").agg(
         F.avg("score").alias("_mean"),
         F.count("*").alias("_n"),
-        F.array_sort(F.collect_list(F.struct("rank", "vector_id", "score", "content"))).alias("_hits"),
+        F.array_sort(
+            F.collect_list(F.struct("rank", "vector_id", "score", "content", *shown)),
+            lambda a, b: a["rank"] - b["rank"],
+        ).alias("_hits"),
     )
     joined = questions.join(per_question, "question_id", "left")
     context = F.array_join(F.col("_hits.content"), "\n\n")
@@ -112,6 +119,7 @@ def answer(questions: DataFrame, sources: DataFrame) -> DataFrame:
         F.coalesce(F.col("_hits.vector_id"), F.array().cast("array<string>")).alias("source_ids"),
         F.coalesce(F.col("_mean"), F.lit(0.0)).alias("confidence_score"),
         F.coalesce("_n", F.lit(0)).alias("num_sources"),
+        F.col("_hits").alias("sources"),
         *[F.col(c) for c in questions.columns if c not in ("question_id", "query", "embedding")],
     )
 
@@ -130,3 +138,38 @@ def answer_questions(
     asked = questions.withColumn("embedding", encode(F.col("query")))
     hits, most = top_k_bounded(asked, chunks, k, threshold, **search)
     return answer(questions, attach_content(hits, chunks, most))
+
+
+def answer_requests(
+    requests: DataFrame, chunks: DataFrame, cache: DataFrame, as_of, request_id: str = "request_id",
+    encoder: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole question flow: validate, look up, embed and search with each
+    request's own number of results and threshold, answer, remember.
+
+    Returns the answers of the valid requests (response: JSON with answer,
+    confidence_score, num_sources and the scored sources), the updated cache,
+    and the rejected requests with their error.  A key is its query, number of
+    results and threshold; each missed key is answered once.
+    """
+    checked = written(validate_requests(requests), "requests")
+    parts = ("max_results", "similarity_threshold")
+    encode = encoder or hashed_encoder()
+
+    def answer_misses(asked: DataFrame) -> DataFrame:
+        questions = asked.select(F.col("cache_key").alias("question_id"), "query", *parts)
+        hits, most = top_k_bounded(
+            questions.withColumn("embedding", encode(F.col("query"))), chunks, k=parts[0], threshold=parts[1]
+        )
+        found = answer(questions.select("question_id", "query"), attach_content(hits, chunks, most))
+        shown = F.struct("answer", "confidence_score", "num_sources", "sources")
+        cited = F.array_distinct(F.transform("sources", lambda h: h["document_id"].cast("string")))
+        documents = F.coalesce(cited, F.array().cast("array<string>"))
+        return found.select(
+            F.col("question_id").alias("cache_key"), "query", F.to_json(shown).alias("response"),
+            documents.alias("source_documents"),
+        )
+
+    valid = checked.filter("valid").select(request_id, "query", *parts)
+    answers, remembered = answer_with_cache(valid, cache, answer_misses, as_of, request_id, parts)
+    return answers, remembered, checked.filter("not valid")

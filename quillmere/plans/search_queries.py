@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillmere.operators import answering, embedding, search
+from quillmere.operators import answering, embedding, response_cache, search
 from quillmere.plans import snippets as sn
 from quillmere.plans.registry import query, table
 from quillmere.plans.text_queries import window_chunks
@@ -61,6 +61,17 @@ def cosine_top_k_threshold(spark, sf):
     )
 
 
+@query(f"""WITH {_SCORED} SELECT * FROM ({_ranked('scored', 10)})
+WHERE rank <= question_id % 10 + 1 AND (question_id % 2 = 1 OR score >= 0.3)""")
+def cosine_top_k_per_question(spark, sf):
+    """Each question brings its own number of results and threshold."""
+    asked = label_questions(spark, sf).withColumns({
+        "wanted": (F.col("question_id") % 10 + 1).cast("int"),
+        "least": F.when(F.col("question_id") % 2 == 0, F.lit(0.3)),
+    })
+    return search.top_k(asked, vectors(spark, sf), k="wanted", threshold="least")
+
+
 @query(f"""WITH {_SCORED}, hits AS (SELECT * FROM ({_ranked('scored', 5)}) WHERE score >= 0.3)
 SELECT label::BIGINT AS question_id, coalesce(round(avg(score), 6), 0.0) AS confidence, count(score) AS sources
 FROM label_means LEFT JOIN hits ON question_id = label GROUP BY label""")
@@ -159,6 +170,48 @@ def answer_questions(spark, sf):
     )
 
 
+@query(f"""WITH {_TERM_CTES}, {sn.weights('asked', 'item_id', 'text', 'q')},
+  pairs AS (SELECT q.id AS question_id, c.id AS vector_id, sum(q.w * c.w) AS s
+            FROM weights_q q JOIN weights_c c USING (bucket) GROUP BY 1, 2),
+  scored AS (SELECT item_id AS question_id, c.id AS vector_id, round(coalesce(s, 0.0), 6) AS score
+             FROM asked CROSS JOIN chunks c LEFT JOIN pairs ON question_id = item_id AND vector_id = c.id),
+  hits AS (SELECT h.*, content FROM ({_ranked('scored', 3)}) h JOIN chunks ON id = vector_id
+           WHERE rank <= 1 + question_id % 3 AND score >= CASE WHEN question_id % 2 = 0 THEN 0.3 ELSE 0.5 END),
+  found AS (SELECT question_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context,
+                   string_agg(vector_id || ' ' || round(score * 1000000)::BIGINT, ',' ORDER BY rank) AS sources, count(*) AS n
+            FROM hits GROUP BY question_id)
+SELECT item_id || '-' || r AS request_id, item_id % 5 = 0 AS cached,
+  CASE WHEN item_id % 5 = 0 THEN 'known' ELSE {sn.answer('text', 'context')} END AS answer,
+  CASE WHEN item_id % 5 = 0 THEN '' ELSE coalesce(sources, '') END AS sources,
+  CASE WHEN item_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS num_sources
+FROM asked CROSS JOIN (SELECT unnest([0, 1]) AS r) LEFT JOIN found ON question_id = item_id""")
+def answer_requests(spark, sf):
+    """Each benchmark passage asked twice, a fifth of them cached, every request
+    with its own number of results and threshold."""
+    item = F.col("item_id")
+    requests = table(spark, sf, "benchmark").select(
+        F.explode(F.array(F.concat(item.cast("string"), F.lit("-0")), F.concat(item.cast("string"), F.lit("-1")))).alias("request_id"),
+        "item_id", F.col("text").alias("query"), (item % 3 + 1).cast("int").alias("max_results"),
+        F.when(item % 2 == 0, F.lit(0.3)).otherwise(F.lit(0.5)).alias("similarity_threshold"),
+    )
+    parts = ("max_results", "similarity_threshold")
+    now = F.lit(sn.AS_OF).cast("timestamp_ntz")
+    known = answering.validate_requests(requests.filter(item % 5 == 0))
+    cache = response_cache.with_key(known, parts).select(
+        "cache_key", "query", F.lit('{"answer":"known","num_sources":0,"sources":[]}').alias("response"),
+        F.array().cast("array<string>").alias("source_documents"), now.alias("created_at"),
+        (now + F.make_dt_interval(hours=F.lit(1))).alias("expires_at"),
+    ).distinct()
+    chunks = embedding.embed(window_chunks(spark, sf))
+    answers, _, _ = answering.answer_requests(requests.drop("item_id"), chunks, cache, sn.AS_OF)
+    shape = "answer string, num_sources long, sources array<struct<vector_id: string, score: double>>"
+    read = answers.select("request_id", "cached", F.from_json("response", shape).alias("r"))
+    scored = F.transform("r.sources", lambda s: F.concat_ws(" ", s["vector_id"], F.round(s["score"] * 1_000_000).cast("long").cast("string")))
+    return read.select(
+        "request_id", "cached", "r.answer", F.coalesce(F.array_join(scored, ","), F.lit("")).alias("sources"), F.col("r.num_sources").alias("num_sources"),
+    )
+
+
 @query(f"""SELECT conv_id, turn, query, max_results, similarity_threshold, error, error IS NULL AS valid FROM (
   SELECT conv_id, turn, {sn.strip('text')} AS query, coalesce(r, 5) AS max_results, t AS similarity_threshold,
     CASE WHEN length(text) < 1 OR {sn.strip('text')} = '' THEN 'Query cannot be empty'

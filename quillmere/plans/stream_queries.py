@@ -132,6 +132,29 @@ def apply_event_stream(spark, sf):
     )
 
 
+@query(f"""SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, CAST(sum(length(content)) AS BIGINT) AS characters
+FROM (SELECT split_part(id, '_chunk_', 1) AS doc_id, content FROM {sn.window_chunks(_ALIVE, 'doc_id', 'text', ', title')})""")
+def store_of_two_writers(spark, sf):
+    """A batch load, compacted; then a stream with a checkpoint of its own
+    updates and deletes; then the stream's messages once more under a lost
+    checkpoint."""
+    root = shared_dir(spark, "two-writers")
+    loaded, store = f"{root}/loaded", f"{root}/store"
+    create, update, change, delete, broken = event_log(spark, sf)
+    chunk_store.create(spark, loaded)
+    handlers.apply_events(ev.parse(create), loaded, chunk_store.begin(spark, loaded, "load"), windows=word_windows)
+    chunk_store.compact(spark, loaded, store)
+    union_sources([update, change, delete, broken]).coalesce(4).write.json(f"{root}/in")
+    for attempt in ("first", "again"):
+        messages = ev.read_messages(spark, f"{root}/in")
+        handlers.process(messages, store, f"{root}/dead", f"{root}/check-{attempt}", windows=word_windows).awaitTermination()
+    rows = chunk_store.current(spark, store)
+    return rows.agg(
+        F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"),
+        F.sum(F.char_length("content")).alias("characters"),
+    )
+
+
 @query("""SELECT 'rag-documents-dlq' AS topic, doc_id::VARCHAR AS key, 'not a JSON event' AS reason, 1::BIGINT AS attempt,
   'rag-documents' AS retry_topic FROM documents WHERE lang = 'en' AND n_chars < 500""")
 def dead_letters(spark, sf):

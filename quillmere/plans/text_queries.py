@@ -9,6 +9,7 @@ from quillmere.operators import chunking
 from quillmere.operators.cleaning import drop_duplicate_content
 from quillmere.plans import snippets as sn
 from quillmere.plans.registry import entries, query, table, texts
+from quillmere.session import shared_dir
 from quillmere.sources import files
 
 
@@ -249,14 +250,31 @@ def json_rows(spark, sf):
     )
 
 
-@query()
+def _text_files(spark, sf) -> str:
+    """The documents as text files below a folder for each source."""
+    path = shared_dir(spark, "text-files")
+    table(spark, sf, "documents").select("text", "source").write.partitionBy("source").text(path)
+    return path
+
+
+_FILE_SUMS = """SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+  CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents"""
+
+
+@query(f"{_FILE_SUMS} GROUP BY source")
 def object_scan(spark, sf):
-    """The table files as objects; the listing does not read them."""
-    return files.scan_objects(spark, sf).select("key", "size", "last_modified", "source_path")
+    """Documents stored as objects by source, listed and read back."""
+    found = files.scan_objects(spark, _text_files(spark, sf), "").filter(F.endswith("key", F.lit(".txt")))
+    return _file_sums(found.withColumn("source", F.regexp_extract("key", "source=([^/]+)/", 1)), "size")
 
 
-@query()
+@query(f"{_FILE_SUMS} GROUP BY source")
 def directory_scan(spark, sf):
-    return files.scan_directory(spark, sf, ["*.parquet", "*.json"]).select(
-        "file_name", "file_size", "file_extension", "modified_time"
-    )
+    found = files.scan_directory(spark, _text_files(spark, sf), ["*.txt", "*.text"])
+    return _file_sums(found.withColumn("source", F.regexp_extract("file_path", "source=([^/]+)/", 1)), "file_size")
+
+
+def _file_sums(found, size):
+    text = F.col("content").cast("string")
+    lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return found.groupBy("source").agg(F.sum(size).alias("bytes"), F.sum(lines).cast("long").alias("lines"))
