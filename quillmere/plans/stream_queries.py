@@ -155,6 +155,28 @@ def store_of_two_writers(spark, sf):
     )
 
 
+@query(f"""SELECT 'letters' AS what, count(*) * 3 AS n, count(*) AS last_attempts FROM documents WHERE lang = 'en' AND n_chars < 500
+UNION ALL SELECT 'documents', count(DISTINCT split_part(id, '_chunk_', 1)), 0 FROM {sn.window_chunks('documents', 'doc_id', 'text')}""")
+def retried_messages(spark, sf):
+    """Broken messages come back until their third attempt; the others land."""
+    root = shared_dir(spark, "retries")
+    store, letters = f"{root}/store", f"{root}/dead"
+    chunk_store.create(spark, store)
+    create, *_, broken = event_log(spark, sf)
+    union_sources([create, broken]).coalesce(4).write.json(f"{root}/in")
+    for _ in range(4):  # once more than there are attempts
+        messages = ev.read_messages(spark, f"{root}/in")
+        handlers.process(messages, store, letters, f"{root}/check", windows=word_windows).awaitTermination()
+        handlers.retry(spark, letters, f"{root}/in", f"{root}/check-retry").awaitTermination()
+    failed = handlers.dead_letter_table(spark, letters).agg(
+        F.lit("letters").alias("what"), F.count("*").alias("n"), F.count_if(F.col("attempt") == 3).alias("last_attempts")
+    )
+    landed = chunk_store.current(spark, store).agg(
+        F.lit("documents").alias("what"), F.count_distinct("document_id").alias("n"), F.lit(0).cast("long").alias("last_attempts")
+    )
+    return failed.unionByName(landed)
+
+
 @query("""SELECT 'rag-documents-dlq' AS topic, doc_id::VARCHAR AS key, 'not a JSON event' AS reason, 1::BIGINT AS attempt,
   'rag-documents' AS retry_topic FROM documents WHERE lang = 'en' AND n_chars < 500""")
 def dead_letters(spark, sf):

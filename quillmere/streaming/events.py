@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quillmere.functions.scalars import let, literal_map
 from quillmere.schemas import DOCUMENT_TYPES, EVENT, MESSAGE, TOPICS
@@ -89,7 +89,8 @@ def batch_messages(documents: DataFrame, order: str) -> DataFrame:
 def read_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Message stream from JSON files with topic, key, value, partition, offset;
     ``max_files`` limits a micro-batch."""
-    reader = spark.readStream.schema(MESSAGE)
+    attempted = T.StructType([*MESSAGE.fields, T.StructField("attempt", T.IntegerType())])  # null: never failed
+    reader = spark.readStream.schema(attempted)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(path)
 
 
@@ -171,7 +172,7 @@ def filter_events(
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
     """Failed messages for the dead-letter topic, with reason and attempt."""
-    attempt = F.col("attempt") if "attempt" in parsed.columns else F.lit(0)
+    attempt = F.coalesce("attempt", F.lit(0)) if "attempt" in parsed.columns else F.lit(0)
     return parsed.filter(F.col("reason").isNotNull()).select(
         F.concat("topic", F.lit("-dlq")).alias("topic"), "key", "value", "reason",
         (attempt + 1).cast("int").alias("attempt"),

@@ -137,6 +137,15 @@ def publish(messages: DataFrame, path: str, checkpoint: str | None = None):
     )
 
 
+def retry(spark: SparkSession, dead_letter_path: str, messages_path: str, checkpoint: str) -> StreamingQuery:
+    """Send new dead letters with attempts left back to the message folder,
+    each once, with their attempt count; those without stay where they are."""
+    schema = "topic string, key string, value string, reason string, attempt int"
+    letters = spark.readStream.schema(schema).parquet(f"{dead_letter_path}/letters/*/*")
+    again = ev.retryable(letters).select("topic", "key", "value", "attempt")
+    return publish(again, messages_path, checkpoint)
+
+
 def dead_letter_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(
         "topic string, key string, value string, reason string, attempt int, version long, writer string"
