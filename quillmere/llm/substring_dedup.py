@@ -14,8 +14,10 @@ that are copies are the maximal repeats.
    the same node within a batch are known to be copies and stay behind, so a
    passage that a third of all rows share sends one document a batch.
 3. Each group builds its part of the tree by sorting, finds the smallest
-   document below each node, and returns the places of the copies.
-4. The places join their texts by row, and covered words are cut out.
+   document below each node, and returns the places of the copies, packed by
+   parts of the rows.
+4. The places of each row are gathered, join their text, and covered words are
+   cut out.
 
 Defined cases: null and empty texts and texts below ``DEPTH`` words have no
 window; ids that are null come after all others and are equal to each other;
@@ -44,25 +46,24 @@ from quillmere.session import planned_bytes, written
 
 DEPTH = 13
 PREFIXES = (1, 2, 3, 5, 8)  # words; the whole depth comes last
-GROUP_SUFFIXES = 3_000_000
+GROUP_SUFFIXES = 1_500_000
 _NULL_ID = (1 << 63) - 1
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def _prefix_hashes(h: np.ndarray, lengths: tuple[int, ...], base: int) -> dict[int, np.ndarray]:
-    """Hash of the first words of each suffix, for each prefix length; all
-    arrays have an entry for each suffix with as many words as the longest."""
-    count = len(h) - lengths[-1] + 1
-    if count <= 0:
-        return {n: np.empty(0, np.uint64) for n in lengths}
-    out, total = {}, h[:count].copy()
+def _prefix_hashes(h: np.ndarray, lengths: tuple[int, ...], base: int) -> Iterator[np.ndarray]:
+    """Hash of the first words of each suffix, for each prefix length in turn;
+    an entry for each suffix with as many words as the longest.  What is given
+    is overwritten by the next."""
+    count = max(0, len(h) - lengths[-1] + 1)
+    total = h[:count].copy()
     with np.errstate(over="ignore"):
         for k in range(1, lengths[-1] + 1):
             if k > 1:
-                total = total * np.uint64(base) + h[k - 1 : k - 1 + count]
+                total *= np.uint64(base)
+                total += h[k - 1 : k - 1 + count]
             if k in lengths:
-                out[k] = total
-    return out
+                yield total
 
 
 class Plan(NamedTuple):
@@ -75,15 +76,20 @@ class Plan(NamedTuple):
     group: list[np.ndarray]  # by prefix: the group of a class
     groups: int
 
-    def classes(self, h: np.ndarray) -> list[np.ndarray]:
-        found = _prefix_hashes(h, self.prefixes, _BASES[1])
-        return [(mixed(found[n], n) >> np.uint64(64 - self.bits)).astype(np.int64) for n in self.prefixes]
-
-    def groups_of(self, h: np.ndarray) -> np.ndarray:
-        found = self.classes(h)
-        out = self.group[-1][found[-1]]
-        for k in range(len(self.prefixes) - 2, -1, -1):
-            out = np.where(self.small[k][found[k]], self.group[k][found[k]], out)
+    def classes(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        for n, found in zip(self.prefixes, _prefix_hashes(h, self.prefixes, _BASES[1])):
+            yield (mixed(found, n) >> np.uint64(64 - self.bits)).astype(np.int32)
+
+    def groups_of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Groups of the suffixes at ``at``."""
+        out, open_ = np.empty(len(at), np.int32), np.arange(len(at))
+        for small, group, found in zip(self.small, self.group, self.classes(h)):
+            own = found[at[open_]]
+            taken = small[own]
+            out[open_[taken]] = group[own[taken]]
+            open_ = open_[~taken]
+            if not len(open_):
+                break
         return out
 
 
@@ -145,7 +151,7 @@ def pack_places(docs: np.ndarray, rows: np.ndarray, places: np.ndarray, extra: b
     """Places of several rows, ascending within a row, as bytes: the ids and
     keys of the rows, how many places each has, and the steps between them."""
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.empty(0, np.int64)
-    steps = np.diff(places, prepend=0)
+    steps = np.diff(places.astype(np.int64), prepend=0)
     steps[first] = places[first]
     counts = np.diff(np.append(first, len(rows)))
     table = docs[rows[first]]
@@ -167,7 +173,7 @@ def unpack_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
     total = np.cumsum(steps)
     first = np.cumsum(counts) - counts
     base = total[first] - steps[first] if n_rows else total[:0]
-    return rows, np.repeat(np.arange(n_rows), counts), total - np.repeat(base, counts), data[24 : 24 + size]
+    return rows, np.repeat(np.arange(n_rows), counts), total - np.repeat(base, counts), memoryview(data)[24 : 24 + size]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -194,11 +200,12 @@ def _dealt(docs: DataFrame, plan: Plan) -> DataFrame:
             at = np.flatnonzero(_windows(words.starts, plan.depth))
             if not len(at):
                 continue
-            row = np.searchsorted(words.starts, at, "right") - 1
+            row = (np.searchsorted(words.starts, at, "right") - 1).astype(np.int32)
             place = at - words.starts[row]
-            node = _prefix_hashes(h, (plan.depth,), _BASES[0])[plan.depth][at]
-            group = plan.groups_of(h)[at]
-            more = (mixed(_prefix_hashes(mixed(h, 5), (plan.depth,), _BASES[1])[plan.depth][at]) >> np.uint64(56)).astype(np.uint8)
+            (node,) = _prefix_hashes(h, (plan.depth,), _BASES[0])
+            (other,) = _prefix_hashes(mixed(h, 5), (plan.depth,), _BASES[1])
+            group, node, more = plan.groups_of(h, at), node[at], (mixed(other[at]) >> np.uint64(56)).astype(np.uint8)
+            del h, other
             # the first of equal nodes has the smallest document, as rows are in order
             order = np.argsort(node, kind="stable")
             new = np.concatenate(([True], node[order][1:] != node[order][:-1]))
@@ -224,61 +231,84 @@ def _dealt(docs: DataFrame, plan: Plan) -> DataFrame:
     return _keyed(docs).mapInArrow(suffixes, "group int, kind int, data binary")
 
 
-def _rows_of(rows: np.ndarray, row: np.ndarray, places: np.ndarray) -> pd.DataFrame:
-    """A row per text with its places."""
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.empty(0, np.int64)
-    parts = np.split(places.astype("<u4"), first[1:]) if len(row) else []
-    own = rows[row[first]]
+def _packed(table: np.ndarray, row: np.ndarray, place: np.ndarray, parts: int) -> pd.DataFrame:
+    """Places by part of the rows, a row of bytes for each part."""
+    part = (mixed(table["doc"].view(np.uint64) ^ table["key"].astype(np.uint64), 7) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((place, row, part[row]))
+    row, place = row[order], place[order]
+    ends = np.flatnonzero(np.diff(part[row])) + 1
+    bounds = [0, *ends.tolist(), len(row)] if len(row) else [0]
     return pd.DataFrame({
-        "doc_id": own["doc"].astype(np.int64), "key": own["key"].astype(np.int64),
-        "places": [zstandard.compress(p.tobytes(), 1) for p in parts],
+        "part": [int(part[row[a]]) for a in bounds[:-1]],
+        "data": [pack_places(table, row[a:b], place[a:b]) for a, b in zip(bounds, bounds[1:])],
     })
 
 
-def _subtree(group: pd.DataFrame) -> pd.DataFrame:
-    """Places of the copies among a group's suffixes."""
+def _subtree(group: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Places of the copies among a group's suffixes, by part of the rows."""
     out = []
     tables, rows, places, nodes, more = [], [], [], [], []
     base = 0
     for kind, data in zip(group["kind"], group["data"]):
         table, row, place, extra = unpack_places(data)
         if kind:
-            out.append(_rows_of(table, row, place))
+            out.append(_packed(table, row, place, parts))
             continue
         n = len(row)
         tables.append(table)
-        rows.append(row + base)
-        places.append(place)
+        rows.append((row + base).astype(np.int32))
+        places.append(place.astype(np.int32))
         nodes.append(np.frombuffer(extra, "<u8", n))
         more.append(np.frombuffer(extra, "u1", n, 8 * n))
         base += len(table)
     if nodes:
         table, row, place = np.concatenate(tables), np.concatenate(rows), np.concatenate(places)
         node, more_bits = np.concatenate(nodes), np.concatenate(more)
+        del tables, rows, places, nodes, more
         order = np.lexsort((more_bits, node))
+        node, more_bits = node[order], more_bits[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (node[1:] != node[:-1]) | (more_bits[1:] != more_bits[:-1])
+        del node, more_bits
         doc = table["doc"][row[order]]
-        step = (node[order][1:] != node[order][:-1]) | (more_bits[order][1:] != more_bits[order][:-1])
-        new = np.concatenate(([True], step))
         least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-        copies = np.sort(order[doc > least])  # back in the order of rows and places
-        out.append(_rows_of(table, row[copies], place[copies]))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "key": [], "places": []})
+        copies = order[doc > least]
+        out.append(_packed(table, row[copies], place[copies], parts))
+    return pd.concat(out) if out else pd.DataFrame({"part": [], "data": []})
+
+
+def _gathered(part: pd.DataFrame) -> pd.DataFrame:
+    """All places of each row of a part."""
+    found = [unpack_places(data)[:3] for data in part["data"]]
+    keys = np.concatenate([table[row] for table, row, _ in found])
+    places = np.concatenate([place for _, _, place in found])
+    order = np.lexsort((places, keys["key"], keys["doc"]))
+    keys, places = keys[order], places[order]
+    ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    first = np.concatenate(([0], ends)).astype(np.int64)
+    return pd.DataFrame({
+        "doc_id": keys["doc"][first].astype(np.int64), "key": keys["key"][first].astype(np.int64),
+        "places": [zstandard.compress(np.unique(p).astype("<u4").tobytes(), 1) for p in np.split(places, ends)],
+    })
 
 
 def copies(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """doc_id, key, places: for each row with copied windows the first words of
-    these, in parts."""
+    """doc_id, key, places: the first words of the copied windows of each row
+    that has any.  There are twice as many parts of rows as groups of suffixes,
+    so a part's places are about as many as a group's or fewer."""
     plan = plan_groups(docs, depth, group_suffixes)
-    found = _dealt(docs, plan).groupBy("group").applyInPandas(_subtree, "doc_id long, key long, places binary")
-    return written(found, "copied-windows")
+    parts = 2 * plan.groups
+    found = _dealt(docs, plan).groupBy("group").applyInPandas(lambda g: _subtree(g, parts), "part int, data binary")
+    rows = found.groupBy("part").applyInPandas(_gathered, "doc_id long, key long, places binary")
+    return written(rows, "copied-windows")
 
 
 def _covered(starts: np.ndarray, found: list, depth: int) -> np.ndarray:
     """Which words lie in a copied window."""
     copied = np.zeros(int(starts[-1]) + 1, np.int64)
-    for first, parts in zip(starts.tolist(), found):
-        for part in parts or ():
-            copied[first + np.frombuffer(zstandard.decompress(part), "<u4").astype(np.int64)] = 1
+    for first, places in zip(starts.tolist(), found):
+        if places is not None:
+            copied[first + np.frombuffer(zstandard.decompress(places), "<u4").astype(np.int64)] = 1
     total = np.concatenate((np.zeros(depth, np.int64), np.cumsum(copied[:-1])))
     return total[depth:] > total[:-depth]
 
@@ -289,7 +319,7 @@ def remove_repeats(
     """doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by a
     space), spans (first and last word of each maximal repeat) and, if asked
     for, the text that is left."""
-    found = copies(docs, depth, group_suffixes).groupBy("doc_id", "key").agg(F.collect_list("places").alias("places"))
+    found = copies(docs, depth, group_suffixes)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
