@@ -204,19 +204,21 @@ _TYPED = f"""(SELECT *, string_split(file_path, '/')[-1] AS filename,
     WHEN '.docx' THEN 'docx' ELSE 'txt' END AS file_type FROM {_PATHS})"""
 
 
-@query(f"""SELECT file_path, filename, file_size, file_type, file_size <= 5000 AS valid,
-  CASE WHEN file_size > 5000 THEN 'File too large: ' || file_size || ' bytes (max: 5000)' END AS error FROM {_TYPED}""")
+@query(f"""SELECT file_path, filename, file_size, file_type, file_size <= 52428800 AS valid,
+  CASE WHEN file_size > 52428800 THEN 'File too large: ' || file_size || ' bytes (max: 52428800)' END AS error
+FROM (SELECT * REPLACE (CAST(file_size * 10000 AS BIGINT) AS file_size) FROM {_TYPED})""")
 def file_validation(spark, sf):
-    return files.validate_files(_document_files(spark, sf), limit=5000).drop("content")
+    """The listing alone, each file as if it were ten thousand times its size."""
+    listing = _document_files(spark, sf).drop("content").withColumn("file_size", F.col("file_size").cast("long") * 10_000)
+    return files.validate_files(listing)
 
 
 @query(f"""SELECT file_path, filename, file_type, file_size, valid,
   CASE WHEN valid THEN CASE WHEN file_type = 'html' THEN {_html_sql('content')} ELSE {sn.strip('content')} END END AS content,
-  CASE WHEN NOT valid THEN CASE WHEN file_size > 5000 THEN 'File too large: ' || file_size || ' bytes (max: 5000)'
-    ELSE 'no text reader for docx' END END AS error
-FROM (SELECT *, file_size <= 5000 AND file_type <> 'docx' AS valid FROM {_TYPED})""")
+  CASE WHEN NOT valid THEN 'no text reader for docx' END AS error
+FROM (SELECT *, file_type <> 'docx' AS valid FROM {_TYPED})""")
 def load_documents(spark, sf):
-    return files.load_documents(_document_files(spark, sf), limit=5000)
+    return files.load_documents(_document_files(spark, sf))
 
 
 @query("""SELECT page_id, string_split(url, '/')[-1] AS last_part, 'processed_' || string_split(url, '/')[-1] AS processed_key,
