@@ -32,7 +32,7 @@ from quillmere.llm.words import Words, pieces, split_words
 
 SAMPLE_ROWS = 20_000  # of each label, for the fit
 LEXICON = 65_536  # candidate terms at most
-PRIOR = 500.0  # weight of the prior, in documents' worth of terms
+PRIOR = 20.0  # weight of the prior, in documents' worth of terms
 LEAST = 0.5  # and at least this for each term
 Z = 3.0
 DRIFT = 0.15
