@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -144,36 +143,50 @@ def _windows(starts: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(there)[:-1] > 0
 
 
-_SQUEEZE = "<QQ"
+_SQUEEZE = "<QQQ"
+_ROW = np.dtype([("doc", "<i8"), ("key", "<u4")])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then the next, and so on: small numbers
+    leave runs of zeros."""
+    return np.ascontiguousarray(values.view("u1").reshape(len(values), values.itemsize).T).tobytes()
+
 
+def _unplaned(raw: bytes, kind: str, count: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    found = np.frombuffer(raw, "u1", count * size, at).reshape(size, count)
+    return np.ascontiguousarray(found.T).reshape(-1).view(kind)
 
-def pack_places(docs: np.ndarray, rows: np.ndarray, places: np.ndarray, extra: bytes = b"") -> bytes:
-    """Places of several rows, ascending within a row, as bytes: the ids and
-    keys of the rows, how many places each has, and the steps between them."""
+
+def pack_places(table: np.ndarray, rows: np.ndarray, places: np.ndarray, extra: bytes = b"") -> bytes:
+    """Places of several rows, ascending within a row, as bytes: the steps
+    between the ids of the rows, their keys, how many places each has, and the
+    steps between these."""
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))) if len(rows) else np.empty(0, np.int64)
     steps = np.diff(places.astype(np.int64), prepend=0)
     steps[first] = places[first]
-    counts = np.diff(np.append(first, len(rows)))
-    table = docs[rows[first]]
-    raw = table.tobytes() + counts.astype("<u4").tobytes() + steps.astype("<u4").tobytes()
-    return struct.pack(_SQUEEZE, len(first), len(rows)) + struct.pack("<Q", len(extra)) + extra + zstandard.compress(raw, 1)
-
-
-_ROW = np.dtype([("doc", "<i8"), ("key", "<u4")])
+    own = table[rows[first]]
+    parts = [
+        np.diff(own["doc"], prepend=0).astype("<i8"), own["key"].astype("<u4"),
+        np.diff(np.append(first, len(rows))).astype("<u4"), steps.astype("<u4"),
+    ]
+    packed = zstandard.compress(b"".join(map(_planes, parts)), 3)
+    return struct.pack(_SQUEEZE, len(first), len(rows), len(extra)) + extra + packed
 
 
-def unpack_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def unpack_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, memoryview]:
     """Rows (id, key), the row of each place, the places, and what came with them."""
-    n_rows, n = struct.unpack_from(_SQUEEZE, data)
-    (size,) = struct.unpack_from("<Q", data, 16)
+    n_rows, n, size = struct.unpack_from(_SQUEEZE, data)
     raw = zstandard.decompress(data[24 + size :])
-    rows = np.frombuffer(raw, _ROW, n_rows)
-    counts = np.frombuffer(raw, "<u4", n_rows, rows.nbytes).astype(np.int64)
-    steps = np.frombuffer(raw, "<u4", n, rows.nbytes + 4 * n_rows).astype(np.int64)
-    total = np.cumsum(steps)
+    rows = np.empty(n_rows, _ROW)
+    rows["doc"] = np.cumsum(_unplaned(raw, "<i8", n_rows, 0))
+    rows["key"] = _unplaned(raw, "<u4", n_rows, 8 * n_rows)
+    counts = _unplaned(raw, "<u4", n_rows, 12 * n_rows).astype(np.int64)
+    total = np.cumsum(_unplaned(raw, "<u4", n, 16 * n_rows).astype(np.int64))
     first = np.cumsum(counts) - counts
-    base = total[first] - steps[first] if n_rows else total[:0]
-    return rows, np.repeat(np.arange(n_rows), counts), total - np.repeat(base, counts), memoryview(data)[24 : 24 + size]
+    before = np.concatenate(([0], total))[first]  # the steps of earlier rows
+    return rows, np.repeat(np.arange(n_rows), counts), total - np.repeat(before, counts), memoryview(data)[24 : 24 + size]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -329,7 +342,7 @@ def remove_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
-            texts = pa.array([zstandard.decompress(t) .decode() for t in batch.column("text").to_pylist()], pa.string())
+            texts = pa.array([zstandard.decompress(t).decode() for t in batch.column("text").to_pylist()], pa.string())
             lists = pc.ascii_split_whitespace(texts)
             flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
             real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
