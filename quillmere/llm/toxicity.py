@@ -10,10 +10,12 @@
    word costs ``DRIFT``, so a segment ends where too little follows).
 4. A segment's score becomes an extreme-value p-value for a text of that
    length; the evidence of the significant segments of a text is summed, and a
-   logistic curve fitted on the sample turns it into the score.
+   logistic curve fitted on the sample turns it into the score.  There a row
+   counts for as many training rows of its label as it stands for, so the curve
+   has their ratio and not that of the bounded sample.
 
-Defined cases: a null text is empty; a text without evidence gets the sample's
-share of toxic rows among such texts; labelled rows with a null id, or with
+Defined cases: a null text is empty; a text without evidence gets the weighted
+share of toxic rows among such texts of the sample; labelled rows with a null id, or with
 differing labels, are left out; with one label only every row scores its rate;
 an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
 """
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillmere.llm.quality_ranking import held_out
+from quillmere.llm.quality_ranking import held_out, labelled
 from quillmere.llm.words import Words, pieces, split_words
 
 SAMPLE_ROWS = 20_000  # of each label, for the fit
@@ -122,19 +124,6 @@ class Toxicity(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.base + self.slope * evidence, -30, 30)))
 
 
-def _sample(labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
-    clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    clean = clean.filter(
-        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), FOLDS, FOLD)
-    )
-    clean = clean.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_m"))
-    clean = clean.filter(F.col("label") == F.col("_m")).drop("_m")
-    sides = [
-        clean.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for v in (0, 1)
-    ]
-    return sides[0].unionByName(sides[1])
-
-
 def _label_counts(sample: DataFrame) -> DataFrame:
     """term, documents of each label that hold it; the row with a null term
     counts documents."""
@@ -205,14 +194,15 @@ def _decay(shares: np.ndarray, gains: np.ndarray) -> float:
     return max(low, 1e-3)
 
 
-def _curve(evidence: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one number, by Newton steps with a little shrinkage."""
+def _curve(evidence: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one number, by Newton steps with a little
+    shrinkage; a row counts ``weight`` times."""
     x = np.column_stack([np.ones(len(y)), evidence])
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 1e-3 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 1e-3 * w)
     return float(w[0]), float(max(w[1], 0.0))
 
 
@@ -220,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     """The model, from ``sample_rows`` labelled rows of each label at most and
     counts over all documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(_sample(labels, label, sample_rows)), "doc_id")  # narrow rows, bounded
-    sample = sample.dropDuplicates(["text", "label"])  # a text that was copied has one vote
+    chosen = labelled(texts, labels, label, sample_rows, FOLDS, FOLD, once=True)  # a text that was copied has one vote
+    sample = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"])  # narrow rows, bounded
+    sample = sample.dropDuplicates(["text", "label"])
     counts = _label_counts(sample).filter((F.col("toxic") >= 2) | F.col("term").isNull())
     totals = counts.filter(F.col("term").isNull()).first()
     docs_toxic, docs_clean = (totals["toxic"], totals["clean"]) if totals else (0, 0)
@@ -245,10 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = model.evidence(split_words(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found)], names=["label", "evidence"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), batch.column("weight"), pa.array(found)], names=["label", "weight", "evidence"]
+            )
 
-    rows = sample.mapInArrow(evidence, "label int, evidence double").toPandas()  # at most 2 x sample_rows
-    base, slope = _curve(rows["evidence"].to_numpy(float), rows["label"].to_numpy(float))
+    # at most 2 x sample_rows
+    rows = sample.mapInArrow(evidence, "label int, weight double, evidence double").toPandas()
+    base, slope = _curve(*(rows[c].to_numpy(float) for c in ("evidence", "label", "weight")))
     return model._replace(base=base, slope=slope)
 
 
