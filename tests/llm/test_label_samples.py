@@ -5,7 +5,7 @@ import random
 import pytest
 from helpers import documents
 
-from quillmere.llm import toxicity
+from quillmere.llm import quality_ranking, toxicity
 
 
 def test_toxicity_sample_keeps_the_ratio(spark):
@@ -22,3 +22,20 @@ def test_toxicity_sample_keeps_the_ratio(spark):
     assert part.base == pytest.approx(whole.base, abs=0.6)
     scores = [toxicity.score(docs, m).select("doc_id", "score").distinct().toPandas()["score"] for m in (whole, part)]
     assert scores[1].mean() == pytest.approx(scores[0].mean(), abs=0.04)
+
+
+def test_quality_sample_keeps_the_quantile(spark):
+    deal = random.Random(2)
+    rows, marks = [], []
+    for i in range(2000):
+        bad = i % 10 == 0
+        junk = max(0, round(deal.gauss(14 if bad else 8, 3)))  # the kinds overlap
+        said = [*(f"word{deal.randrange(300)}" for _ in range(40 - junk)), *["%%"] * junk]
+        deal.shuffle(said)
+        rows.append((i, " ".join(said)))
+        marks.append((i, int(not bad)))
+    docs, labels = documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int")
+    models = [quality_ranking.fit(docs, labels, sample_rows=n) for n in (20_000, 150)]
+    shares = [1 - quality_ranking.score(docs, m).toPandas()["predicted"].mean() for m in models]
+    assert 0.07 <= shares[0] <= 0.13 and shares[1] == pytest.approx(shares[0], abs=0.06)
+    assert models[1].centre == pytest.approx(models[0].centre, abs=0.3 * models[0].scale.max())
