@@ -16,7 +16,7 @@
 
 Defined cases: a null text is empty; a text without evidence gets the weighted
 share of toxic rows among such texts of the sample; labelled rows with a null id, or with
-differing labels, are left out; with one label only every row scores its rate;
+differing labels, are left out; an id with several texts trains with one; with one label only every row scores its rate;
 an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
 """
 
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = labelled(texts, labels, label, sample_rows, FOLDS, FOLD, once=True)  # a text that was copied has one vote
     sample = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"])  # narrow rows, bounded
-    sample = sample.dropDuplicates(["text", "label"])
+    sample = sample.dropDuplicates(["text", "label"])  # at most 2 x sample_rows, also if an id is repeated
     counts = _label_counts(sample).filter((F.col("toxic") >= 2) | F.col("term").isNull())
     totals = counts.filter(F.col("term").isNull()).first()
     docs_toxic, docs_clean = (totals["toxic"], totals["clean"]) if totals else (0, 0)
@@ -240,7 +240,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
                 [batch.column("label"), batch.column("weight"), pa.array(found)], names=["label", "weight", "evidence"]
             )
 
-    # at most 2 x sample_rows
     rows = sample.mapInArrow(evidence, "label int, weight double, evidence double").toPandas()
     base, slope = _curve(*(rows[c].to_numpy(float) for c in ("evidence", "label", "weight")))
     return model._replace(base=base, slope=slope)

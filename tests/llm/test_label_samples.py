@@ -1,6 +1,7 @@
 """Fits on a bounded sample of the labels against fits on all of them."""
 
 import random
+import zlib
 
 import pytest
 from helpers import documents
@@ -39,3 +40,21 @@ def test_quality_sample_keeps_the_quantile(spark):
     shares = [1 - quality_ranking.score(docs, m).toPandas()["predicted"].mean() for m in models]
     assert 0.07 <= shares[0] <= 0.13 and shares[1] == pytest.approx(shares[0], abs=0.06)
     assert models[1].centre == pytest.approx(models[0].centre, abs=0.3 * models[0].scale.max())
+
+
+def test_repeated_ids_train_once(spark, monkeypatch):
+    """Rows that reach the driver, with one id that has most rows and many texts."""
+    rows = [(i, f"a fair word {i} " * 9 if i % 2 else f"%% || {i} " * 30) for i in range(60)]
+    rows += [(1, f"a fair text {i % 150} " * 9) for i in range(300)]
+    marks = [(i, i % 2) for i in range(60)]
+    seen = []
+    inner = quality_ranking._feature_rows
+    monkeypatch.setattr(quality_ranking, "_feature_rows", lambda docs: seen.append(docs.count()) or inner(docs))
+    docs = documents(spark, rows)
+    quality_ranking.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    curve = toxicity._curve
+    monkeypatch.setattr(toxicity, "_curve", lambda evidence, *rest: seen.append(len(evidence)) or curve(evidence, *rest))
+    toxicity.fit(docs, labels)
+    wanted = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))
+    assert seen == [wanted, sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(60))]
