@@ -46,7 +46,8 @@ PSEUDO = 5  # added to each count
 SCALE_STEPS = 3  # shares in 1000 ** SCALE_STEPS-ths
 TOP = 50
 PART_TERMS = 20_000  # terms of one group in a skyband task
-BLOCK_CELLS = 4_000_000  # terms x sources in a block of shares
+BLOCK_CELLS = 4_000_000  # terms x sources in a block of shares, at most
+BLOCK_TERMS = 512  # terms in a block; where a language has more sources, as many as these
 PIECE_BYTES = 16 << 20
 STRIDE = 256  # terms held against the skyband at once
 
@@ -156,8 +157,9 @@ def pair_values(terms: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value: the summed difference of shares of every two
     sources of a language, in both directions."""
     sizes = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.max("n_terms").alias("terms"))
-    blocks = sizes.select(
-        "lang", F.greatest(F.lit(1), F.ceil(F.col("sources") * F.col("terms") / BLOCK_CELLS)).alias("blocks"))
+    # with as many terms as sources, the sums of a block are no more than half its cells
+    wide = F.least(F.greatest(F.lit(BLOCK_TERMS), "sources"), F.ceil(F.lit(BLOCK_CELLS) / F.col("sources")))
+    blocks = sizes.select("lang", F.greatest(F.lit(1), F.ceil(F.col("terms") / wide)).alias("blocks"))
     cells = terms.join(groups, ["lang", "source"]).join(blocks, "lang").select(
         "lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term",
         share(F.col("n"), F.col("total"), F.col("n_terms")).alias("p"))

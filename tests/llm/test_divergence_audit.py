@@ -78,7 +78,7 @@ def _rows(seed):
 def test_audit(spark, monkeypatch, small):
     if small:  # several parts to a skyband, several blocks to a language, rounds of merging
         monkeypatch.setattr(audit, "PART_TERMS", 7)
-        monkeypatch.setattr(audit, "BLOCK_CELLS", 20)
+        monkeypatch.setattr(audit, "BLOCK_TERMS", 3)
         monkeypatch.setattr(audit.skybands, "__defaults__", (audit.TOP, 7))
     rows = _rows(1)
     got = audit.audit(documents(spark, rows), min_docs=5, top=6)
