@@ -13,7 +13,7 @@ from quillmere.plans.log_queries import query_logs
 from quillmere.plans.registry import entries, query, stamp, table, texts
 from quillmere.plans.text_queries import window_chunks
 from quillmere.schemas import QUERY_LOGS
-from quillmere.session import shared_dir
+from quillmere.session import shared_dir, written
 from quillmere.sources import collections, jdbc, rest
 
 AS_OF = sn.AS_OF
@@ -251,6 +251,22 @@ def deleted_chunk_counts(spark, sf):
     return chunk_store.deleted_counts(window_chunks(spark, sf), gone)
 
 
+@query(f"""SELECT l.id AS document_id, coalesce(n, 0) AS before, 0::BIGINT AS after FROM
+(SELECT DISTINCT doc_id::VARCHAR AS id FROM labels WHERE toxic = 1) l LEFT JOIN {_CHUNK_COUNTS} c USING (id)""")
+def stored_chunk_counts(spark, sf):
+    """Chunks of documents in the store before and after their removal, read
+    from these documents' buckets."""
+    store = shared_dir(spark, "counted")
+    gone = written(_toxic(spark, sf).withColumnRenamed("id", "document_id"), "gone")
+    none = {"embedding": F.lit(None).cast("array<float>"), "metadata": F.create_map().cast("map<string,string>")}
+    chunk_store.create(spark, store)
+    chunk_store.insert(window_chunks(spark, sf).withColumns(none), store, chunk_store.begin(spark, store, "load"))
+    before = written(chunk_store.stored_counts(gone, store).withColumnRenamed("deleted", "before"), "before")
+    chunk_store.remove(gone, store, chunk_store.begin(spark, store, "removal"))
+    after = chunk_store.stored_counts(gone, store).withColumnRenamed("deleted", "after")
+    return before.join(after, "document_id")
+
+
 @query(f"""SELECT id, CASE WHEN user_id NOT IN (SELECT user_id FROM events WHERE value > 200) THEN user_id::VARCHAR END AS user_id,
   endpoint FROM {sn.LOGS}""")
 def forget_users(spark, sf):

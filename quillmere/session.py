@@ -47,6 +47,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Folder:
+    """Small marker files in a folder of any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def touch(self, name: str) -> None:
+        self._fs.create(self._path(name), True).close()
+
+    def names(self, name: str = "") -> list[str]:
+        """What lies in the folder; nothing if it is not there."""
+        place = self._path(name)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(place)) if self._fs.exists(place) else []
+
+    def delete(self) -> None:
+        self._fs.delete(self._path(""), True)
+
+
 SMALL_BYTES = 256 << 20
 
 

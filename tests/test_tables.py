@@ -157,6 +157,68 @@ def test_chunk_store(spark):
     assert {r["document_id"]: r["deleted"] for r in counts.collect()} == {"a": 1, "zz": 0}
 
 
+def test_a_removal_reads_its_buckets_only(spark):
+    """Files of other buckets may be unreadable, and the plan names the buckets."""
+    import glob
+
+    path = shared_dir(spark, "t")
+    chunk_store.create(spark, path, buckets=64)
+    names = [f"d{i}" for i in range(1000)]
+    chunk_store.insert(chunk_rows(spark, *[(n, "x") for n in names]), path, chunk_store.begin(spark, path, "t", 1))
+    asked = spark.createDataFrame([(n,) for n in [*names[:10], "unknown"]], "document_id string")
+    buckets = set(chunk_store.buckets_of(asked, path))
+    assert 1 < len(buckets) <= 11
+    for file in glob.glob(f"{path}/chunks/version=1/*/bucket=*/*.parquet"):
+        if int(file.split("bucket=")[1].split("/")[0]) not in buckets:
+            with open(file, "wb") as broken:
+                broken.write(b"no parquet")
+    chunk_store.remove(asked, path, chunk_store.begin(spark, path, "t", 2))
+    removed = spark.read.parquet(f"{path}/removed").filter("version = 2")
+    assert sorted(r["document_id"] for r in removed.collect()) == sorted(names[:10])
+    counts = chunk_store.stored_counts(asked, path).collect()
+    assert {r["document_id"]: r["deleted"] for r in counts} == dict.fromkeys([*names[:10], "unknown"], 0)
+    plan = chunk_store.known_documents(asked, path)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and all("PartitionFilters: [bucket" in line and "ReadSchema: struct<document_id:string>" in line for line in scans)
+    with pytest.raises(Exception, match="no parquet|is not a Parquet file"):
+        chunk_store.current(spark, path).count()
+
+
+def test_writers_at_once_get_versions_of_their_own(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = shared_dir(spark, "t")
+    chunk_store.create(spark, path)
+    with ThreadPoolExecutor(8) as pool:
+        given = list(pool.map(lambda k: chunk_store.begin(spark, path, f"w{k}", k % 3), range(40)))
+    assert len({c.version for c in given}) == 40
+    assert [chunk_store.begin(spark, path, f"w{k}", k % 3) for k in range(40)] == given
+    rows = [chunk_rows(spark, (f"d{k}", "x"), ("shared", str(k))) for k in (0, 1)]
+    doc = spark.createDataFrame([("shared",)], "document_id string")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: chunk_store.replace(rows[k], doc, path, given[k]), (0, 1)))
+    seen = {r["document_id"]: r["content"] for r in chunk_store.current(spark, path).collect()}
+    assert seen["d0"] == seen["d1"] == "x" and seen["shared"] in "01"
+
+
+def test_store_takes_odd_ids(spark):
+    """Null ids, repeated rows, an empty change, and another number of buckets."""
+    path, target = shared_dir(spark, "t"), shared_dir(spark, "t")
+    chunk_store.create(spark, path, buckets=3)
+    rows = chunk_rows(spark, (None, "n"), ("", "e"), ("a/b=c", "s"), ("twice", "1"), ("twice", "1"))
+    chunk_store.insert(rows, path, chunk_store.begin(spark, path, "t", 1))
+    none = spark.createDataFrame([], "document_id string")
+    chunk_store.replace(rows.limit(0), none, path, chunk_store.begin(spark, path, "t", 2))
+    seen = lambda where: sorted((str(r[0]), r[1]) for r in chunk_store.current(spark, where).select("document_id", "content").collect())
+    wanted = sorted([("None", "n"), ("", "e"), ("a/b=c", "s"), ("twice", "1"), ("twice", "1")])
+    assert seen(path) == wanted
+    chunk_store.compact(spark, path, target, buckets=7)
+    assert seen(target) == wanted and chunk_store.bucket_count(spark, target) == 7
+    gone = spark.createDataFrame([("twice",), ("a/b=c",), (None,), ("twice",)], "document_id string")
+    chunk_store.remove(gone, target, chunk_store.begin(spark, target, "t", 1))
+    assert seen(target) == sorted([("None", "n"), ("", "e")])  # a null id names no document
+
+
 def test_lake(spark):
     root, now = shared_dir(spark, "lake"), datetime(2024, 1, 1)
     with pytest.raises(ValueError):
