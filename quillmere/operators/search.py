@@ -1,10 +1,17 @@
 """Cosine top-k of a table of questions over a table of vectors.
 
-The vectors are never shuffled and no pair is written out: each scan task
-scores its Arrow batches against a size-checked block of questions with one
-matrix product, keeps the best k per question, and hands over at most
-k rows per question.  A ranking in two steps over those rows ends the job.  Any
-number of questions is handled exactly, one block after the other.
+The vectors are read once, never shuffled, and no pair is written out.  The
+questions are written to the shared folder in blocks of a bounded size; each
+scan task holds a bounded stretch of vectors and streams the blocks past it,
+one matrix product after the other.  It hands over at most k rows per question
+and stretch, and a ranking in two steps over those rows ends the job.  The
+driver sees how many questions there are, not the questions.  Tasks open the
+blocks with pyarrow, so the shared folder must be one that it reads (a mounted
+path, or a store it has a file system for).
+
+The matrix product only picks candidates.  What is ranked is each candidate's
+own product, summed in one order, so equal vectors have equal scores wherever
+they lie.
 
 A question is compared with the vectors of its own length.  Vectors and
 questions that hold a null, NaN or infinite number have no hits
@@ -13,7 +20,7 @@ questions that hold a null, NaN or infinite number have no hits
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,13 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quillmere.session import written
+from quillmere.session import shared_dir, written
 
 BLOCK_BYTES = 64 << 20  # question vectors held by one task
+HELD_BYTES = 64 << 20  # vectors held while the blocks go past
 PUSHED_VALUES = 1000  # of a match column that are sent to the scan as a filter
 RANK_PARTS = 64  # of the hits of a question, ranked by themselves first
 TILE_CELLS = 1 << 21  # scores held at a time
 SCORE_DIGITS = 6  # scores are compared after rounding; ties go to the lowest id
+SLACK = 2e-6  # by which a product may be short and still be a candidate: more than rounding and summing can move it
 
 
 @dataclass
@@ -42,15 +51,16 @@ class _Best:
     def __post_init__(self):
         self.floor = np.full(self.questions, -np.inf)
 
-    def offer(self, ids: pa.Array, which: np.ndarray, scores: np.ndarray) -> None:
+    def offer(self, ids: pa.Array, which: np.ndarray, scores: np.ndarray, exact: Callable) -> None:
+        """Rows by questions; ``exact`` gives the scores of (row, question) pairs."""
         floor = self.floor[which]
         if len(scores) > self.k:
             top = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
             floor = np.maximum(floor, top)
-        rows, cols = np.nonzero((scores >= floor) & (scores > -np.inf))
+        rows, cols = np.nonzero((scores >= floor - SLACK) & (scores > -np.inf))
         if len(rows):
             self.parts.append(
-                pa.table({"q": which[cols], "score": scores[rows, cols], "id": ids.take(pa.array(rows))})
+                pa.table({"q": which[cols], "score": exact(rows, cols), "id": ids.take(pa.array(rows))})
             )
             self.waiting += len(rows)
             if self.waiting > max(4 * self.k * self.questions, 1 << 18):
@@ -88,89 +98,140 @@ def unusable(embedding: Column) -> Column:
     return F.coalesce((F.size(embedding) <= 0) | bad, F.lit(True))
 
 
-def _scanner(block: pa.Table, k: int, filters: Sequence[str], probes: np.ndarray | None, out: pa.Schema):
+@dataclass
+class _Asked:
+    """The usable questions as written blocks of each vector length."""
+
+    folder: str
+    blocks: list[tuple[int, int]]  # (length, number of blocks)
+    most: int  # hits there can be
+    largest: int  # number of results of one question
+
+    def path(self, width: int, block: int) -> str:
+        return f"{self.folder}/width={width}/block={block}"
+
+
+def _ask(questions: DataFrame) -> _Asked:
+    """Write the questions (with ``_k``) in blocks of about ``BLOCK_BYTES``."""
+    numbered = questions.withColumn("_n", F.monotonically_increasing_id()).withColumn("width", F.size("embedding"))
+    stored = written(numbered.filter(~unusable(F.col("embedding").cast("array<double>"))), "questions")
+    sizes = stored.groupBy("width").agg(
+        F.count("*").alias("n"), F.max("_k").alias("k"), F.sum("_k").alias("hits")).collect()  # a row per length
+    blocks = [(r["width"], -(-r["n"] * 8 * r["width"] // BLOCK_BYTES)) for r in sorted(sizes, key=lambda r: r["width"])]
+    folder = shared_dir(questions.sparkSession, "question-blocks")
+    if blocks:
+        count = F.create_map(*[F.lit(x) for pair in blocks for x in pair])[F.col("width")]
+        dealt = stored.withColumn("block", F.pmod(F.xxhash64("_n"), count)).drop("_n")
+        dealt.repartition("width", "block").write.partitionBy("width", "block").parquet(folder)
+    return _Asked(folder, blocks, sum(r["hits"] or 0 for r in sizes), max([r["k"] or 0 for r in sizes] + [1]))
+
+
+def _block(path: str) -> pa.Table | None:
+    """A block of questions, read in a task."""
+    from pyarrow import fs, parquet
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    store, place = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    found = [f.path for f in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if f.path.endswith(".parquet")]
+    if not found:  # by chance no question fell into it
+        return None
+    return pa.concat_tables([parquet.read_table(f, filesystem=store, partitioning=None) for f in sorted(found)])
+
+
+def _scanner(asked: _Asked, filters: Sequence[str], probe: Callable | None, out: pa.Schema):
     """The per-task function: Arrow batches of vectors in, best rows out.
 
-    ``probes`` (cells x questions, boolean) limits a question to its cells.
+    ``probe`` gives, for a block and its unit rows, the cells (cells x
+    questions, boolean) that each question looks into.
     """
-    wanted = _unit_rows(block["embedding"])
-    matches = [
-        [(value, np.flatnonzero(np.array([v == value for v in column])))
-         for value in sorted({v for v in column if v is not None})]
-        for column in (block[name].to_pylist() for name in filters)
-    ]
-    question_ids = block["question_id"].combine_chunks()
-    own_k, own_threshold = block["_k"].combine_chunks(), block["_threshold"].combine_chunks()
 
-    def pieces(batch: pa.RecordBatch):
-        everyone = np.arange(len(wanted))
+    def usable_rows(batch: pa.RecordBatch, width: int) -> tuple[pa.RecordBatch, np.ndarray]:
+        # checked here: a Spark filter on a computed vector would run its encoder a second time
+        batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), width))
+        matrix = _unit_rows(batch.column("embedding"))
+        finite = np.isfinite(matrix).all(axis=1)
+        return (batch, matrix) if finite.all() else (batch.filter(pa.array(finite)), matrix[finite])
+
+    def by_cell(cells: np.ndarray | None, rows: int, probes: np.ndarray | None, questions: int):
         if probes is None:
-            yield np.arange(batch.num_rows), everyone
+            yield np.arange(rows), np.arange(questions)
             return
-        cells = batch.column("cell").to_numpy(zero_copy_only=False)
         order = np.argsort(cells, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
-            asking = np.flatnonzero(probes[cells[rows[0]]])
+        for some in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+            asking = np.flatnonzero(probes[cells[some[0]]])
             if len(asking):
-                yield rows, asking
+                yield some, asking
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k, len(wanted))
-        for batch in batches:
-            # checked here: a Spark filter on a computed vector would run its
-            # encoder a second time
-            fits = pc.equal(pc.list_value_length(batch.column("embedding")), wanted.shape[1])
-            batch = batch.filter(fits)
-            if not batch.num_rows:
-                continue
-            matrix = _unit_rows(batch.column("embedding"))
-            finite = np.isfinite(matrix).all(axis=1)
-            if not finite.all():
-                matrix, batch = matrix[finite], batch.filter(pa.array(finite))
-            if not batch.num_rows:
-                continue
+    def hits(held: list, block: pa.Table) -> Iterator[pa.RecordBatch]:
+        wanted = _unit_rows(block["embedding"])
+        block_k = max(pc.max(block["_k"]).as_py() or 0, 1)
+        probes = probe(block, wanted) if probe else None
+        matches = [
+            [(value, np.flatnonzero(np.array([v == value for v in column])))
+             for value in sorted({v for v in column if v is not None})]
+            for column in (block[name].to_pylist() for name in filters)
+        ]
+        best = _Best(block_k, len(wanted))
+        for batch, matrix in held:
             ids = batch.column("vector_id")
+            cells = batch.column("cell").to_numpy(zero_copy_only=False) if probe else None
             allowed = [
                 [(np.array(pc.equal(batch.column(name), value).fill_null(False)), who)
                  for value, who in groups]
                 for name, groups in zip(filters, matches)
             ]
-            for rows, asking in pieces(batch):
-                tile = max(TILE_CELLS // len(asking), k + 1)
+            for rows, asking in by_cell(cells, batch.num_rows, probes, len(wanted)):
+                tile = max(TILE_CELLS // len(asking), block_k + 1)
                 for at in range(0, len(rows), tile):
                     part = rows[at : at + tile]
-                    scores = np.round(matrix[part] @ wanted[asking].T, SCORE_DIGITS) + 0.0
+                    scores = matrix[part] @ wanted[asking].T
                     for groups in allowed:
                         for passing, who in groups:
                             here = np.isin(asking, who)
                             scores[np.ix_(~passing[part], here)] = -np.inf
-                    best.offer(ids.take(pa.array(part)), asking, scores)
+                    exact = lambda r, c: _products(matrix, wanted, part[r], asking[c])  # noqa: B023, E731
+                    best.offer(ids.take(pa.array(part)), asking, scores, exact)
         best.shrink()
         for table in best.parts:
             q = table["q"].combine_chunks()
-            columns = [question_ids.take(q), table["id"], table["score"], own_k.take(q), own_threshold.take(q)]
+            own = [block[c].combine_chunks().take(q) for c in ("question_id", "_k", "_threshold")]
+            columns = [own[0], table["id"], table["score"], own[1], own[2]]
             yield from pa.table(
                 [c.cast(f.type) for c, f in zip(columns, out)], schema=out
             ).combine_chunks().to_batches()
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None  # the last block is kept: one block is read once
+
+        def pass_blocks(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal at, block
+            for width, blocks in asked.blocks:
+                held = [x for x in (usable_rows(b, width) for b in batches) if x[0].num_rows]
+                for path in [asked.path(width, k) for k in range(blocks if held else 0)]:
+                    if path != at:
+                        at, block = path, _block(path)
+                    if block is not None:
+                        yield from hits(held, block)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from pass_blocks(held)
+                held, size = [], 0
+        if held:
+            yield from pass_blocks(held)
+
     return scan
 
 
-def _blocks(questions: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
-    """The usable questions of each vector length, written once and then
-    brought here in blocks of about ``BLOCK_BYTES``; and whether there are
-    several blocks."""
-    numbered = questions.withColumn("_n", F.monotonically_increasing_id())
-    stored = written(numbered.filter(~unusable(F.col("embedding").cast("array<double>"))), "questions")
-    width = F.size("embedding")
-    sizes = stored.groupBy(width.alias("width")).agg(F.count("*").alias("n")).collect()  # a row per length
-    parts = [(r["width"], -(-r["n"] * 8 * r["width"] // BLOCK_BYTES)) for r in sizes]
-    for w, count in sorted(parts):
-        for block in range(count):
-            here = (width == w) & (F.pmod(F.xxhash64("_n"), F.lit(count)) == block)
-            table = stored.filter(here).drop("_n").toArrow()
-            if table.num_rows:
-                yield table, sum(c for _, c in parts) > 1
+def _products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Rounded products of pairs of rows, each summed in the same order."""
+    step = max(1, TILE_CELLS // a.shape[1])
+    parts = [(a[rows[i : i + step]] * b[cols[i : i + step]]).sum(axis=1) for i in range(0, len(rows), step)]
+    return np.round(np.concatenate(parts), SCORE_DIGITS) + 0.0
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -183,18 +244,11 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     raise TypeError(f"ids must be strings or integers, not {kind.simpleString()}")
 
 
-def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0, dimension=None):
-    names = list(match)
-    own_k = F.col(k) if isinstance(k, str) else F.lit(k)
-    own_threshold = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
-    q = questions.select(
-        "question_id", "embedding", own_k.cast("int").alias("_k"), own_threshold.cast("double").alias("_threshold"),
-        *[F.col(match[c]).cast("string").alias(f"_f_{c}") for c in names],
-    )
-    if dimension is not None:
-        q = q.filter(F.size("embedding") == dimension)
+def _hits(vectors: DataFrame, asked: _Asked, question_type: T.DataType, names: Sequence[str], probe: Callable | None) -> DataFrame:
+    """The best rows that the tasks hand over for the asked questions, from
+    one scan of the vectors."""
     filters = [f"_f_{c}" for c in names]
-    ids = vectors.schema["id"].dataType, q.schema["question_id"].dataType
+    ids = vectors.schema["id"].dataType, question_type
     out = pa.schema(
         [("question_id", _arrow_type(ids[1])), ("vector_id", _arrow_type(ids[0])), ("score", pa.float64()),
          ("_k", pa.int32()), ("_threshold", pa.float64())]
@@ -206,35 +260,36 @@ def _search(questions, vectors, k, match, threshold, centroids=None, nprobe=0, d
     )
     columns = [
         F.col("id").alias("vector_id"), "embedding",
-        *[F.col(c).cast("string").alias(f"_f_{c}") for c in names],
+        *[F.col(c).cast("string").alias(f"_f_{c}") for c in names], *(["cell"] if probe else []),
     ]
-    found, most, largest = None, 0, 1
-    for block, several in _blocks(q):
-        block_k = max(pc.max(block["_k"]).as_py() or 0, 1)
-        most, largest = most + (pc.sum(block["_k"]).as_py() or 0), max(largest, block_k)
-        rows, probes = vectors, None
-        for c in names:
-            values = pc.unique(block[f"_f_{c}"]).to_pylist()
-            if None not in values and len(values) <= PUSHED_VALUES:
-                rows = rows.filter(F.col(c).cast("string").isin(values))
-        if centroids is not None and len(block["embedding"][0]) != centroids.shape[1]:
-            continue
-        if centroids is not None:
-            near = _unit_rows(block["embedding"]) @ centroids.T
-            order = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
-            probes = np.zeros(near.T.shape, dtype=bool)
-            probes[order, np.arange(len(order))[:, None]] = True
-            rows = rows.filter(F.col("cell").isin(np.flatnonzero(probes.any(axis=1)).tolist()))
-            rows = rows.select(*columns, "cell")
-        else:
-            rows = rows.select(*columns)
-        part = rows.mapInArrow(_scanner(block, block_k, filters, probes, out), result_type)
-        if several:  # so that one block at a time is held here
-            part = written(part, "hits")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = questions.sparkSession.createDataFrame([], result_type)
-    return _rank_own(found, largest), most
+    return vectors.select(*columns).mapInArrow(_scanner(asked, filters, probe, out), result_type)
+
+
+def _questions(questions, k, match, threshold, dimension):
+    own_k = F.col(k) if isinstance(k, str) else F.lit(k)
+    own_threshold = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    q = questions.select(
+        "question_id", "embedding", own_k.cast("int").alias("_k"), own_threshold.cast("double").alias("_threshold"),
+        *[F.col(match[c]).cast("string").alias(f"_f_{c}") for c in match],
+    )
+    return q if dimension is None else q.filter(F.size("embedding") == dimension)
+
+
+def _pushed(questions: DataFrame, vectors: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The vectors that a match column leaves, as a filter of the scan where
+    every question asks for one of few values."""
+    for c in names:
+        values = [r[0] for r in questions.select(f"_f_{c}").distinct().limit(PUSHED_VALUES + 1).collect()]
+        if None not in values and len(values) <= PUSHED_VALUES:
+            vectors = vectors.filter(F.col(c).cast("string").isin(values))
+    return vectors
+
+
+def _search(questions, vectors, k, match, threshold, dimension=None):
+    q = _questions(questions, k, match, threshold, dimension)
+    asked = _ask(q)
+    found = _hits(_pushed(q, vectors, list(match)), asked, q.schema["question_id"].dataType, list(match), None)
+    return _rank_own(found, asked.largest), asked.most
 
 
 def _rank_own(hits: DataFrame, most: int) -> DataFrame:
@@ -293,11 +348,15 @@ def top_k_bounded(
 
 
 def train_cells(
-    vectors: DataFrame, cells: int = 1024, iterations: int = 10, seed: int = 42, dimension: int | None = None
+    vectors: DataFrame, cells: int = 1024, iterations: int = 10, seed: int = 42, dimension: int | None = None,
+    most_rows: int | None = None,
 ) -> np.ndarray:
     """Unit centroids by distributed k-means (cells x dimension numbers), from
     the usable vectors of the most common length, or of ``dimension``, that
-    are not zero.  ``assign_cells`` puts zero vectors in the first cell."""
+    are not zero.  ``assign_cells`` puts zero vectors in the first cell.
+
+    A cell of more than ``most_rows`` rows gives way to cells of its own rows;
+    one whose rows are all alike stays as it is."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -307,10 +366,20 @@ def train_cells(
         dimension = good.agg(F.mode(F.size("embedding"))).first()[0]
     not_zero = F.exists("embedding", lambda x: x != 0)
     good = good.filter((F.size("embedding") == dimension) & not_zero)
-    rows = good.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=cells, maxIter=iterations, seed=seed, distanceMeasure="cosine").fit(rows)
-    centers = np.array(model.clusterCenters())
-    return centers / np.linalg.norm(centers, axis=1, keepdims=True)
+
+    def centres(rows: DataFrame, k: int) -> np.ndarray:
+        model = KMeans(k=k, maxIter=iterations, seed=seed, distanceMeasure="cosine").fit(
+            rows.select(array_to_vector("embedding").alias("features")))
+        found = np.array(model.clusterCenters())
+        return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+    found = centres(good, cells)
+    if most_rows is None:
+        return found
+    placed = written(assign_cells(good, found), "placed")
+    large = placed.groupBy("cell").count().filter(F.col("count") > most_rows).collect()  # fewer rows than cells
+    parts = {r["cell"]: centres(placed.filter(F.col("cell") == r["cell"]), -(-r["count"] // most_rows)) for r in large}
+    return np.concatenate([parts.get(c, found[c : c + 1]) for c in range(len(found))])
 
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -336,6 +405,77 @@ def write_cells(indexed: DataFrame, path: str) -> None:
     indexed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
+def cell_reach(indexed: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """cell, n, lowest (the smallest cosine of a vector in the cell to its
+    centroid) and zeros (vectors without a direction): a row per cell, to be
+    kept with the cells."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, zeros = (np.zeros(len(centroids), np.int64) for _ in range(2))
+        lowest = np.ones(len(centroids))
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), centroids.shape[1]))
+            matrix = _unit_rows(batch.column("embedding"))
+            there = np.isfinite(matrix).all(axis=1) if len(matrix) else np.zeros(0, bool)
+            matrix, cells = matrix[there], batch.column("cell").to_numpy(zero_copy_only=False)[there].astype(np.int64)
+            flat = ~matrix.any(axis=1) if len(matrix) else there
+            np.add.at(n, cells, 1)
+            np.add.at(zeros, cells[flat], 1)
+            np.minimum.at(lowest, cells[~flat], (matrix[~flat] * centroids[cells[~flat]]).sum(axis=1))
+        met = np.flatnonzero(n)
+        yield pa.record_batch({"cell": met.astype(np.int32), "n": n[met], "lowest": lowest[met], "zeros": zeros[met]})
+
+    parts = indexed.filter(F.col("cell").isNotNull()).select("embedding", "cell").mapInArrow(
+        measure, "cell int, n long, lowest double, zeros long")
+    return parts.groupBy("cell").agg(F.sum("n").alias("n"), F.min("lowest").alias("lowest"), F.sum("zeros").alias("zeros"))
+
+
+def _nearest_cells(centroids: np.ndarray, nprobe: int) -> Callable:
+    def probe(block: pa.Table, wanted: np.ndarray) -> np.ndarray:
+        near = wanted @ centroids.T
+        order = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
+        probes = np.zeros(near.T.shape, dtype=bool)
+        probes[order, np.arange(len(order))[:, None]] = True
+        return probes
+
+    return probe
+
+
+def _further_cells(centroids: np.ndarray, nprobe: int, lowest: np.ndarray, zeros: np.ndarray) -> Callable:
+    """The cells that may hold a hit and are not among the nearest: no vector
+    of a cell is nearer to a question than the angle to the centroid less the
+    cell's widest angle."""
+    first = _nearest_cells(centroids, nprobe)
+    reach = np.arccos(np.clip(lowest, -1, 1))
+
+    def probe(block: pa.Table, wanted: np.ndarray) -> np.ndarray:
+        angle = np.arccos(np.clip(wanted @ centroids.T, -1, 1))
+        best = np.cos(np.maximum(angle - reach, 0.0))
+        best = np.where(zeros > 0, np.maximum(best, 0.0), best)
+        flat = ~wanted.any(axis=1)
+        best[flat] = 0.0  # a question without a direction scores 0 everywhere
+        floor = np.maximum(
+            block["_floor"].to_numpy(zero_copy_only=False), pc.fill_null(block["_threshold"], -np.inf).to_numpy(zero_copy_only=False))
+        return (best >= floor[:, None] - SLACK).T & ~first(block, wanted)
+
+    return probe
+
+
+def _probed(questions: DataFrame, vectors: DataFrame, probe: Callable, cells: int) -> DataFrame:
+    """The vectors of the cells that any question looks into, as a filter of
+    the scan; the driver sees the numbers of these cells."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(cells, bool)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            met |= probe(table, _unit_rows(table["embedding"])).any(axis=1)
+        yield pa.record_batch({"cell": np.flatnonzero(met).astype(np.int32)})
+
+    found = questions.filter(~unusable(F.col("embedding").cast("array<double>"))).mapInArrow(asked, "cell int").distinct()
+    return vectors.filter(F.col("cell").isin([r["cell"] for r in found.collect()]))
+
+
 def search_cells(
     questions: DataFrame,
     indexed: DataFrame,
@@ -344,7 +484,36 @@ def search_cells(
     nprobe: int = 10,
     threshold: float | str | None = None,
     match: dict[str, str] | None = None,
+    reach: DataFrame | None = None,
 ) -> DataFrame:
     """Search the ``nprobe`` nearest cells of each question, exact inside them.
-    On a table written by ``write_cells`` the other cells are not read."""
-    return _search(questions, indexed, k, match or {}, threshold, centroids, nprobe)[0]
+    On a table written by ``write_cells`` the other cells are not read.
+
+    With ``reach`` (from ``cell_reach``, brought here: a row per cell) the
+    answer is that of ``top_k``: a second scan looks into the further cells
+    that may hold a vector as near as a question's last hit so far."""
+    match = match or {}
+    names = list(match)
+    q = written(_questions(questions, k, match, threshold, centroids.shape[1]), "asked")
+    kind = q.schema["question_id"].dataType
+    near = _nearest_cells(centroids, nprobe)
+    asked = _ask(q)
+    rows = _probed(q, _pushed(q, indexed, names), near, len(centroids))
+    found = _hits(rows, asked, kind, names, near)
+    if reach is None:
+        return _rank_own(found, asked.largest)
+    found = written(found, "near-hits")
+    lowest, zeros = np.full(len(centroids), 2.0), np.zeros(len(centroids))
+    for r in reach.collect():
+        lowest[r["cell"]], zeros[r["cell"]] = r["lowest"], r["zeros"]
+    empty = lowest > 1  # nothing is there to be found
+    lowest[empty] = 1.0
+    ranked = _rank_own(found.withColumn("_threshold", F.lit(None).cast("double")), asked.largest)
+    last = ranked.groupBy("question_id").agg(F.count("*").alias("_hits"), F.min("score").alias("_last"))
+    floor = F.when(F.col("_hits") >= F.col("_k"), F.col("_last")).otherwise(F.lit(float("-inf")))
+    q = written(q.join(last, "question_id", "left").withColumn("_floor", floor).drop("_hits", "_last"), "asked-further")
+    further = _further_cells(centroids, nprobe, lowest, zeros)
+    probe = lambda block, wanted: further(block, wanted) & ~empty[:, None]
+    rows = _probed(q, _pushed(q, indexed, names), probe, len(centroids))
+    more = _hits(rows, _ask(q), kind, names, probe)
+    return _rank_own(found.unionByName(more), asked.largest)

@@ -9,7 +9,7 @@ from quillmere.operators import answering, embedding, response_cache, search
 from quillmere.plans import snippets as sn
 from quillmere.plans.registry import query, table
 from quillmere.plans.text_queries import window_chunks
-from quillmere.session import shared_dir
+from quillmere.session import shared_dir, written
 
 # One question per label: the mean vector of its members.
 _LABEL_MEANS = """label_means AS (SELECT label, list(v ORDER BY p) AS q FROM (
@@ -113,14 +113,17 @@ def cell_search(spark, sf):
     return search.search_cells(questions, indexed, centers, k=10, nprobe=2)
 
 
-@query()
+@query(f"WITH {_SCORED} {_ranked('scored', 10)}")
 def cell_search_trained(spark, sf):
-    """Cells by k-means, written once, then searched."""
+    """Cells by k-means, written once with their reach; the nearest cells and
+    then those that can still hold a hit make the exact answer."""
     rows = vectors(spark, sf)
-    centers = search.train_cells(rows, cells=32, iterations=5)
+    centers = search.train_cells(rows, cells=32, iterations=5, most_rows=10_000)
     path = shared_dir(spark, "cells")
     search.write_cells(search.assign_cells(rows, centers), path)
-    return search.search_cells(label_questions(spark, sf), spark.read.parquet(path), centers, k=10, nprobe=8)
+    indexed = spark.read.parquet(path)
+    reach = written(search.cell_reach(indexed, centers), "reach")
+    return search.search_cells(label_questions(spark, sf), indexed, centers, k=10, nprobe=20, reach=reach)
 
 
 _TERM_CTES = f"""chunks AS (SELECT * FROM {sn.DOCUMENT_CHUNKS}),
@@ -178,16 +181,17 @@ def answer_questions(spark, sf):
   hits AS (SELECT h.*, content FROM ({_ranked('scored', 3)}) h JOIN chunks ON id = vector_id
            WHERE rank <= 1 + question_id % 3 AND score >= CASE WHEN question_id % 2 = 0 THEN 0.3 ELSE 0.5 END),
   found AS (SELECT question_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context,
-                   string_agg(vector_id || ' ' || round(score * 1000000)::BIGINT, ',' ORDER BY rank) AS sources, count(*) AS n
-            FROM hits GROUP BY question_id)
-SELECT item_id || '-' || r AS request_id, item_id % 5 = 0 AS cached,
-  CASE WHEN item_id % 5 = 0 THEN 'known' ELSE {sn.answer('text', 'context')} END AS answer,
-  CASE WHEN item_id % 5 = 0 THEN '' ELSE coalesce(sources, '') END AS sources,
-  CASE WHEN item_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS num_sources
-FROM asked CROSS JOIN (SELECT unnest([0, 1]) AS r) LEFT JOIN found ON question_id = item_id""")
+                   count(*) AS n
+            FROM hits GROUP BY question_id),
+  answered AS (SELECT item_id, item_id || '-' || r AS request_id, item_id % 5 = 0 AS cached,
+      CASE WHEN item_id % 5 = 0 THEN 'known' ELSE {sn.answer('text', 'context')} END AS answer,
+      CASE WHEN item_id % 5 = 0 THEN 0 ELSE coalesce(n, 0) END AS num_sources
+    FROM asked CROSS JOIN (SELECT unnest([0, 1]) AS r) LEFT JOIN found ON question_id = item_id)
+SELECT request_id, cached, answer, num_sources, rank, vector_id, score
+FROM answered LEFT JOIN hits ON question_id = item_id AND NOT cached""")
 def answer_requests(spark, sf):
     """Each benchmark passage asked twice, a fifth of them cached, every request
-    with its own number of results and threshold."""
+    with its own number of results and threshold; a row for each source."""
     item = F.col("item_id")
     requests = table(spark, sf, "benchmark").select(
         F.explode(F.array(F.concat(item.cast("string"), F.lit("-0")), F.concat(item.cast("string"), F.lit("-1")))).alias("request_id"),
@@ -206,9 +210,11 @@ def answer_requests(spark, sf):
     answers, _, _ = answering.answer_requests(requests.drop("item_id"), chunks, cache, sn.AS_OF)
     shape = "answer string, num_sources long, sources array<struct<vector_id: string, score: double>>"
     read = answers.select("request_id", "cached", F.from_json("response", shape).alias("r"))
-    scored = F.transform("r.sources", lambda s: F.concat_ws(" ", s["vector_id"], F.round(s["score"] * 1_000_000).cast("long").cast("string")))
-    return read.select(
-        "request_id", "cached", "r.answer", F.coalesce(F.array_join(scored, ","), F.lit("")).alias("sources"), F.col("r.num_sources").alias("num_sources"),
+    sources = read.select(
+        "request_id", "cached", "r.answer", "r.num_sources", F.posexplode_outer("r.sources").alias("place", "source"))
+    return sources.select(
+        "request_id", "cached", "answer", "num_sources", (F.col("place") + 1).cast("long").alias("rank"),
+        "source.vector_id", "source.score",
     )
 
 
