@@ -528,16 +528,37 @@ def incremental_extract(spark, sf):
     return jdbc.newer_than(events, "ts", mark).select("event_id", "event_type")
 
 
+@query("""SELECT event_id, event_type, CASE WHEN ts IS NULL THEN 1 WHEN ts < TIMESTAMP '2024-01-10' THEN 1
+  WHEN ts < TIMESTAMP '2024-01-11' THEN event_id % 3 + 1 WHEN ts < TIMESTAMP '2024-01-20' THEN 2 ELSE 3 END AS run FROM events""")
+def late_ties_extract(spark, sf):
+    """Three runs over a table whose mark is a day: rows of the mark's own day
+    arrive after its run, twice; the last run is repeated."""
+    root = shared_dir(spark, "extract")
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", F.date_trunc("day", "ts").alias("day"))
+    day = F.col("ts")
+    there = [
+        (day < "2024-01-10") | ((day < "2024-01-11") & (F.col("event_id") % 3 == 0)),
+        (day < "2024-01-10") | ((day < "2024-01-11") & (F.col("event_id") % 3 <= 1)),
+        (day < "2024-01-11"), (day < "2024-01-20"), F.lit(True), F.lit(True),
+    ]
+    found = [
+        jdbc.extract_run(events.filter(where), "day", root, run, ["event_id"]).select("event_id", "event_type", F.lit(n).cast("long").alias("run"))
+        for where, run, n in zip(there, (1, 2, 3, 4, 5, 5), (1, 2, 3, 2, 3, 3))
+    ]
+    return jdbc.union_sources([*found[:4], found[5]])
+
+
 @query("""SELECT role AS collection, '{"_id":"' || conv_id || '","status":"published","turn":' || turn || '}' AS data FROM conversations
-WHERE turn < 2 AND role IN ('user', 'assistant')""")
+WHERE turn < 2""")
 def scan_collections(spark, sf):
     """Collections exported as JSON lines, one equality filter, one missing collection."""
     root = shared_dir(spark, "collections")
     status = F.when(F.col("turn") < 2, "published").otherwise("draft")
     rows = table(spark, sf, "conversations").select("role", F.col("conv_id").alias("_id"), "turn", status.alias("status"))
-    for role in ("user", "assistant"):
+    names = ("system", "user", "assistant")
+    for role in names:
         rows.filter(F.col("role") == role).drop("role").write.json(f"{root}/{role}")
-    found, _ = collections.scan_collections(spark, root, ["user", "assistant", "absent"], {"status": "published"})
+    found, _ = collections.scan_collections(spark, root, [*names, "absent"], {"status": "published"})
     return found
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from quillmere.functions.joins import skew_join
+from quillmere.session import Folder
 
 
 def jdbc_options(config: dict) -> dict[str, str]:
@@ -48,8 +51,9 @@ def _load(spark: SparkSession, options: dict[str, str]) -> DataFrame:
 
 
 def newer_than(rows: DataFrame, column: str, mark) -> DataFrame:
-    """Rows past the last run's high-water mark; the filter is pushed into
-    the source.  No mark: everything."""
+    """Rows strictly past a high-water mark; the filter is pushed into the
+    source.  No mark: everything.  For a column whose values are unique and
+    grow; where late rows may carry the mark itself, use ``extract_run``."""
     return rows if mark is None else rows.filter(F.col(column) > F.lit(mark))
 
 
@@ -57,10 +61,65 @@ def high_water_mark(landed: DataFrame, column: str):
     return landed.agg(F.max(column)).first()[0]
 
 
-def scan_table(spark: SparkSession, config: dict, table: str, extracted_at, mark=None) -> DataFrame:
+def _digest(rows: DataFrame, keys: Sequence[str] | None) -> Column:
+    named = F.struct(*(keys or rows.columns))
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
+
+
+def from_mark(rows: DataFrame, column: str, mark, seen: DataFrame | None = None, keys: Sequence[str] | None = None) -> DataFrame:
+    """Rows at the mark or past it, and those without a value in the column,
+    less the rows whose digest was ``seen`` there before.  The range is pushed
+    into the source; only rows at the mark or without a value have a partner
+    in the join."""
+    if mark is None and seen is None:
+        return rows
+    value = F.col(column)
+    wanted = rows if mark is None else rows.filter((value >= F.lit(mark)) | value.isNull())
+    if seen is None:
+        return wanted
+    known = seen.select(F.col("digest").alias("_digest")).distinct()
+    at_mark = value.isNull() if mark is None else value.isNull() | (value == F.lit(mark))
+    told = wanted.withColumn("_digest", F.when(at_mark, _digest(rows, keys)))
+    return skew_join(told, known, ["_digest"], "left_anti", spread=rows.columns[:1]).drop("_digest")
+
+
+def extract_run(rows: DataFrame, column: str, root: str, run: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """Land what is new since the last run below ``run`` and return it.
+
+    A row that carries the mark's own value but arrives after its run is new;
+    so is one without a value.  Each run keeps its mark with the digests of all
+    rows there (of their ``keys``, or of all columns; rows alike in these are
+    one), beside what it landed.  A repeated run reads the same state and
+    replaces its own folders.  A row below the mark is not looked for.
+    """
+    spark, states = rows.sparkSession, Folder(rows.sparkSession, f"{root}/marks")
+    done = [int(n.removeprefix("run=")) for n in states.names() if n.startswith("run=")]
+    before = max((n for n in done if n < run), default=None)
+    kind = rows.schema[column].dataType
+    shape = T.StructType([T.StructField("digest", T.StringType()), T.StructField("mark", kind)])
+    state = None if before is None else spark.read.schema(shape).parquet(f"{root}/marks/run={before}")
+    mark = None if state is None else high_water_mark(state, "mark")
+    from_mark(rows, column, mark, state, keys).write.mode("overwrite").parquet(f"{root}/rows/run={run}")
+    landed = spark.read.schema(rows.schema).parquet(f"{root}/rows/run={run}")
+    there = landed.select(_digest(landed, keys).alias("digest"), F.col(column).alias("mark"))
+    both = there if state is None else there.unionByName(state)
+    last = high_water_mark(both, "mark")
+    at_mark = F.col("mark").isNull() if last is None else F.col("mark").isNull() | (F.col("mark") == F.lit(last))
+    both.filter(at_mark).distinct().write.mode("overwrite").parquet(f"{root}/marks/run={run}")
+    return landed
+
+
+def scan_table(
+    spark: SparkSession, config: dict, table: str, extracted_at, mark=None, state: str | None = None, run: int = 0
+) -> DataFrame:
+    """Records of a table.  With the ``incremental`` column: those past a
+    ``mark``, or, with a ``state`` folder, those that no run before landed."""
     rows = _load(spark, table_options(config, table))
     if config.get("incremental"):
-        rows = newer_than(rows, config["incremental"], mark)
+        if state is None:
+            rows = newer_than(rows, config["incremental"], mark)
+        else:
+            rows = extract_run(rows, config["incremental"], f"{state}/{table}", run, config.get("keys", {}).get(table))
     return _record(rows, table, extracted_at)
 
 

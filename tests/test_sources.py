@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere.session import shared_dir
 from quillmere.sources import collections, files, jdbc, registry, rest
 
 
@@ -110,6 +111,44 @@ def test_jdbc_scan(spark, monkeypatch):
     assert seen == ["a", "b", "a", "select 1"]
 
 
+def test_extract_runs_lose_nothing(spark):
+    """Late rows at the mark, rows without a value, a run without news, a
+    repeated run, repeated rows, and an empty table."""
+    root, shape = shared_dir(spark, "extract"), "id int, at int, name string"
+    rows = lambda *r: spark.createDataFrame(list(r), shape)
+    run = lambda n, *r: sorted(tuple(x) for x in jdbc.extract_run(rows(*r), "at", root, n).collect())
+    first = [(1, 5, "a"), (2, 7, "b"), (9, None, "n")]
+    assert run(1) == []
+    assert {r[0] for r in jdbc.extract_run(rows(*first), "at", root, 2).collect()} == {1, 2, 9}
+    late = [*first, (3, 7, "late"), (10, None, "m")]
+    assert {r[0] for r in jdbc.extract_run(rows(*late), "at", root, 3).collect()} == {3, 10}
+    assert run(4, *late) == []
+    assert {r[0] for r in jdbc.extract_run(rows(*late), "at", root, 3).collect()} == {3, 10}  # again
+    more = [*late, (4, 7, "later"), (5, 8, "next"), (5, 8, "next")]
+    assert sorted(r[0] for r in jdbc.extract_run(rows(*more), "at", root, 5).collect()) == [4, 5, 5]
+    assert run(6, *more) == []
+    kept = spark.read.parquet(f"{root}/marks/run=6").filter("mark is not null").collect()
+    assert {r["mark"] for r in kept} == {8} and len(kept) == 1
+
+
+def test_the_range_is_pushed_to_the_source(spark):
+    root = shared_dir(spark, "extract")
+    spark.range(100).selectExpr("id", "id % 10 AS at").write.parquet(f"{root}/t")
+    seen = spark.createDataFrame([("x", 7)], "digest string, mark long")
+    plan = jdbc.from_mark(spark.read.parquet(f"{root}/t"), "at", 7, seen)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(GreaterThanOrEqual(at,7),IsNull(at))]" in plan
+
+
+def test_jdbc_scan_with_state(spark, monkeypatch):
+    root, there = shared_dir(spark, "extract"), [(1, 1)]
+    monkeypatch.setattr(jdbc, "_load", lambda session, options: session.createDataFrame(there, "id int, at int"))
+    config = {"url": "jdbc:x", "tables": ["a"], "incremental": "at", "keys": {"a": ["id"]}}
+    scan = lambda run: [json.loads(r["data"])["id"] for r in jdbc.scan_table(spark, config, "a", None, state=root, run=run).collect()]
+    assert scan(1) == [1]
+    there.append((2, 1))
+    assert scan(2) == [2] and scan(3) == []
+
+
 def test_collections(spark, tmp_path):
     (tmp_path / "posts").mkdir()
     (tmp_path / "posts" / "x.json").write_text('{"_id": {"$oid": "5f"}, "status": "published"}\n{"_id": {"$oid": "60"}, "status": "draft"}\n')
