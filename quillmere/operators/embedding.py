@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillmere.functions.text import WORD
 
@@ -66,18 +66,65 @@ def model_encoder(
     return encode
 
 
+def isolating_encoder(
+    load_model: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32
+) -> Callable[[Column], Column]:
+    """As ``model_encoder``, for models that may refuse a text: gives a struct
+    of ``vector`` and ``error``.  A batch that fails is halved until single
+    texts fail, so of n texts with one bad one about 2 log n batches are sent
+    again; that text's vector is null and its error is what the model raised.
+    A model that cannot be loaded fails the task."""
+
+    def halved(model, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+        try:
+            found = np.asarray(model(texts), dtype=np.float64)
+            if found.ndim != 2 or len(found) != len(texts):
+                raise ValueError(f"{len(texts)} texts gave an array of shape {found.shape}")
+            return [(v, None) for v in found]
+        except Exception as problem:
+            if len(texts) == 1:
+                return [(None, f"{type(problem).__name__}: {problem}")]
+            half = len(texts) // 2
+            return halved(model, texts[:half]) + halved(model, texts[half:])
+
+    @F.arrow_udf("struct<vector: array<float>, error: string>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load_model()
+        for texts in batches:
+            all_texts = texts.to_pylist()
+            vectors, errors = [None] * len(all_texts), [None] * len(all_texts)
+            there = [k for k, t in enumerate(all_texts) if t is not None]
+            for at in range(0, len(there), batch_size):
+                part = there[at : at + batch_size]
+                for k, (vector, error) in zip(part, halved(model, [all_texts[k] for k in part])):
+                    if vector is not None:
+                        norm = np.linalg.norm(vector)
+                        vectors[k] = (vector / (norm if norm > 0 else 1.0)).astype(np.float32)
+                    errors[k] = error
+            yield pa.StructArray.from_arrays(
+                [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], ["vector", "error"])
+
+    return encode
+
+
 def embed(
     df: DataFrame,
     text_col: str = "content",
     vector_col: str = "embedding",
     encoder: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Add vectors; rows that already have one keep it and skip the encoder."""
+    """Add vectors; rows that already have one keep it and skip the encoder.
+    An isolating encoder also adds ``encode_error``."""
     encode = encoder or hashed_encoder()
-    if vector_col not in df.columns:
-        return df.withColumn(vector_col, encode(F.col(text_col)))
-    missing = F.when(F.col(vector_col).isNull(), F.col(text_col))
-    return df.withColumn(vector_col, F.coalesce(F.col(vector_col), encode(missing)))
+    there = F.col(vector_col) if vector_col in df.columns else F.lit(None).cast("array<float>")
+    missing = F.when(there.isNull(), F.col(text_col)) if vector_col in df.columns else F.col(text_col)
+    coded = df.withColumn("_encoded", encode(missing))
+    if isinstance(coded.schema["_encoded"].dataType, T.StructType):
+        coded = coded.withColumns({
+            vector_col: F.coalesce(there, F.col("_encoded.vector")), "encode_error": F.col("_encoded.error")})
+        return coded.drop("_encoded")
+    vector = F.coalesce(there, F.col("_encoded")) if vector_col in df.columns else F.col("_encoded")
+    return coded.withColumn(vector_col, vector).drop("_encoded")
 
 
 def dimension_rejects(df: DataFrame, dimension: int, vector_col: str = "embedding") -> DataFrame:

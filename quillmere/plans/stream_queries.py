@@ -177,6 +177,43 @@ def retried_messages(spark, sf):
     return failed.unionByName(landed)
 
 
+_SHORT = 80  # characters of a chunk that the model of this query refuses
+
+
+@query(f"""SELECT split_part(id, '_chunk_', 1) AS document_id, CASE WHEN min(length(content)) < {_SHORT} THEN 0 ELSE count(*) END AS chunks,
+  CASE WHEN min(length(content)) < {_SHORT} THEN 'cannot be encoded: ValueError: a text is too short' END AS reason
+FROM {sn.window_chunks('documents', 'doc_id', 'text')} GROUP BY 1""")
+def isolated_failures(spark, sf):
+    """A stream into a store whose model raises at short texts: their documents
+    are dead letters, the others land."""
+    from quillmere.operators.embedding import isolating_encoder
+
+    def load():
+        import numpy as np
+
+        def model(batch):
+            if min(map(len, batch)) < _SHORT:
+                raise ValueError("a text is too short")
+            return np.array([[len(t), t.count("e"), 1.0] for t in batch])
+
+        return model
+
+    root = shared_dir(spark, "isolated")
+    store, letters = f"{root}/store", f"{root}/dead"
+    chunk_store.create(spark, store)
+    ev.create_messages(_documents(spark, sf)).withColumns(
+        {"partition": F.lit(0), "offset": F.col("key").cast("long")}).write.json(f"{root}/in")
+    handlers.process(
+        ev.read_messages(spark, f"{root}/in"), store, letters, f"{root}/check", windows=word_windows,
+        encoder=isolating_encoder(load),
+    ).awaitTermination()
+    landed = chunk_store.current(spark, store).groupBy("document_id").agg(
+        F.count_if(F.size("embedding") == 3).alias("chunks"), F.lit(None).cast("string").alias("reason"))
+    failed = handlers.dead_letter_table(spark, letters).select(
+        F.col("key").alias("document_id"), F.lit(0).cast("long").alias("chunks"), "reason")
+    return landed.unionByName(failed)
+
+
 @query("""SELECT 'rag-documents-dlq' AS topic, doc_id::VARCHAR AS key, 'not a JSON event' AS reason, 1::BIGINT AS attempt,
   'rag-documents' AS retry_topic FROM documents WHERE lang = 'en' AND n_chars < 500""")
 def dead_letters(spark, sf):

@@ -11,6 +11,7 @@ from quillmere.schemas import DOCUMENT_TYPES, EVENT, MESSAGE, TOPICS
 
 MAX_MESSAGE_BYTES = 10 * 1024 * 1024
 MAX_ATTEMPTS = 3
+ATTEMPT_HEADER = "attempt"
 
 # Event types and the topic each belongs to.
 EVENT_TOPICS = {
@@ -102,15 +103,31 @@ def read_kafka(spark: SparkSession, servers: str, per_trigger: int | None = None
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", ",".join(TOPICS.values()))
         .option("startingOffsets", "latest")
+        .option("includeHeaders", "true")
     )
     if per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-    return (
-        reader.load()
-        .select("topic", F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset")
+    return from_broker(reader.load())
+
+
+def from_broker(rows: DataFrame) -> DataFrame:
+    """Messages of a broker's rows; a header carries the attempts so far."""
+    given = F.filter("headers", lambda h: h["key"] == ATTEMPT_HEADER)
+    attempt = F.get(given, F.size(given) - 1)["value"].cast("string")  # the last one counts
+    return rows.select(
+        "topic", F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset",
+        attempt.try_cast("int").alias("attempt"),
     )
 
 
+def to_broker(messages: DataFrame) -> DataFrame:
+    """Rows for a broker's writer (with includeHeaders): topic, key, value and
+    the attempt, if there was one, as a header."""
+    attempt = F.col("attempt").cast("int") if "attempt" in messages.columns else F.lit(None).cast("int")
+    header = F.struct(F.lit(ATTEMPT_HEADER).alias("key"), attempt.cast("string").cast("binary").alias("value"))
+    return messages.select("topic", "key", "value", F.when(attempt.isNotNull(), F.array(header)).alias("headers"))
+
+
 def _event(e: Column, topic: Column) -> Column:
     """Columns of a parsed event, and why it cannot be handled (null if it can)."""
     event_type, time = e["event_type"], F.try_to_timestamp(e["timestamp"])
@@ -156,6 +173,21 @@ def filter_events(
 ) -> DataFrame:
     """Keep wanted events: size, required fields, no excluded document ids,
     and the content types if any are given."""
+    return events.filter(_wanted(max_bytes, required, exclude, content_types))
+
+
+def passing(parsed: DataFrame, required: Sequence[str] = ("content",), **rules) -> DataFrame:
+    """The filter of a stream of parsed messages: the rules hold for creations;
+    other events pass unless the size or their document id rules them out, and
+    what cannot be parsed passes, to become a dead letter."""
+    kept = {k: v for k, v in rules.items() if k in ("max_bytes", "exclude")}
+    for_all = _wanted(**{"max_bytes": MAX_MESSAGE_BYTES, "exclude": ("test_*", "temp_*"), **kept}, required=(), content_types=())
+    for_creations = _wanted(required=required, exclude=(), max_bytes=MAX_MESSAGE_BYTES, content_types=rules.get("content_types", ()))
+    return parsed.filter(
+        F.col("reason").isNotNull() | (for_all & ((F.col("event_type") != "document_create") | for_creations)))
+
+
+def _wanted(max_bytes: int, required: Sequence[str], exclude: Sequence[str], content_types: Sequence[str]) -> Column:
     wanted = F.octet_length("value") <= max_bytes
     for name in required:
         field = (
@@ -167,7 +199,7 @@ def filter_events(
     if content_types:
         given = F.try_element_at("metadata", F.lit("content_type"))
         wanted = wanted & (given.isNull() | given.isin(*content_types))
-    return events.filter(wanted)
+    return wanted
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:

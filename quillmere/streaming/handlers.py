@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +11,7 @@ from quillmere.functions.joins import skew_join
 from quillmere.operators import chunk_store
 from quillmere.operators.chunking import packed_windows
 from quillmere.operators.ingestion import request_chunks
+from quillmere.session import written
 from quillmere.streaming import events as ev
 
 # Default tags of streamed documents.
@@ -63,24 +64,45 @@ def apply_events(
     parsed: DataFrame, store: str, change: chunk_store.Change, windows=packed_windows, encoder=None
 ) -> DataFrame:
     """Apply one batch of parsed messages to the store as ``change`` and return
-    the dead letters.  Repeating a change writes the same folders again."""
+    the dead letters.  Repeating a change writes the same folders again.
+
+    With an isolating encoder a document one of whose chunks cannot be encoded
+    is left as the store has it, and its message is a dead letter."""
     good = parsed.filter(F.col("reason").isNull())
     last = latest_events(content_events(good)).persist()
     try:
-        _apply(good, last, store, change, windows, encoder)
+        failed = _apply(good, last, store, change, windows, encoder)
     finally:
         last.unpersist()
-    return ev.dead_letters(parsed)
+    if failed is None:
+        return ev.dead_letters(parsed)
+    return ev.dead_letters(parsed).unionByName(ev.dead_letters(_failed_messages(good, failed, parsed.columns)))
+
+
+def _failed_messages(good: DataFrame, failed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The messages that the failed documents' content came from."""
+    joined = skew_join(content_events(good), failed, ["document_id"], "inner", spread=["offset"])
+    return joined.filter(in_order() == F.col("_order")).withColumn("reason", F.col("_error")).select(*columns)
 
 
-def _apply(good: DataFrame, last: DataFrame, store: str, change: chunk_store.Change, windows, encoder) -> None:
+def _apply(
+    good: DataFrame, last: DataFrame, store: str, change: chunk_store.Change, windows, encoder
+) -> DataFrame | None:
     alive = last.filter(F.col("event_type") != "document_delete")
     tags = F.when(F.col("event_type") == "document_update", F.array(*[F.lit(t) for t in UPDATE_TAGS])).otherwise(
         F.array(*[F.lit(t) for t in CREATE_TAGS])
     )
-    chunks = request_chunks(ev.request_of(alive, tags), windows, encoder)
-    chunk_store.replace(chunks, last, store, change)
-    since = last.select("document_id", in_order().alias("_since"))
+    chunks, applied, failed = request_chunks(ev.request_of(alive, tags), windows, encoder), last, None
+    if "encode_error" in chunks.columns:
+        # encoded once, here; what is written depends on what failed
+        chunks = written(chunks, "encoded")
+        errors = chunks.groupBy("document_id").agg(F.min("encode_error").alias("_error")).filter("_error is not null")
+        order = last.select("document_id", in_order().alias("_order"))
+        failed = written(errors.join(order, "document_id").withColumn("_error", F.concat(F.lit("cannot be encoded: "), "_error")), "failed")
+        chunks = skew_join(chunks, failed.select("document_id"), ["document_id"], "left_anti", spread=["id"])
+        applied = last.join(failed, "document_id", "left_anti")
+    chunk_store.replace(chunks, applied, store, change)
+    since = applied.select("document_id", in_order().alias("_since"))
     changes = skew_join(metadata_events(good), since, ["document_id"], "left", spread=["offset"]).filter(
         F.col("_since").isNull() | (in_order() > F.col("_since"))
     )
@@ -89,22 +111,25 @@ def _apply(good: DataFrame, last: DataFrame, store: str, change: chunk_store.Cha
         F.lpad(F.coalesce("offset", F.lit(0)).cast("string"), 20, "0"),
     )
     chunk_store.change_metadata(changes.withColumn("sequence", sequence), store, change)
+    return failed
 
 
 def process(
     messages: DataFrame, store: str, dead_letter_path: str, checkpoint: str, every: str | None = None,
-    windows=packed_windows, encoder=None,
+    windows=packed_windows, encoder=None, wanted: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run the handlers over a message stream.  ``every`` is the micro-batch
     interval, e.g. '30 seconds'; without it what is there is processed and the
-    query ends."""
+    query ends.  ``wanted`` takes the parsed messages and leaves those to be
+    handled, e.g. ``events.passing``; the others are neither applied nor dead
+    letters."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the query's id belongs to its checkpoint: a new checkpoint is a new writer
         writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         change = chunk_store.begin(spark, store, f"stream-{writer}", batch_id)
-        parsed = ev.parse(batch).persist()
+        parsed = (wanted or (lambda rows: rows))(ev.parse(batch)).persist()
         try:
             letters = apply_events(parsed, store, change, windows, encoder)
             letters.write.mode("overwrite").parquet(change.folder(dead_letter_path, "letters"))

@@ -104,3 +104,85 @@ def test_publish_batch(spark):
     handlers.publish(ev.create_messages(documents), root)
     row = ev.parse(spark.read.schema(MESSAGE).json(root)).first()
     assert (row["document_id"], row["content"], row["reason"]) == ("a", "c", None)
+
+
+def _refusing(word):
+    def load():
+        import numpy as np
+
+        def model(texts):
+            if any(word in t for t in texts):
+                raise RuntimeError(f"refuses {word}")
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    return load
+
+
+def test_a_failing_batch_is_halved(spark):
+    from quillmere.operators.embedding import embed, isolating_encoder
+
+    texts = [f"text {i}" + (" bad" if i in (3, 4, 90) else "") for i in range(100)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string").coalesce(1)
+    got = {r["id"]: r for r in embed(rows, encoder=isolating_encoder(_refusing("bad"), batch_size=16)).collect()}
+    assert {i for i, r in got.items() if r["encode_error"]} == {3, 4, 90}
+    assert {r["encode_error"] for r in got.values()} == {None, "RuntimeError: refuses bad"}
+    assert {i for i, r in got.items() if r["embedding"] is None} == {3, 4, 90, 100}
+    assert embed(rows.limit(0), encoder=isolating_encoder(_refusing("bad"))).count() == 0
+    kept = rows.withColumn("embedding", ev.F.when(ev.F.col("id") == 3, ev.F.array(ev.F.lit(1.0).cast("float"))))
+    again = embed(kept, encoder=isolating_encoder(_refusing("bad"))).filter("id = 3").first()
+    assert (again["embedding"], again["encode_error"]) == ([1.0], None)  # a text with a vector is not sent
+
+
+def test_failures_are_set_aside(spark):
+    from quillmere.operators.embedding import isolating_encoder
+
+    store, encoder = shared_dir(spark, "s"), isolating_encoder(_refusing("poison"))
+    chunk_store.create(spark, store)
+    batch = lambda *rows: ev.parse(spark.createDataFrame(list(rows), MESSAGE))
+    step = lambda n: chunk_store.begin(spark, store, "t", n)
+    first = batch(
+        message("documents", 1, 1, "document_create", "a", data={"content": "one"}),
+        message("documents", 2, 1, "document_create", "b", data={"content": "poison"}),
+        message("documents", 3, 1, "document_create", "c", data={"content": "poison first"}),
+        message("updates", 4, 2, "document_update", "c", update_type="content", data={"content": "mended"}),
+        (TOPICS["documents"], "x", "{broken", 0, 5),
+    )
+    letters = handlers.apply_events(first, store, step(1), windows=word_windows, encoder=encoder).collect()
+    assert {(r["topic"], r["key"], r["attempt"]) for r in letters} == {("rag-documents-dlq", "b", 1), ("rag-documents-dlq", "x", 1)}
+    assert {r["reason"] for r in letters} == {"not a JSON event", "cannot be encoded: RuntimeError: refuses poison"}
+    assert {d: c for d, (c, _) in seen(spark, store).items()} == {"a": "one", "c": "mended"}
+    second = batch(
+        message("updates", 6, 3, "document_update", "a", update_type="content", data={"content": "poisoned"}),
+        message("deletions", 7, 3, "document_delete", "c"),
+    )
+    letters = handlers.apply_events(second, store, step(2), windows=word_windows, encoder=encoder).collect()
+    assert [(r["topic"], r["key"]) for r in letters] == [("rag-document-updates-dlq", "a")]
+    assert {d: c for d, (c, _) in seen(spark, store).items()} == {"a": "one"}  # what was there stays
+
+
+def test_attempts_travel_in_a_header(spark):
+    letters = spark.createDataFrame([("t", "k", "v", 2), ("t", "k2", None, None)], "topic string, key string, value string, attempt int")
+    sent = ev.to_broker(letters)
+    rows = sent.select("*", ev.F.lit(0).alias("partition"), ev.F.lit(7).cast("long").alias("offset"))
+    got = sorted(tuple(r) for r in ev.from_broker(rows).collect())
+    assert got == [("t", "k", "v", 0, 7, 2), ("t", "k2", None, 0, 7, None)]
+    odd = rows.limit(1).withColumn("headers", ev.F.expr("array(struct('attempt' AS key, CAST('1' AS BINARY) AS value), struct('attempt' AS key, CAST('x' AS BINARY) AS value))"))
+    assert ev.from_broker(odd).first()["attempt"] is None
+    failed = ev.parse(ev.from_broker(rows)).filter("key = 'k'")
+    assert ev.dead_letters(failed).first()["attempt"] == 3
+
+
+def test_unwanted_messages_are_passed_over(spark):
+    rows = [
+        message("documents", 1, 1, "document_create", "a", data={"content": "one", "metadata": {"content_type": "text"}}),
+        message("documents", 2, 1, "document_create", "test_b", data={"content": "two"}),
+        message("documents", 3, 1, "document_create", "c", data={"content": "", "metadata": {"content_type": "text"}}),
+        message("documents", 4, 1, "document_create", "d", data={"content": "x", "metadata": {"content_type": "video"}}),
+        message("deletions", 5, 2, "document_delete", "e"),
+        message("deletions", 6, 2, "document_delete", "test_e"),
+        (TOPICS["documents"], "x", "{broken", 0, 7),
+    ]
+    kept = ev.passing(ev.parse(spark.createDataFrame(rows, MESSAGE)), content_types=["text"])
+    assert sorted(r["offset"] for r in kept.collect()) == [1, 5, 7]
