@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file, an end id after each.
 
 The tokenizer drops white space, so a text's ids are those of its words in
-turn: each distinct word is encoded once per worker (in a table of bounded
-size) and the rest is array work.
+turn: a worker encodes a word when it meets it first (``held_ids``) and the
+rest is array work.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import string
 import numpy as np
 import pyarrow as pa
 
+from quillmere.llm.held_ids import HeldIds
 from quillmere.llm.words import once, split_words
 
 END = 1  # id appended to each document
-HELD_WORDS = 300_000  # words kept per worker; beyond it the table starts anew
+JOINT_WORDS = 512  # words sent in one text
 _PUNCTUATION = string.punctuation.replace("'", "")
 
 
@@ -38,70 +39,51 @@ class WordIds:
         self.size = max(vocab.values()) + 1
         self.closing = np.zeros(self.size, bool)  # tokens that end a run of letters or of signs
         self.closing[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word.  Words of letters, or letters and then signs,
-        are sent many in one text, and split where a run of either ends."""
-        out: list = [None] * len(words)
-        joint, runs = [], []
-        for k, w in enumerate(words):
+        self.held = HeldIds(self._encoded)
+
+    def _encoded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words with their ids.  Words of letters, or letters and then
+        signs, are sent many in one text, and parted where a run of either ends."""
+        joint, runs, rest = [], [], []
+        for w in words:
             core = w.rstrip(_PUNCTUATION)
             if core.isalpha():
-                joint.append(k)
+                joint.append(w)
                 runs.append(1 + (len(core) < len(w)))
-        for at in range(0, len(joint), 512):
-            some = joint[at : at + 512]
-            last = np.cumsum(runs[at : at + 512])
-            text = " ".join([words[k] for k in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == last[-1]:  # else some sign joins or splits in an unusual way
-                for k, part in zip(some, np.split(ids, ends[last - 1][:-1])):
-                    out[k] = part
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-            out[k] = np.array(found.ids, np.uint32)
-        return out
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """Index of each word in the table."""
-        if len(self.index) + len(words) > max(HELD_WORDS, 2 * len(words)):
-            self.clear()
-        get = self.index.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new = [words[k] for k in missing.tolist()]
-            ids = self._encoded(new)
-            n, total = len(self.index), self.starts[len(self.index)]
-            ends = total + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            if ends[-1] > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty(int(ends[-1]), np.uint32)))
-            if n + len(new) >= len(self.starts):
-                self.starts = np.concatenate((self.starts, np.zeros(n + len(new) + 1, np.int64)))
-            self.flat[total : ends[-1]] = np.concatenate(ids)
-            self.starts[n + 1 : n + 1 + len(new)] = ends
-            self.index.update(zip(new, range(n, n + len(new))))
-            found[missing] = np.arange(n, n + len(new))
-        return found
+            else:
+                rest.append(w)
+        order, ids, sizes = [], [], []
+        texts = [" ".join(joint[at : at + JOINT_WORDS]) for at in range(0, len(joint), JOINT_WORDS)]
+        for at, found in zip(range(0, len(joint), JOINT_WORDS), self._batch(texts)):
+            some, last = joint[at : at + JOINT_WORDS], np.cumsum(runs[at : at + JOINT_WORDS])
+            ends = np.flatnonzero(self.closing[found]) + 1
+            if len(ends) == last[-1]:
+                order += some
+                ids.append(found)
+                sizes.append(np.diff(ends[last - 1], prepend=0))
+            else:  # some sign joins or splits in an unusual way
+                rest += some
+        alone = self._batch(rest)
+        order += rest
+        return order, np.concatenate([*ids, *alone]), np.concatenate([*sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, np.uint32) for e in found]
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin."""
         words = split_words(texts)
-        place = self.places(words.distinct)
-        first, count = self.starts[place], self.starts[place + 1] - self.starts[place]
+        first, count = self.held.spans(words.distinct)
         sizes = count[words.codes]
         before = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(first[words.codes] - before[:-1], sizes) + np.arange(before[-1])]
-        starts = before[words.starts]
-        ids = np.insert(ids, starts[1:], end)
-        return ids, starts + np.arange(len(starts))
+        starts = before[words.starts] + np.arange(len(words.starts))
+        ids = np.full(starts[-1], end, np.uint32)
+        here = np.repeat(first[words.codes] - before[:-1], sizes) + np.arange(before[-1])
+        inner = np.ones(len(ids), bool)
+        inner[starts[1:] - 1] = False
+        ids[inner] = self.held.flat[here]
+        return ids, starts
 
 
 def word_ids(path: str) -> WordIds:
