@@ -1,7 +1,9 @@
 """Byte-level BPE of whole texts, and back, by tree concatenation.
 
-A text of at most ``leaf`` code points is encoded in one go.  A longer one is
-cut in halves until every part is short enough; the parts are dealt over all
+A text of at most ``leaf`` code points is encoded in one go, as stretches of
+white space and the word behind it: no token lies across such a bound.  A
+worker encodes a stretch when it meets it first (``held_ids``); the rest is
+array work.  A longer text is cut in halves until every part is short enough; the parts are dealt over all
 tasks and encoded there.  Then the parts of a text are joined in pairs, the
 pairs in pairs and so on.  Where an unsplit run of the pre-tokenizer goes on
 across a join, a window of tokens around it is encoded anew, and doubled until
@@ -32,10 +34,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from quillmere.llm.held_ids import HeldIds, gather
 from quillmere.llm.words import once, pieces
 
-LEAF = 16_384  # code points encoded in one go
-BATCH_BYTES = 2 << 20  # text encoded, and ids handed over, at once
+LEAF = 65_536  # code points encoded in one go, some hundredths of a second's work
+BATCH_BYTES = 4 << 20  # text encoded, and ids handed over, at once
+JOINT_STRETCHES = 512  # sent to the tokenizer in one text
+CUT_BEFORE = " \t\n\r"
+# First two UTF-8 bytes of U+1680, U+180E, U+2000 to U+207F, U+3000 and U+FEFF: every further blank is among these rows.
+BLANK_LEADS = (0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380, 0xEFBB)
 WIDTH = 4  # tokens on each side of a join in the first window
 NEAR = 4  # signs around a cut that decide whether it is safe
 
@@ -53,6 +60,36 @@ def byte_signs() -> list[str]:
     return [chr(b if b in prints else next(others)) for b in range(256)]
 
 
+def ends_blank(text: str) -> bool:
+    """Whether the last sign may count as white space, or joins none."""
+    return text[-1].isspace() or text[-1] in "\u180e\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+
+
+def stretches_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts cut before each of ``CUT_BEFORE`` that stands behind another
+    sign than ASCII white space; the first stretch of each text; and whether a
+    stretch may end with a blank that is not ASCII white space."""
+    texts = texts.cast(pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.empty(0, np.uint8)
+    offsets -= offsets[0]
+    blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    cut = np.isin(data, np.frombuffer(CUT_BEFORE.encode(), np.uint8))
+    cut[1:] &= ~blank[:-1]
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    places = np.flatnonzero(cut)
+    bounds = np.searchsorted(places, offsets)
+    ends = np.append(places, len(data)).astype(np.int32)
+    last = data[ends[1:] - 1]
+    odd = (last >= 0x1C) & (last < 0x20)
+    back = lambda k: np.where(ends[1:] >= k, data[np.maximum(ends[1:] - k, 0)], 0)
+    odd |= (last >= 0x80) & (back(2) == 0xC2)  # U+0080 to U+00BF
+    lead = back(3).astype(np.int64) << 8 | back(2)
+    odd |= (last >= 0x80) & np.isin(lead, BLANK_LEADS)
+    return pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(data)), bounds, odd
+
+
 class Part(NamedTuple):
     """Ids of a stretch of text, and how many belong to its first and last unsplit run."""
 
@@ -81,18 +118,69 @@ class Codec:
         ]
         self.flat = np.frombuffer(b"".join(spelt), np.uint8)
         self.ends = np.cumsum([0, *map(len, spelt)])
+        self.sizes = np.diff(self.ends)
         self.kinds: dict[str, str] = {}
+        self.held = HeldIds(self._stretch_ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, np.uint32) for e in found]
 
+    def _stretch_ids(self, stretches: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The stretches with their ids.  Those of white space and a word are
+        sent many in one text and parted by their bytes."""
+        joint, rest = [], []
+        for s in stretches:
+            last = s[-1]
+            plain = s[0] in CUT_BEFORE and (" " < last < "\x7f" or not ends_blank(s))
+            (joint if plain else rest).append(s)
+        ids, sizes = [], []
+        bytes_of = pc.binary_length(pa.array(joint, pa.string())).to_numpy(zero_copy_only=False)
+        places = range(0, len(joint), JOINT_STRETCHES)
+        for at, found in zip(places, self._batch(["".join(joint[k : k + JOINT_STRETCHES]) for k in places])):
+            last = np.cumsum(bytes_of[at : at + JOINT_STRETCHES])
+            ids.append(found)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.sizes[found]), last) + 1, prepend=0))
+        alone = self._batch(rest)
+        return joint + rest, np.concatenate([*ids, *alone]), np.concatenate([*sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin."""
+        stretches, bounds, odd = stretches_of(texts)
+        coded = stretches.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first, count = self.held.spans(distinct)
+        sizes = count[codes]
+        ids = gather(self.held.flat, first[codes], sizes)
+        starts = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+        # behind a blank that is not ASCII the bound of a stretch may lie in a row of blanks
+        unsure = np.flatnonzero(odd)
+        if not len(unsure):
+            return ids, starts
+        text = np.unique(np.searchsorted(bounds, unsure, "right") - 1)
+        parts = np.split(ids, starts[1:-1])
+        for k, found in zip(text.tolist(), self._batch(texts.take(pa.array(text)).to_pylist())):
+            parts[k] = found
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
         ids = ids[ids < len(self.signs)]
-        sizes = self.ends[ids + 1] - self.ends[ids] if len(ids) else np.zeros(0, np.int64)
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(self.ends[ids] - before, sizes) + np.arange(sizes.sum())].tobytes()
+        return gather(self.flat, self.ends[ids], self.sizes[ids]).tobytes()
+
+    def texts(self, rows: pa.Array) -> pa.Array:
+        """The text of each row of ids."""
+        ids = np.frombuffer(b"".join(rows.to_pylist()), "<u4")
+        bounds = np.concatenate(([0], np.cumsum(pc.binary_length(rows).to_numpy(zero_copy_only=False) // 4)))
+        sizes = np.append(self.sizes, 0)[np.minimum(ids, len(self.signs))]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+        data = self.decode(ids)
+        whole = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+        try:
+            whole.validate(full=True)
+        except pa.ArrowInvalid:  # not UTF-8
+            return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        return whole
 
     # Where to cut
 
@@ -215,6 +303,12 @@ def _binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.astype("<u4").tobytes() for a in arrays], pa.binary())
 
 
+def _rows(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Stretches of ``ids`` as binary values."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF) -> DataFrame:
     """doc_id and token_ids, little-endian unsigned 32-bit numbers, of every
     document; no special tokens are added."""
@@ -224,7 +318,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF) -> D
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", BATCH_BYTES):
-            ids = _binary(codec(path).encode(batch.column("text").to_pylist()))
+            ids = _rows(*codec(path).encode(batch.column("text")))
             yield pa.record_batch([batch.column("doc_id"), ids], ["doc_id", "token_ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +373,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "token_ids", BATCH_BYTES):
-            ids = pc.fill_null(batch.column("token_ids"), b"").to_pylist()
-            text = [codec(path).decode(np.frombuffer(b, "<u4")).decode("utf-8", "replace") for b in ids]
-            yield batch.append_column("text", pa.array(text, pa.string()))
+            ids = pc.fill_null(batch.column("token_ids"), b"")
+            yield batch.append_column("text", codec(path).texts(ids))
 
     return encoded.select("doc_id", "token_ids").mapInArrow(texts, f"doc_id {kind}, token_ids binary, text string")

@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents
 from hypothesis import given, settings, strategies as st
 
-from quillmere.llm import bpe
+from quillmere.llm import bpe, held_ids
 from quillmere.llm.queries import QUERIES
 
 PATH = bpe.default_tokenizer()
@@ -41,6 +42,31 @@ def test_parts_join_to_the_whole(tokenizer, text, leaf):
     assert tree(text, leaf)[0] == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.lists(st.sampled_from(SIGNS), max_size=30).map("".join), max_size=12), st.integers(0, 3))
+@settings(max_examples=800, deadline=None)
+def test_stretches_encode_as_the_whole(tokenizer, texts, skipped):
+    codec = bpe.codec(PATH)
+    codec.held.limit = 40  # generations change all the time
+    ids, starts = codec.encode(pa.array([*["x y"] * skipped, *texts], pa.string())[skipped:])
+    got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_generations_of_held_ids():
+    asked = []
+
+    def encode(words):
+        asked.append(list(words))
+        back = words[::-1]
+        return back, np.array([ord(c) for w in back for c in w], np.uint32), np.array([len(w) for w in back], np.int64)
+
+    held = held_ids.HeldIds(encode, limit=4)
+    for words in (["a", "bb", "ccc"], ["a", "d", "e"], ["bb", "f"], ["a", "f"], ["ccc"], list("ghijk"), ["bb"], list("lmnop"), ["ccc"]):
+        first, sizes = held.spans(words)
+        assert ["".join(map(chr, held.flat[x : x + n])) for x, n in zip(first, sizes)] == words
+    assert asked == [["a", "bb", "ccc"], ["d", "e"], ["f"], list("ghijk"), list("lmnop"), ["ccc"]]
+
+
 @pytest.mark.parametrize(
     "unit", ["a", "ab", "the", "'", "''s", "'re", " ", "\n", " \n", "1", "!", "!'", "語", "é", "😀", "<|endoftext|>", "a<|endoftext|>", " <|endoftext|>", "aAbB", "ing", "-=", "x "]
 )
@@ -62,14 +88,17 @@ def test_long_random_runs(tokenizer):
 @settings(max_examples=200, deadline=None)
 def test_decoding(tokenizer, ids):
     got = bpe.codec(PATH).decode(np.array(ids, np.uint32)).decode("utf-8", "replace")
-    assert got == tokenizer.decode(ids, skip_special_tokens=False)
+    wanted = tokenizer.decode(ids, skip_special_tokens=False)
+    assert got == wanted
+    rows = pa.array([np.array(x, "<u4").tobytes() for x in ([], ids, [64, 65], ids)], pa.binary())
+    assert bpe.codec(PATH).texts(rows).to_pylist() == ["", wanted, tokenizer.decode([64, 65]), wanted]
 
 
 def test_encoding_cases(spark, tokenizer):
-    long = "".join(f"word{i} " if i % 3 else f"unbroken{i}" for i in range(9_000)) + "x" * 40_000
+    long = "".join(f"word{i} " if i % 3 else f"unbroken{i}" for i in range(9_000)) + "x" * 60_000
     rows = [
         (1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "two words"), (None, None), (5, long), (5, long),
-        (None, long), (6, "<|endoftext|>" + long[5:]), (7, "a" * 16_385),
+        (None, long), (6, "<|endoftext|>" + long[5:]), (7, "a" * 65_537),
     ]
     encoded = bpe.encode(documents(spark, rows))
     assert encoded.columns == ["doc_id", "token_ids"]
