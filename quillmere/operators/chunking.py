@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmere.functions import text as tx
 from quillmere.functions.scalars import let
 
 
+PACKED_BYTES = 4 << 20
+
+
 def check_window(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and below the chunk size")
@@ -34,43 +40,103 @@ def word_windows(cleaned: Column, size: int = 200, overlap: int = 40) -> Column:
     return let(F.split(cleaned, " "), cut)
 
 
-def _packed(text: str, size: int, overlap: int) -> list[str]:
+class _Words(NamedTuple):
+    """The words of a batch of texts, parted by single spaces."""
+
+    data: np.ndarray  # the texts' bytes
+    begin: np.ndarray  # first byte of each word
+    end: np.ndarray
+    length: np.ndarray  # code points, with the space before all but a text's first word
+    first: np.ndarray  # first word of each text, and the number of words
+
+
+def _words(texts: pa.Array) -> _Words:
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.empty(0, np.uint8)
+    offsets -= offsets[0]
+    spaces = np.flatnonzero(data == 0x20)
+    before = np.searchsorted(spaces, offsets)
+    first = before + np.arange(len(offsets))  # one word more than spaces in each text
+    begin, end = (np.empty(first[-1], np.int64) for _ in range(2))
+    opens = np.zeros(first[-1], bool)
+    opens[first[:-1]] = True
+    begin[opens], begin[~opens] = offsets[:-1], spaces + 1
+    closes = np.roll(opens, -1)
+    end[closes], end[~closes] = offsets[1:], spaces
+    signs = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return _Words(data, begin, end, signs[end] - signs[begin] + ~opens, first)
+
+
+def _reached(begins: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """All places on the ways from ``begins``, by doubling the steps; a way
+    ends where ``following`` is its own length."""
+    seen = np.zeros(len(following) + 1, bool)
+    jump, seen[begins], here = np.append(following, len(following)), True, begins
+    while True:
+        further = jump[here]
+        further = further[further < len(following)]
+        if not len(further):
+            return np.flatnonzero(seen[:-1])
+        seen[further] = True
+        here, jump = np.concatenate((here, further)), jump[jump]
+
+
+def _pack(texts: pa.Array, size: int, overlap: int) -> pa.Array:
     """Greedy packing of whole words into at most ``size`` characters; the
     next piece starts at the first word that leaves at most ``overlap``
     characters in common.  A word that alone fills a piece is cut by
-    characters."""
-    words = text.split(" ")
-    lengths = np.fromiter((len(w) for w in words), np.int64, len(words))
-    lengths[1:] += 1
-    out: list[str] = []
-    bounds = np.flatnonzero(lengths >= size)
-    begin = 0
-    for stop in [*bounds.tolist(), len(words)]:
-        ends = np.concatenate(([0], np.cumsum(lengths[begin:stop])))
-        first, count = 0, stop - begin
-        while first < count:
-            last = int(np.searchsorted(ends, ends[first] + size, "right")) - 1
-            out.append(" ".join(words[begin + first : begin + last]))
-            if last == count:
-                break
-            low = max(ends[last] - overlap, ends[last + 1] - size)
-            first = min(int(np.searchsorted(ends, low, "left")), last)
-        if stop < len(words):
-            long = (" " if stop else "") + words[stop]
-            for at in range(0, max(len(long) - overlap, 1), size - overlap):
-                out.append(long[at : at + size].strip())
-        begin = stop + 1
-    return [piece for piece in out if piece]
+    characters.  For every word of the batch one search finds where a piece
+    that starts there ends and where the next one starts."""
+    words = _words(texts)
+    count = len(words.begin)
+    total = np.concatenate(([0], np.cumsum(words.length)))
+    long = np.flatnonzero(words.length >= size)
+    # stretches between long words and text bounds
+    bounds = np.unique(np.concatenate((words.first, long, long + 1)))
+    stop = bounds[np.searchsorted(bounds, np.arange(count), "right")] if count else np.empty(0, np.int64)
+    last = np.minimum(np.searchsorted(total, total[:-1] + size, "right") - 1, stop)
+    more = last < stop
+    low = np.maximum(total[last] - overlap, total[np.minimum(last + 1, count)] - size)
+    following = np.where(more, np.minimum(np.searchsorted(total, low, "left"), last), count)
+    begins = np.setdiff1d(bounds[bounds < count], long)
+    place = _reached(begins, following) if len(begins) else begins
+    place = place[(words.end[last[place] - 1] > words.begin[place])] if len(place) else place
+    first, sizes = words.begin[place], words.end[last[place] - 1] - words.begin[place]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    data = words.data[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+    pieces = pa.StringArray.from_buffers(len(place), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    if len(long):
+        cut, at_word = [], []
+        opening = set(words.first.tolist())
+        for k in long.tolist():
+            text = words.data[words.begin[k] : words.end[k]].tobytes().decode()
+            text = text if k in opening else " " + text
+            some = [text[at : at + size].strip() for at in range(0, max(len(text) - overlap, 1), size - overlap)]
+            cut += [x for x in some if x]
+            at_word += [k] * (len(cut) - len(at_word))
+        place = np.concatenate((place, np.array(at_word, np.int64)))
+        order = np.argsort(place, kind="stable")
+        pieces, place = pa.concat_arrays([pieces, pa.array(cut, pa.string())]).take(pa.array(order)), place[order]
+    offsets = pa.array(np.searchsorted(place, words.first), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pieces, mask=texts.is_null())
+
+
+def _packed(text: str, size: int, overlap: int) -> list[str]:
+    return _pack(pa.array([text], pa.string()), size, overlap)[0].as_py()
 
 
 def packed_windows(cleaned: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """Array of character-bounded pieces.  The packing of one text is
-    sequential, so it runs as an Arrow-batched function over rows."""
+    """Array of character-bounded pieces, packed for ``PACKED_BYTES`` of texts
+    at a time."""
     check_window(size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _packed(t, size, overlap), na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // PACKED_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([_pack(texts[a:b], size, overlap) for a, b in zip(bounds, bounds[1:])])
 
     return pack(cleaned)
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,46 @@ def greedy(text, size, overlap):
     return [p for p in pieces if p]
 
 
+def one_by_one(text: str, size: int, overlap: int) -> list[str]:
+    """One text at a time, piece after piece."""
+    words = text.split(" ")
+    lengths = np.fromiter((len(w) for w in words), np.int64, len(words))
+    lengths[1:] += 1
+    out: list[str] = []
+    bounds = np.flatnonzero(lengths >= size)
+    begin = 0
+    for stop in [*bounds.tolist(), len(words)]:
+        ends = np.concatenate(([0], np.cumsum(lengths[begin:stop])))
+        first, count = 0, stop - begin
+        while first < count:
+            last = int(np.searchsorted(ends, ends[first] + size, "right")) - 1
+            out.append(" ".join(words[begin + first : begin + last]))
+            if last == count:
+                break
+            low = max(ends[last] - overlap, ends[last + 1] - size)
+            first = min(int(np.searchsorted(ends, low, "left")), last)
+        if stop < len(words):
+            long = (" " if stop else "") + words[stop]
+            for at in range(0, max(len(long) - overlap, 1), size - overlap):
+                out.append(long[at : at + size].strip())
+        begin = stop + 1
+    return [piece for piece in out if piece]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_a_batch_packs_as_its_texts_do(seed):
+    rng = random.Random(seed)
+    size = rng.choice([2, 3, 10, 25, 60, 1000])
+    overlap = rng.randrange(size)
+    letters = rng.choice(["x", "xyé", "日本é😀", "x\xa0"])
+    make = lambda: " ".join(
+        "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 9, size - 1, size, 2 * size + 1])))
+        for _ in range(rng.choice([1, 1, 2, 7, 60])))
+    texts = [None if rng.random() < 0.1 else "" if rng.random() < 0.1 else make() for _ in range(rng.choice([1, 3, 40]))]
+    got = chunking._pack(pa.array(["skipped", *texts], pa.string())[1:], size, overlap).to_pylist()
+    assert got == [None if t is None else one_by_one(t, size, overlap) for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_packing_equals_the_word_by_word_walk(seed):
     rng = random.Random(seed)
