@@ -64,8 +64,9 @@ def _words(texts: pa.Array) -> _Words:
     begin[opens], begin[~opens] = offsets[:-1], spaces + 1
     closes = np.roll(opens, -1)
     end[closes], end[~closes] = offsets[1:], spaces
-    signs = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return _Words(data, begin, end, signs[end] - signs[begin] + ~opens, first)
+    further = np.flatnonzero((data & 0xC0) == 0x80)  # bytes of a sign behind its first
+    length = end - begin - np.diff(np.searchsorted(further, np.append(begin, len(data)))) + ~opens
+    return _Words(data, begin, end, length, first)
 
 
 def _reached(begins: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def _pack(texts: pa.Array, size: int, overlap: int) -> pa.Array:
     long = np.flatnonzero(words.length >= size)
     # stretches between long words and text bounds
     bounds = np.unique(np.concatenate((words.first, long, long + 1)))
-    stop = bounds[np.searchsorted(bounds, np.arange(count), "right")] if count else np.empty(0, np.int64)
+    stop = np.repeat(bounds[1:], np.diff(bounds))
     last = np.minimum(np.searchsorted(total, total[:-1] + size, "right") - 1, stop)
     more = last < stop
     low = np.maximum(total[last] - overlap, total[np.minimum(last + 1, count)] - size)
@@ -104,8 +105,9 @@ def _pack(texts: pa.Array, size: int, overlap: int) -> pa.Array:
     place = place[(words.end[last[place] - 1] > words.begin[place])] if len(place) else place
     first, sizes = words.begin[place], words.end[last[place] - 1] - words.begin[place]
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    data = words.data[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
-    pieces = pa.StringArray.from_buffers(len(place), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    whole = memoryview(words.data)
+    data = b"".join([whole[a : a + n] for a, n in zip(first.tolist(), sizes.tolist())])
+    pieces = pa.StringArray.from_buffers(len(place), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
     if len(long):
         cut, at_word = [], []
         opening = set(words.first.tolist())
