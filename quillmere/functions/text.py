@@ -1,4 +1,5 @@
-"""Column functions over text.  All of them are built-in expressions."""
+"""Column functions over text: built-in expressions, but for the tokens of HTML
+(``markup``)."""
 
 from __future__ import annotations
 
@@ -169,31 +170,33 @@ def unescape(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Visible text, one line per block element."""
-    hidden = (
-        r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<head\b.*?</head[^>]*>"
-    )
-    body = F.regexp_replace(html, hidden, "")
-    lines = F.regexp_replace(body, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-    plain = unescape(F.regexp_replace(lines, r"<[^>]+>", ""))
-    blanks = F.regexp_replace(plain, f"(?U)[{HORIZONTAL_SPACE}]+", " ")
+    from quillmere.functions.markup import visible_text
+
+    blanks = F.regexp_replace(visible_text(html), f"(?U)[{HORIZONTAL_SPACE}]+", " ")
     return strip(F.regexp_replace(blanks, r" ?\n[ \n]*", "\n"))
 
 
 # Markdown marks and what stays of them, applied in order.
 MARKDOWN_RULES = (
-    (r"(?m)^```[^\n]*\n?", ""),
-    (r"(?m)^(?:-{3,}|\*{3,}|_{3,})[ \t]*$", ""),
+    (r"(?m)^ {0,3}(?:```|~~~)[^\n]*\n?", ""),
+    (r"(?m)^ {0,3}\[[^\]\n]+\]:[ \t]*[^\n]*\n?", ""),  # where a reference leads
+    (r"(?m)^([^\n]*[^\s>#*+=-][^\n]*)\n(?:=+|-+)[ \t]*$", "$1"),  # an underlined heading
+    (r"(?m)^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", ""),
     (r"(?m)^#{1,6}[ \t]+([^\n]*?)[ \t]*#*$", "$1"),
-    (r"(?m)^[ \t]*>[ \t]?", ""),
+    (r"(?m)^[ \t]*(?:>[ \t]?)+", ""),
     (r"(?m)^[ \t]*[-*+][ \t]+", ""),
     (r"(?m)^[ \t]*[0-9]+\.[ \t]+", ""),
     (r"!\[[^\]\n]*\]\([^)\n]*\)", ""),
+    (r"!\[[^\]\n]*\]\[[^\]\n]*\]", ""),
     (r"\[([^\]\n]+)\]\([^)\n]*\)", "$1"),
+    (r"\[([^\]\n]+)\]\[[^\]\n]*\]", "$1"),
     (r"\*\*([^*\n]+)\*\*", "$1"),
     (r"__([^_\n]+)__", "$1"),
     (r"\*([^*\n]+)\*", "$1"),
+    (r"(^|[\s(\"'*])_([^_\s](?:[^_\n]*[^_\s])?)_($|[\s).,;:!?\"'*])", "$1$2$3"),
     (r"`([^`\n]+)`", "$1"),
-    (r"<[^>]+>", ""),
+    (r"<((?:https?|ftp|mailto):[^<>\s]+)>", "$1"),
+    (r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|<!--(?:[^-]|-[^-])*-->|<[!?][^<>]*>", ""),  # any other "<" is text
 )
 
 

@@ -60,6 +60,60 @@ def test_html(spark):
     assert one(spark, tx.html_to_text, page) == "Head\nOne two three\nfour\na\nb"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("2 < 3 and 5 > 4", "2 < 3 and 5 > 4"),
+    ("a<b <i>c</i> d>e", "ac d>e"), ("1 <2 <i>c</i> d>e", "1 <2 c d>e"), ("a <b never closed", "a <b never closed"),
+    ("<p title=\"a > b\">x</p><a href='>'>y</a>", "x\ny"),
+    ("<p data-x=a>b</p>c", "b\nc"),
+    ("<a title='it\"s > 1' b = \"it's > 2\">z</a>", "z"),
+    ("<q a=\"open>shown</q>", "shown"),
+    ("a<!-- x > y --> b<!-- open <p>c", "a b"),
+    ("a<!-->b<!--->c<!-- x --!>d", "abcd"),
+    ("<!DOCTYPE html><?xml v='>'?>e", "e"),
+    ("<script>if (a<b) '</scripty>'</script >f<STYLE>p>q{}</style>g", "fg"),
+    ("h<script>never closed <p>i", "h"),
+    ("<head><title>t</title></head ><body>k", "k"),
+    ("<head>l<p>m", "l\nm"), ("<head>l<!-- </head> -->m", "lm"),
+    ("<header>n</header><br/>o<hr>p", "n\no\np"),
+    ("&copy;&notin;&#x1F600;&CounterClockwiseContourIntegral;&amp;lt;&nosuch; &lt;b&gt;", "©∉😀∳&lt;&nosuch; <b>"),
+    ("</ 3> <3 <", "</ 3> <3 <"), ("", ""), ("\n \t", ""),
+    ("<p>" * 5000 + "deep" + "</p>" * 5000, "deep"), ("<a " + "x " * 20000 + ">q", "q"), ("<" * 20000, "<" * 20000),
+])
+def test_html_tokens(spark, page, text):
+    assert one(spark, tx.html_to_text, page) == text
+
+
+def test_html_of_nothing(spark):
+    assert one(spark, tx.html_to_text, None) is None
+
+
+def test_odd_markup_is_read_in_one_pass():
+    """The work grows with the page, also where quotes and tags stay open."""
+    import time
+
+    from quillmere.functions.markup import visible
+
+    for part in ('<a b="', "<a b='c\" ", "<!", "<!-", "<head>", "<script", "a=\"'>"):
+        began = time.process_time()
+        visible(part * 20_000)
+        assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    ("Title\n=====\n\nPart\n---\nx", "Title\n\nPart\nx"),
+    ("~~~py\na < b\n~~~\nend", "a < b\nend"),
+    ("- a\n  - b\n    * c\n      1. d", "a\nb\nc\nd"),
+    ("[shown][ref] and ![pic][ref]\n\n[ref]: http://x 'T'\nend", "shown and \n\nend"),
+    ("an _em_ word, (_two words_), snake_case_name and __init__", "an em word, (two words), snake_case_name and init"),
+    ("2 < 3 and 5 > 4", "2 < 3 and 5 > 4"),
+    ("<http://x.y/z> <b>bold</b> a <- b <br/>", "http://x.y/z bold a <- b"),
+    ("x <!-- note --> y", "x  y"),
+    ("> > quoted\n\n* * *\nend", "quoted\n\n\nend"),
+])
+def test_markdown_forms(spark, source, text):
+    assert one(spark, tx.markdown_to_text, source) == text
+
+
 def test_markdown(spark):
     source = "# Title #\n\n- **bold** and *it*\n1. [link](http://x) ![i](y)\n> `code`\n\n```py\nx = 1\n```\n***\nend<br>"
     assert one(spark, tx.markdown_to_text, source) == "Title\n\nbold and it\nlink \ncode\n\nx = 1\n\nend"
