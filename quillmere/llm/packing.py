@@ -108,9 +108,9 @@ def pack(
     """``pieces_of`` (doc_id, piece, start, length, ids_crc32) with the
     sequence_id and offset of each piece.
 
-    The pieces are dealt out by hash, which mixes lengths and sources, to
-    tasks of about ``task_tokens`` tokens, and come in a fixed order, so that
-    a task that is run again packs as before.
+    The pieces are dealt out row by row, whatever their ids, to tasks of about
+    ``task_tokens`` tokens.  They come in the order of a hash, which mixes
+    lengths and sources, so that a task that is run again packs as before.
     """
     table = written(pieces_of, "pieces")
     total = table.agg(F.sum("length")).first()[0] or 0
@@ -128,9 +128,9 @@ def pack(
             )
 
     schema = table.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
-    mix = F.xxhash64("doc_id", "piece")
+    mix = F.xxhash64("doc_id", "piece", "ids_crc32")
     order = [mix, "doc_id", "piece", "start", "length", "ids_crc32"]
-    return table.repartition(tasks, "doc_id", "piece").sortWithinPartitions(*order).mapInArrow(packed, schema)
+    return table.repartition(tasks).sortWithinPartitions(*order).mapInArrow(packed, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, **settings) -> DataFrame:

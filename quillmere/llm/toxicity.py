@@ -64,25 +64,29 @@ class Passage(NamedTuple):
 def segments(places: list[int], gains: list[float], drift: float) -> list[Passage]:
     """All maximal scoring segments of a text whose words at ``places`` gain
     and whose other words cost ``drift``, in linear time: open candidates are
-    kept with the running total before and after them, and a new one swallows
-    those that it improves on."""
-    open_: list[tuple[float, float, int, int]] = []  # total before, total after, first, last
-    total, done = 0.0, -1
+    kept with the running total before and after them and the last candidate
+    before that begins lower.  A new one follows these links and swallows what
+    it improves on; where nothing begins lower, all open ones are final."""
+    done: list[Passage] = []
+    open_: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, last, link
+    total, at = 0.0, -1
     for place, gain in zip(places, gains):
-        total -= drift * (place - done - 1)
+        total -= drift * (place - at - 1)
         before, first = total, place
         total += gain
-        done = place
-        while True:
-            k = len(open_) - 1
-            while k >= 0 and open_[k][0] >= before:
-                k -= 1
-            if k < 0 or open_[k][1] >= total:
-                open_.append((before, total, first, place))
-                break
-            before, _, first, _ = open_[k]
+        at = place
+        k = len(open_) - 1
+        while k >= 0 and open_[k][0] >= before:
+            k = open_[k][4]
+        while k >= 0 and open_[k][1] < total:
+            before, _, first, _, link = open_[k]
             del open_[k:]
-    return [Passage(first, last, after - before) for before, after, first, last in open_]
+            k = link
+        if k < 0:
+            done += [Passage(f, l, after - left) for left, after, f, l, _ in open_]
+            open_ = []
+        open_.append((before, total, first, place, k))
+    return done + [Passage(f, l, after - left) for left, after, f, l, _ in open_]
 
 
 class Toxicity(NamedTuple):
@@ -113,11 +117,11 @@ class Toxicity(NamedTuple):
     def significant(self, passage: Passage, length: int) -> bool:
         return 1 - np.exp(-np.exp(-min(self.excess(passage, length), 50.0))) <= SIGNIFICANT
 
-    def evidence(self, words: Words) -> np.ndarray:
+    def evidence(self, words: Words, passages: list[list[Passage]] | None = None) -> np.ndarray:
         lengths = np.diff(words.starts).tolist()
         return np.array([
             np.log1p(sum(max(0.0, self.excess(p, n)) for p in found if self.significant(p, n)))
-            for found, n in zip(self.passages(words), lengths)
+            for found, n in zip(self.passages(words) if passages is None else passages, lengths)
         ] or [0.0])[: len(lengths)]
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
@@ -253,10 +257,11 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             words = split_words(batch.column("text"))
-            s = model.scores(model.evidence(words))
+            passages = model.passages(words)
+            s = model.scores(model.evidence(words, passages))
             found = [
                 [p._asdict() for p in some if model.significant(p, n)]
-                for some, n in zip(model.passages(words), np.diff(words.starts).tolist())
+                for some, n in zip(passages, np.diff(words.starts).tolist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(s), pa.array((s >= CUT).astype(np.int32)), pa.array(found, passage)],
