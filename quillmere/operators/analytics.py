@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillmere.functions.scalars import before, hour_of
 from quillmere.schemas import QUERY_LOGS
+from quillmere.session import Folder
 
 
 def document_stats(documents: DataFrame, by: str = "file_type") -> DataFrame:
@@ -38,14 +42,18 @@ def dashboard_metrics(documents: DataFrame, logs: DataFrame, as_of) -> DataFrame
 
     One aggregate per table; the document side enters as scalar subquery."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    done = documents.filter(F.col("status") == "completed").agg(
-        F.struct(F.count("*").alias("n"), F.sum("chunk_count").alias("chunks")).alias("d")
-    ).scalar()
     recent = logs.filter(F.col("created_at") > before(now, hours=24)).agg(
         F.count("*").alias("queries_24h"),
         F.avg("response_time_ms").alias("avg_response_time_24h"),
         F.count_distinct("user_id").alias("active_users_24h"),
     )
+    return _with_documents(documents, recent, now)
+
+
+def _with_documents(documents: DataFrame, recent: DataFrame, now: Column) -> DataFrame:
+    done = documents.filter(F.col("status") == "completed").agg(
+        F.struct(F.count("*").alias("n"), F.sum("chunk_count").alias("chunks")).alias("d")
+    ).scalar()
     return recent.select(
         done["n"].alias("total_documents"),
         done["chunks"].alias("total_chunks"),
@@ -54,6 +62,60 @@ def dashboard_metrics(documents: DataFrame, logs: DataFrame, as_of) -> DataFrame
     )
 
 
+def _hour(moment: Column) -> Column:
+    return F.date_trunc("hour", moment).cast("timestamp_ntz")
+
+
+def _states(logs: DataFrame) -> DataFrame:
+    """What the dashboard needs of an hour and a user: sums of whole numbers,
+    which add up, and the users themselves, which can be told apart later."""
+    return logs.groupBy(_hour(F.col("created_at")).alias("hour"), "user_id").agg(
+        F.count("*").alias("queries"), F.count("response_time_ms").alias("timed"),
+        F.coalesce(F.sum(F.col("response_time_ms").cast("long")), F.lit(0)).alias("milliseconds"),
+    )
+
+
+def refresh_dashboard(documents: DataFrame, logs: DataFrame, path: str, as_of, late_hours: int = 1) -> DataFrame:
+    """``dashboard_metrics`` from stored states of the log by hour and user.
+
+    A refresh reads the log from the hour of the refresh before on, and
+    ``late_hours`` before that for rows that came late; it writes the states of
+    these hours in a folder of its own, beside those it reads later on.  The
+    last 24 hours are then added up from the states; of the one hour that they
+    cut, the log's rows are read.  A row that comes later than ``late_hours``
+    is not looked for.
+    """
+    spark = logs.sparkSession
+    now, form = F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHH"
+    runs = Folder(spark, f"{path}/runs")
+    known = sorted((int(n.split("-")[0]), n.split("-")[1], n.split("-")[2]) for n in runs.names())
+    start, upto = spark.range(1).select(
+        F.date_format(before(now, hours=24), form), F.date_format(before(now, hours=late_hours), form)).first()
+    number, since = (known[-1][0] + 1, known[-1][2]) if known else (0, "0")
+    fresh = logs if since == "0" else logs.filter(F.col("created_at") >= F.to_timestamp_ntz(F.lit(since), F.lit(form)))
+    fresh_states = _states(fresh)
+    fresh_states.write.mode("overwrite").parquet(f"{path}/states/run={number}")
+    runs.touch(f"{number}-{since}-{upto}")
+    # an hour's states are those of the last run that read the hour
+    known.append((number, since, upto))
+    ends = [k[1] for k in known[1:]] + ["9"]
+    hour = F.date_format("hour", form)
+    valid = reduce(or_, [
+        (F.col("run") == k) & (hour >= since) & (hour < min(ends[i:])) for i, (k, since, _) in enumerate(known)])
+    schema = T.StructType([*fresh_states.schema.fields, T.StructField("run", T.IntegerType())])
+    states = spark.read.schema(schema).parquet(f"{path}/states").filter(valid & (hour > start)).drop("run")
+    first_hour = _hour(before(now, hours=24))
+    cut = logs.filter(
+        (F.col("created_at") > before(now, hours=24)) & (F.col("created_at") < first_hour + F.make_dt_interval(hours=F.lit(1))))
+    both = states.unionByName(_states(cut))
+    recent = both.agg(
+        F.coalesce(F.sum("queries"), F.lit(0)).alias("queries_24h"),
+        F.try_divide(F.sum("milliseconds"), F.sum("timed")).alias("avg_response_time_24h"),
+        F.count_distinct("user_id").alias("active_users_24h"),
+    )
+    return _with_documents(documents, recent, now)
+
+
 def refresh(view: DataFrame, path: str) -> DataFrame:
     """Write a materialised report and read it back."""
     view.write.mode("overwrite").parquet(path)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmere.functions.joins import skew_join
 from quillmere.functions.scalars import cache_key
@@ -66,13 +66,36 @@ def clear(cache: DataFrame) -> DataFrame:
     return cache.limit(0)
 
 
-def invalidate_documents(cache: DataFrame, documents: DataFrame) -> DataFrame:
-    """Drop the answers that rest on any of the documents."""
-    cited = cache.select("cache_key", F.explode("source_documents").alias("document_id"))
+def citations(entries_: DataFrame) -> DataFrame:
+    """Which document an entry rests on: document_id, cache_key, created_at.
+    Kept beside the cache, and for each batch of entries added when they are."""
+    return entries_.select(F.explode("source_documents").alias("document_id"), "cache_key", "created_at").distinct()
+
+
+def append_citations(fresh: DataFrame, path: str, buckets: int = 16) -> None:
+    """Add the citations of new entries, in hash buckets of the document."""
+    placed = citations(fresh).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+    placed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_citations(spark: SparkSession, path: str, documents: DataFrame, buckets: int = 16) -> DataFrame:
+    """The citations of the documents' buckets; at most ``buckets`` numbers
+    come to the driver."""
+    place = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    asked = sorted(documents.agg(F.collect_set(place)).first()[0])
+    shape = "document_id string, cache_key string, created_at timestamp_ntz, bucket int"
+    return spark.read.schema(shape).parquet(path).filter(F.col("bucket").isin(asked)).drop("bucket")
+
+
+def invalidate_documents(cache: DataFrame, documents: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """Drop the answers that rest on any of the documents.  With the kept
+    citations no entry is unfolded; one that was replaced since (its
+    ``created_at`` is another) is not held to what it cited before."""
+    known = citations(cache) if cited is None else cited
     stale = skew_join(
-        cited, documents.select("document_id").distinct(), ["document_id"], "left_semi", spread=["cache_key"]
-    ).select("cache_key").distinct()
-    return cache.join(stale, "cache_key", "left_anti")
+        known, documents.select("document_id").distinct(), ["document_id"], "left_semi", spread=["cache_key"]
+    ).select("cache_key", "created_at").distinct()
+    return cache.join(stale, ["cache_key", "created_at"], "left_anti").select(cache.columns)
 
 
 def hit_statistics(looked_up: DataFrame) -> DataFrame:

@@ -412,7 +412,10 @@ def cache_delete(spark, sf):
 def cache_invalidation(spark, sf):
     """Drop the answers that cite a changed document."""
     gone = spark.createDataFrame([("g2",), ("unknown",)], "document_id string")
-    return _cache_columns(response_cache.invalidate_documents(_cache(spark, sf), gone))
+    cache, path = _cache(spark, sf), shared_dir(spark, "citations")
+    response_cache.append_citations(cache, path)
+    cited = response_cache.read_citations(spark, path, gone)
+    return _cache_columns(response_cache.invalidate_documents(cache, gone, cited))
 
 
 # ---- curation and ingestion ----

@@ -35,7 +35,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="quillmere-")
-    return f"{base.rstrip('/')}/quillmere/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quillmere/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application has written to its shared folder.  Call it
+    at the end of a run, when no frame that reads from there is needed."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        Folder(spark, f"{base.rstrip('/')}/quillmere/{spark.sparkContext.applicationId}").delete()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

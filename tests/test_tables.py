@@ -252,6 +252,44 @@ def test_refresh_replaces_the_report(spark):
         assert [r["n"] for r in view.collect()] == [n]
 
 
+def test_refreshed_dashboard_equals_the_view(spark):
+    """Refreshes at uneven moments, late rows, a repeated one, users that come
+    again, an empty log."""
+    from datetime import timedelta
+
+    root, start = shared_dir(spark, "dashboard"), datetime(2024, 1, 1)
+    shape = "user_id string, response_time_ms int, created_at timestamp_ntz"
+    rows = [
+        (None if k % 11 == 0 else f"u{k % 7}", None if k % 5 == 0 else k, start + timedelta(minutes=17 * k, seconds=k % 60)) for k in range(400)
+    ]
+    documents = spark.createDataFrame([("completed", 3), ("pending", 9)], "status string, chunk_count int")
+    moments = [start + timedelta(hours=h, minutes=m) for h, m in ((0, 0), (20, 30), (20, 30), (20, 59), (24, 0), (51, 7), (113, 0), (150, 0))]
+    for moment in moments:
+        # every ninth row shows up only forty minutes after its time
+        there = [r for k, r in enumerate(rows) if r[2] + timedelta(minutes=40 if k % 9 == 0 else 0) <= moment]
+        logs = spark.createDataFrame(there, shape)
+        got = analytics.refresh_dashboard(documents, logs, root, str(moment)).first().asDict()
+        assert got == analytics.dashboard_metrics(documents, logs, str(moment)).first().asDict()
+    plan = analytics.refresh_dashboard(documents, logs, root, str(moments[-1]))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_invalidation_unfolds_no_entry(spark):
+    path, now = shared_dir(spark, "citations"), datetime(2024, 1, 1)
+    shape = "cache_key string, query string, response string, source_documents array<string>, created_at timestamp_ntz, expires_at timestamp_ntz"
+    entry = lambda key, day, *ids: (key, "q", "r", list(ids), datetime(2024, 1, day), now)
+    old = spark.createDataFrame([entry("a", 1, "d1", "d2"), entry("b", 1, "d2"), entry("c", 1), entry("d", 1, "d3", "d3")], shape)
+    new = spark.createDataFrame([entry("b", 2, "d4")], shape)
+    for fresh in (old, new):
+        response_cache.append_citations(fresh, path)
+    cache = response_cache.upsert(old, new)
+    gone = spark.createDataFrame([("d2",), ("d3",), ("none",)], "document_id string")
+    left = response_cache.invalidate_documents(cache, gone, response_cache.read_citations(spark, path, gone))
+    assert sorted(r["cache_key"] for r in left.collect()) == ["b", "c"] and left.columns == cache.columns
+    assert "explode(source_documents" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["cache_key"] for r in response_cache.invalidate_documents(cache, gone).collect()) == ["b", "c"]
+
+
 def test_template_answer(spark):
     def run(context, question):
         frame = spark.createDataFrame([(context, question)], "c string, q string")
