@@ -209,25 +209,36 @@ def markdown_to_text(markdown: Column) -> Column:
 
 
 def csv_records(content: Column) -> Column:
-    """Records of a CSV text; quoted line breaks stay inside their record."""
-    return F.regexp_extract_all(content, F.lit(r'(?:"[^"]*+"|[^"\r\n]++)++'), F.lit(0))
+    """Records of a CSV text, blank lines left out; quoted line breaks stay
+    inside their record, and quotes that stay open hold all that follows."""
+    lines = F.regexp_replace(F.regexp_replace(content, r"\r\n?", "\n"), r"\n\z", "")
+    return F.regexp_extract_all(lines, F.lit(r'(?:"[^"]*+(?:"|\z)|[^"\n]++)++'), F.lit(0))
 
 
-def csv_digest_text(name: Column, content: Column, sample: int = 10) -> Column:
-    """Readable digest of one CSV file: columns, row count, leading rows."""
+def csv_columns(header: Column) -> Column:
+    """Names in a header record; a comma inside quotes parts nothing."""
+    fields = F.regexp_extract_all(F.concat(header, F.lit(",")), F.lit(r'((?:"[^"]*+"|[^",]++)*+),'), F.lit(1))
+    bare = lambda f: F.regexp_replace(F.trim(F.regexp_replace(f, "\n", " ")), r'^"(.*)"$', "$1")
+    return F.transform(fields, lambda f: F.trim(F.replace(bare(f), F.lit('""'), F.lit('"'))))
+
+
+def csv_digest_of(name: Column, records: Column, rows: Column, sample: int = 10) -> Column:
+    """Readable digest from the leading records and the number of rows."""
 
-    def digest(records: Column) -> Column:
-        header = F.split(F.element_at(records, 1), ",")
-        columns = F.transform(header, lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-        rows = F.size(records) - 1
-        lines = F.concat(F.lit("Sample data:\n"), F.array_join(F.slice(records, 2, sample), "\n"))
+    def digest(r: Column) -> Column:
+        lines = F.concat(F.lit("Sample data:\n"), F.array_join(F.slice(r, 2, sample), "\n"))
         return F.when(
             rows >= 0,
             F.concat(
-                F.lit("CSV Data from "), name, F.lit(":\n\nColumns: "), F.array_join(columns, ", "),
+                F.lit("CSV Data from "), name, F.lit(":\n\nColumns: "), F.array_join(csv_columns(F.element_at(r, 1)), ", "),
                 F.lit("\nTotal rows: "), rows.cast("string"), F.lit("\n\n"),
                 F.when(rows > 0, lines).otherwise(F.lit("")),
             ),
         )
 
-    return let(csv_records(content), digest)
+    return let(records, digest)
+
+
+def csv_digest_text(name: Column, content: Column, sample: int = 10) -> Column:
+    """Readable digest of one CSV file: columns, row count, leading rows."""
+    return let(csv_records(content), lambda r: csv_digest_of(name, r, F.size(r) - 1, sample))

@@ -9,7 +9,7 @@ from quillmere.operators import chunking
 from quillmere.operators.cleaning import drop_duplicate_content
 from quillmere.plans import snippets as sn
 from quillmere.plans.registry import entries, query, table, texts
-from quillmere.session import shared_dir
+from quillmere.session import shared_dir, written
 from quillmere.sources import files
 
 
@@ -182,6 +182,38 @@ def csv_digest(spark, sf):
     return texts(spark, sf, "documents").select("doc_id", tx.csv_digest_text(name, body).alias("content"))
 
 
+_CSV_DOCS = 5000  # ids of one file
+_CSV_SPLIT = 256 << 10  # bytes
+
+
+@query(f"""WITH r AS (SELECT doc_id // {_CSV_DOCS} AS part, doc_id, doc_id || ',"' || replace(replace(replace(text, chr(13) || chr(10), chr(10)),
+    chr(13), chr(10)), '"', '""') || '",' || lang AS record FROM documents)
+SELECT part, count(*) AS total_rows, 'Columns: id, text, with a "comma", lang' || chr(10) || 'Total rows: ' || count(*) || chr(10) || chr(10)
+  || 'Sample data:' || chr(10) || string_agg(record, chr(10) ORDER BY doc_id) FILTER (place <= 10) AS digest
+FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS place FROM r) GROUP BY part""")
+def csv_digest_of_splits(spark, sf):
+    """CSV files of documents, line breaks in quotes, each cut in many splits."""
+    root = shared_dir(spark, "csv")
+    docs = table(spark, sf, "documents").withColumn("part", F.floor(F.col("doc_id") / _CSV_DOCS))
+    record = F.concat(
+        F.col("doc_id").cast("string"), F.lit(',"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('",'), F.col("lang"))
+    header = docs.select("part").distinct().select(
+        "part", F.lit(None).cast("long").alias("doc_id"), F.lit('id,"text, with a ""comma""",lang').alias("value"))
+    rows = header.unionByName(docs.select("part", "doc_id", record.alias("value")))
+    rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first()).select("part", "value").write.partitionBy(
+        "part").text(root)
+    cut = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(_CSV_SPLIT))
+    try:
+        found = written(files.csv_digest(spark, f"{root}/part=*"), "digests")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+    return found.select(
+        F.regexp_extract("file_path", "part=([0-9]+)", 1).cast("long").alias("part"), "total_rows",
+        F.regexp_replace("content", "^CSV Data from [^\n]*:\n\n", "").alias("digest"),
+    )
+
+
 _PATHS = """(SELECT 'lake/' || source || '/' || doc_id || CASE lang WHEN 'en' THEN '.TXT' WHEN 'de' THEN '.htm'
     WHEN 'es' THEN '.docx' ELSE '.tar.unknown' END AS file_path, text AS content,
     octet_length(encode(text)) AS file_size FROM documents)"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillmere.functions import text as tx
 from quillmere.schemas import DOCUMENT_TYPES
+from quillmere.session import written
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 TEXT_TYPES = ("txt", "md", "html", "csv")
@@ -121,35 +125,79 @@ def split_rejects(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def csv_digest(spark: SparkSession, path: str, sample: int = 10, multi_line: bool = False) -> DataFrame:
-    """Digest of CSV files that share a header, one row per file.
-
-    Files are scanned in splits: the rows are counted with a partial
-    aggregate and only the ``sample`` leading rows of a file are kept.
+_SPLITS = (
+    "file_path string, block long, quotes long, ended_even long, ended_odd long, lines array<string>"
+)
+
+
+def _csv_splits(lines: DataFrame, sample: int) -> DataFrame:
+    """A row per split of a file: its quotes, the records that end in it if it
+    begins outside or inside quotes, and its lines as far as the leading
+    records need them in either case."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, quotes, ended, kept, enough = None, 0, [0, 0], [], False
+
+        def row() -> pa.RecordBatch:
+            values = [at[0]], [at[1]], [quotes], [ended[0]], [ended[1]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(values, (pa.string(), *[pa.int64()] * 4))] + [pa.array([kept], pa.list_(pa.string()))],
+                names=["file_path", "block", "quotes", "ended_even", "ended_odd", "lines"])
+
+        for batch in batches:
+            files, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("file_path", "block"))
+            edges = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if first == last:
+                    continue
+                if at != (files[first], int(blocks[first])):
+                    if at is not None:
+                        yield row()
+                    at, quotes, ended, kept, enough = (files[first], int(blocks[first])), 0, [0, 0], [], False
+                text = batch.column("value").slice(first, last - first)
+                own = pc.count_substring(text, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+                blank = pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+                before = quotes + np.cumsum(own) - own
+                ends = [((before + own + p) % 2 == 0) & ~(blank & ((before + p) % 2 == 0)) for p in (0, 1)]
+                if not enough:
+                    done = np.minimum(*(ended[p] + np.cumsum(ends[p]) for p in (0, 1)))
+                    need = int(np.searchsorted(done, sample + 1)) + 1
+                    kept += text.slice(0, need).to_pylist()
+                    enough = need <= len(text)
+                quotes += int(own.sum())
+                ended = [ended[p] + int(ends[p].sum()) for p in (0, 1)]
+        if at is not None:
+            yield row()
+
+    return lines.mapInArrow(read, _SPLITS)
+
+
+def csv_digest(spark: SparkSession, path: str, sample: int = 10) -> DataFrame:
+    """file_path, total_rows and content (as ``text.csv_digest_text`` gives it)
+    of CSV files of any size, each with a header of its own.
+
+    The files are read in splits and line breaks inside quotes need no second
+    reader: each split is counted for both cases, of beginning outside quotes
+    or inside, and the quotes of the splits before it tell which holds.  A row
+    per split goes on from there, and of a file's first splits the lines of
+    its leading records.  A file without a record has no row.
     """
-    rows = spark.read.csv(path, header=True, multiLine=multi_line, enforceSchema=False)
-    columns = rows.columns
-    placed = rows.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]).alias("line"),
-    )
-    counts = placed.groupBy("file_path").agg(F.count("*").alias("total_rows"))
-    order = Window.partitionBy("file_path").orderBy("_block", "_row")
-    head = (
-        placed.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= sample)
-        .groupBy("file_path")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("_head"))
-    )
-    name = tx.file_name(F.col("file_path"))
-    return counts.join(head, "file_path").select(
-        "file_path",
-        "total_rows",
-        F.concat(
-            F.lit("CSV Data from "), name, F.lit(f":\n\nColumns: {', '.join(columns)}\nTotal rows: "),
-            F.col("total_rows").cast("string"), F.lit("\n\nSample data:\n"),
-            F.array_join(F.col("_head.line"), "\n"),
-        ).alias("content"),
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"))
+    splits = written(_csv_splits(lines, sample), "csv-splits")
+    order = Window.partitionBy("file_path").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
+    counted = splits.withColumn("ended", F.when(inside, F.col("ended_odd")).otherwise(F.col("ended_even"))).withColumn(
+        "earlier", F.coalesce(F.sum("ended").over(before), F.lit(0)))
+    leading = F.when(F.col("earlier") <= sample, F.struct("block", "lines"))
+    whole = counted.groupBy("file_path").agg(
+        # quotes that stay open make a last record of what is left
+        (F.sum("ended") + F.sum("quotes") % 2).alias("records"),
+        F.array_sort(F.collect_list(leading)).alias("head"),  # nulls are left out
+    ).filter("records > 0")
+    text = F.array_join(F.flatten(F.transform("head", lambda h: h["lines"])), "\n")
+    return whole.select(
+        "file_path", (F.col("records") - 1).alias("total_rows"),
+        tx.csv_digest_of(tx.file_name(F.col("file_path")), tx.csv_records(text), F.col("records") - 1, sample).alias("content"),
     )

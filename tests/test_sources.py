@@ -43,6 +43,42 @@ def test_load_documents(spark, folder):
     assert [(r["file_path"][-5:], r["error"]) for r in rejects.collect()] == [("d.pdf", "no text reader for pdf")]
 
 
+CSV_FORMS = {
+    "plain.csv": "a,b\n1,2\n3,4\n",
+    "header only.csv": "a,b",
+    "quotes.csv": 'id,"x, ""y""", z \n1,"two\nlines",\n\n2,"""",w\n3,"a\n\nb\n",c\n',
+    "windows.csv": 'id,t\r\n1,"x\r\ny"\r\n2,z\r\n\r\n',
+    "one long record.csv": "id,t\n" + '1,"' + "line\n" * 400 + '"\n2,x\n',
+    "many.csv": "id,t\n" + "".join(f'{i},"{"q" * (i % 40)}\n{"" if i % 3 else chr(34) * 2}"\n' for i in range(120)),
+    "open.csv": 'id,t\n1,"never\nclosed\n',
+    "signs.csv": "naïve,日本\né,語\n",
+}
+
+
+@pytest.mark.parametrize("size", [48, 500, 1 << 20])
+def test_csv_digest_is_one_however_files_are_split(spark, tmp_path, size):
+    from quillmere.functions import text as tx
+
+    for name, content in CSV_FORMS.items():
+        (tmp_path / name).write_bytes(content.encode())
+    (tmp_path / "empty.csv").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key, value in zip(before, (size, 1)):
+            spark.conf.set(key, str(value))
+        got = {r["file_path"].rsplit("/", 1)[1].replace("%20", " "): r for r in files.csv_digest(spark, str(tmp_path)).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    rows = spark.createDataFrame(list(CSV_FORMS.items()), "n string, c string")
+    wanted = {r["n"]: r["d"] for r in rows.select("n", tx.csv_digest_text(F.col("n"), F.col("c")).alias("d")).collect()}
+    assert {n: r["content"].replace("%20", " ") for n, r in got.items()} == wanted
+    assert {n: r["total_rows"] for n, r in got.items()} == {
+        "plain.csv": 2, "header only.csv": 0, "quotes.csv": 3, "windows.csv": 2, "one long record.csv": 2, "many.csv": 120,
+        "open.csv": 1, "signs.csv": 1}
+    assert 'Columns: id, x, "y", z\n' in got["quotes.csv"]["content"]
+
+
 def test_csv_digest_of_a_split_table(spark, folder):
     row = files.csv_digest(spark, str(folder / "c.csv")).first()
     assert row["total_rows"] == 25
