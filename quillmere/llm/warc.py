@@ -37,6 +37,8 @@ from quillmere.session import written
 
 LEAST_REVISIT = 100  # bytes of payload
 FILE_RECORDS = 2000
+FILE_BYTES = 1 << 30  # of an archive file, which is read back as one value: below 2 GB
+RECORD_BYTES = 8 << 10  # of a record besides its payload, more than its headers take
 RANGE_ROWS = 250_000  # index rows merged by one task
 FIRST_CAPTURE = "2020-01-01 00:00:00"  # of pages without a time: this plus the id in seconds
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
@@ -98,7 +100,18 @@ def record(page_id, url, payload: bytes, time: dt.datetime, digest: str, refers_
     return (made if made[-1] == 0 else made + gzip.compress(b"", mtime=0))[:-1]
 
 
-def write_archive(pages: DataFrame, path: str, time: Column | None = None, file_records: int = FILE_RECORDS) -> None:
+def records_of_a_file(pages: DataFrame, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> int:
+    """So many that even the largest pages fill no file beyond ``file_bytes``;
+    a page that is larger has a file of its own."""
+    html, url = (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("html", "url"))
+    largest = pages.agg(F.max(html + 3 * url)).first()[0] or 0
+    largest += largest // 1000 + RECORD_BYTES  # what compression may add
+    return max(1, min(file_records, file_bytes // largest))
+
+
+def write_archive(
+    pages: DataFrame, path: str, time: Column | None = None, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES
+) -> None:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "payload"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "time", "digest", "refers_to")))
@@ -106,7 +119,7 @@ def write_archive(pages: DataFrame, path: str, time: Column | None = None, file_
 
     rows = captures(pages, time).mapInArrow(records, "record binary")
     rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option(
-        "maxRecordsPerFile", file_records
+        "maxRecordsPerFile", records_of_a_file(pages, file_records, file_bytes)
     ).text(path)
 
 
