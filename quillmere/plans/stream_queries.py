@@ -10,7 +10,7 @@ from quillmere.plans import log_queries as lq, snippets as sn
 from quillmere.plans.registry import query, stamp, table, texts
 from quillmere.session import shared_dir
 from quillmere.sources.jdbc import union_sources
-from quillmere.streaming import events as ev, handlers, metrics
+from quillmere.streaming import events as ev, handlers, latest, metrics
 
 # ---- events made from the documents ----
 # all are created; German ones updated; toxic ones deleted; French ones get
@@ -99,15 +99,15 @@ def latest_event_per_document(spark, sf):
 
 @query(f"""SELECT doc_id::VARCHAR AS document_id, event_type FROM {_SENT} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) = 1""")
 def latest_event_stream(spark, sf):
-    """The same from a stream of message files, kept up to date."""
+    """The same from a stream of message files, kept up to date; every message
+    is delivered twice."""
     root = shared_dir(spark, "latest")
-    for part in event_log(spark, sf):
+    for part in event_log(spark, sf) * 2:
         part.write.mode("append").json(f"{root}/in")
     messages = ev.read_messages(spark, f"{root}/in", max_files=20)
     parsed = ev.parse(messages).filter("reason is null")
-    latest = handlers.latest_events(parsed, ["event_type"])
-    metrics.run_updates(latest, f"{root}/out", f"{root}/checkpoint")
-    return metrics.last_update(spark.read.parquet(f"{root}/out"), "document_id")
+    latest.run(latest.latest_events(parsed, ["event_type"]), f"{root}/out", f"{root}/checkpoint")
+    return latest.latest_of(spark.read.parquet(f"{root}/out")).select("document_id", "event_type")
 
 
 _ALIVE = f"""(SELECT doc_id, CASE WHEN lang = 'de' THEN 'updated ' || text ELSE text END AS text,

@@ -186,3 +186,41 @@ def test_unwanted_messages_are_passed_over(spark):
     ]
     kept = ev.passing(ev.parse(spark.createDataFrame(rows, MESSAGE)), content_types=["text"])
     assert sorted(r["offset"] for r in kept.collect()) == [1, 5, 7]
+
+
+def test_latest_events_end_and_ignore_repeats(spark, first):
+    """Messages delivered again, late and out of order give no row; the state
+    of silent documents goes after its time."""
+    import time
+
+    from quillmere.streaming import latest
+
+    root, shape = shared_dir(spark, "s"), spark.createDataFrame([], MESSAGE).schema
+    sent = lambda name, rows: rows.coalesce(1).write.mode("append").json(f"{root}/in/{name}")
+
+    def step(ttl):
+        messages = spark.readStream.schema(shape).option("recursiveFileLookup", "true").json(f"{root}/in")
+        found = latest.latest_events(ev.parse(messages).filter("reason is null"), ["event_type"], ttl)
+        query = latest.run(found, f"{root}/out", f"{root}/check")
+        changed = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"], sum(changed)
+
+    sent("a", first.filter("offset <= 8"))
+    rows, changed = step(3600)
+    assert rows > 0 and changed > 0
+    count = spark.read.parquet(f"{root}/out").count()
+    sent("b", first.filter("offset <= 8"))
+    step(3600)
+    assert spark.read.parquet(f"{root}/out").count() == count  # nothing new
+    sent("c", first)
+    step(3600)
+    got = {r["document_id"]: r["event_type"] for r in latest.latest_of(spark.read.parquet(f"{root}/out")).collect()}
+    wanted = handlers.latest_events(ev.parse(first).filter("reason is null"), ["event_type"]).collect()
+    assert got == {r["document_id"]: r["event_type"] for r in wanted}
+
+    root = shared_dir(spark, "s")
+    sent("a", first.filter("offset <= 4"))
+    assert step(1)[0] >= 4
+    time.sleep(2)
+    sent("b", first.filter("offset = 5"))
+    assert step(1)[0] <= 3  # the others' time is over
