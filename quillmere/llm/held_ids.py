@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 
-HELD_WORDS = 300_000  # words of a generation
+HELD_WORDS = 150_000  # words of a generation, or those of one call if they are more
 
 
 class _Generation:
@@ -26,7 +26,7 @@ class _Generation:
         n, total = len(self.index), self.ends[len(self.index)]
         ends = total + np.cumsum(sizes)
         if len(words) and ends[-1] > len(self.flat):
-            self.flat = np.concatenate((self.flat[:total], np.empty(int(2 * ends[-1] - total), np.uint32)))
+            self.flat = np.concatenate((self.flat[:total], np.empty(int(ends[-1] * 5 // 4 - total), np.uint32)))
         if n + len(words) >= len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros(n + len(words) + 1, np.int64)))
         self.flat[total : total + len(ids)] = ids
@@ -57,7 +57,7 @@ class HeldIds:
 
     def spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each of the distinct words begins in ``flat``, and its number of ids."""
-        if len(self.new.index) > self.limit:
+        if self.new.index and len(self.new.index) + len(words) > self.limit:
             self.new, self.old = _Generation(), self.new
         place = self._look_up(self.new, words)
         absent = np.flatnonzero(place < 0)

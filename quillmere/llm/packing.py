@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillmere.llm.tokens import END, default_tokenizer, word_ids
+from quillmere.llm.tokens import END, PIECE_BYTES, default_tokenizer, word_ids
 from quillmere.llm.words import pieces
 from quillmere.session import written
 
@@ -39,7 +39,7 @@ def cut_pieces(
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             ids, starts = word_ids(path).encode(batch.column("text"), end)
             sizes = np.diff(starts)
             count = -(-sizes // capacity)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillmere.llm.rans import Frequencies, encode_block, frequencies, read_block
-from quillmere.llm.tokens import END, default_tokenizer, word_ids
+from quillmere.llm.tokens import END, PIECE_BYTES, default_tokenizer, word_ids
 from quillmere.llm.words import once, pieces
 from quillmere.session import written
 
@@ -37,7 +37,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end: int = END) ->
     path = tokenizer or default_tokenizer()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             own = word_ids(path)
             ids, starts = own.encode(batch.column("text"), end)
             kind = _kind(own.size)

@@ -18,6 +18,7 @@ from quillmere.llm.words import once, split_words
 
 END = 1  # id appended to each document
 JOINT_WORDS = 512  # words sent in one text
+PIECE_BYTES = 4 << 20  # of texts encoded at once
 _PUNCTUATION = string.punctuation.replace("'", "")
 
 

@@ -64,7 +64,8 @@ def test_generations_of_held_ids():
     for words in (["a", "bb", "ccc"], ["a", "d", "e"], ["bb", "f"], ["a", "f"], ["ccc"], list("ghijk"), ["bb"], list("lmnop"), ["ccc"]):
         first, sizes = held.spans(words)
         assert ["".join(map(chr, held.flat[x : x + n])) for x, n in zip(first, sizes)] == words
-    assert asked == [["a", "bb", "ccc"], ["d", "e"], ["f"], list("ghijk"), list("lmnop"), ["ccc"]]
+    assert asked == [["a", "bb", "ccc"], ["d", "e"], ["bb", "f"], ["ccc"], list("ghijk"), ["bb"], list("lmnop"), ["ccc"]]
+    assert len(held.new.index) + len(held.old.index) <= 4 + 5
 
 
 @pytest.mark.parametrize(
