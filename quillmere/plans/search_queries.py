@@ -214,7 +214,7 @@ def answer_requests(spark, sf):
         "request_id", "cached", "r.answer", "r.num_sources", F.posexplode_outer("r.sources").alias("place", "source"))
     return sources.select(
         "request_id", "cached", "answer", "num_sources", (F.col("place") + 1).cast("long").alias("rank"),
-        # the vectors are stored as floats, the check's weights are not: they differ in the eighth digit
+        # the search divides by the length of the stored floats, the check does not: they differ in the eighth digit
         "source.vector_id", F.round("source.score", 4).alias("score"),
     )
 
