@@ -29,6 +29,11 @@ ANSWER = "Based on the provided context, "
 ANSWER_USING = " can be answered using the information about "
 NO_SOURCES = "I couldn't find relevant information to answer your question."
 UNCLEAR = "I need more specific information to provide a detailed answer."
+# Validation texts.
+EMPTY_QUERY = "Query cannot be empty"
+LONG_QUERY = "Query is too long"
+BAD_RESULTS = "max_results out of range"
+BAD_THRESHOLD = "similarity_threshold out of range"
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -41,10 +46,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     results = given("max_results", DEFAULT_RESULTS)
     threshold = given("similarity_threshold", DEFAULT_THRESHOLD)
     error = (
-        F.when((F.char_length(raw) < 1) | (strip(raw) == ""), F.lit("Query cannot be empty"))
-        .when(F.char_length(raw) > MAX_QUERY, F.lit("Query is too long"))
-        .when(~results.between(1, MAX_RESULTS), F.lit("max_results out of range"))
-        .when(~threshold.between(0.0, 1.0), F.lit("similarity_threshold out of range"))
+        F.when((F.char_length(raw) < 1) | (strip(raw) == ""), F.lit(EMPTY_QUERY))
+        .when(F.char_length(raw) > MAX_QUERY, F.lit(LONG_QUERY))
+        .when(~results.between(1, MAX_RESULTS), F.lit(BAD_RESULTS))
+        .when(~threshold.between(0.0, 1.0), F.lit(BAD_THRESHOLD))
     )
     return requests.withColumns(
         {

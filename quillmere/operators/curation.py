@@ -47,13 +47,19 @@ def ingestion_requests(curated: DataFrame, asset_key: str) -> DataFrame:
     )
 
 
+# Response texts.
+NO_INPUT = "Either file_url or file_content must be provided"
+TWO_INPUTS = "Only one of file_url or file_content should be provided"
+NO_URLS = "URL loading not yet implemented"
+
+
 def check_requests(requests: DataFrame) -> DataFrame:
     """Add error: exactly one of url and content, and urls cannot be loaded."""
     has_url = F.coalesce(F.col("file_url") != "", F.lit(False))
     has_content = F.coalesce(F.col("file_content") != "", F.lit(False))
     return requests.withColumn(
         "error",
-        F.when(~has_url & ~has_content, F.lit("Either file_url or file_content must be provided"))
-        .when(has_url & has_content, F.lit("Only one of file_url or file_content should be provided"))
-        .when(has_url, F.lit("URL loading not yet implemented")),
+        F.when(~has_url & ~has_content, F.lit(NO_INPUT))
+        .when(has_url & has_content, F.lit(TWO_INPUTS))
+        .when(has_url, F.lit(NO_URLS)),
     )

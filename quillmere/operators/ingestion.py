@@ -13,6 +13,11 @@ from quillmere.operators.embedding import embed
 from quillmere.sources.files import to_text
 
 
+# Response texts.
+FAILED = "Failed to ingest document: "
+PROCESSED = "Successfully processed document with "
+
+
 def request_chunks(
     requests: DataFrame,
     windows: Callable[[Column], Column] = packed_windows,
@@ -53,9 +58,9 @@ def ingestion_responses(requests: DataFrame, chunks: DataFrame) -> DataFrame:
         .when(F.col("process_immediately"), F.lit("completed"))
         .otherwise(F.lit("pending"))
         .alias("status"),
-        F.when(F.col("error").isNotNull(), F.concat(F.lit("Failed to ingest document: "), F.col("error")))
+        F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED), F.col("error")))
         .otherwise(
-            F.concat(F.lit("Successfully processed document with "), created.cast("string"), F.lit(" chunks"))
+            F.concat(F.lit(PROCESSED), created.cast("string"), F.lit(" chunks"))
         )
         .alias("message"),
         F.when(F.col("error").isNull(), created).otherwise(F.lit(0)).alias("chunks_created"),
