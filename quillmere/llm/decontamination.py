@@ -3,7 +3,8 @@
 Terms (lower-cased words without signs at their ends) are hashed, and runs of
 ``SHORTEST`` terms by a rolling hash.  Shared runs are the seeds that join
 documents and items.  Each such pair is tiled: the longest match of terms not
-yet marked is marked, again and again, down to ``SHORTEST``.  The share of an
+yet marked, found by rolling hashes of its length, is marked, again and again,
+down to ``SHORTEST``.  Pairs of places are never listed.  The share of an
 item's terms under tiles is its coverage, which does not depend on the order of
 its parts, so reordered passages count in full.
 
@@ -18,8 +19,6 @@ through ``drop_contaminated`` unread.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -48,38 +47,84 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed[words.codes[there]] if len(words.codes) else np.empty(0, np.uint64), starts
 
 
-def tiles(pairs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in the item, place in the text, length) from the places
-    (item, text) where runs of ``size`` terms agree.  Neighbouring agreements on
-    a diagonal are one match; the longest unmarked match is marked first, ties
-    by the lowest places; what is left of the others competes again."""
-    order = np.lexsort((pairs[:, 0], pairs[:, 1] - pairs[:, 0]))
-    i, j = pairs[order].T
-    breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
-    first = np.concatenate(([0], breaks))
-    length = np.diff(np.concatenate((first, [len(i)]))) + size - 1
-    queue = [(-n, a, b) for n, a, b in zip(length.tolist(), i[first].tolist(), j[first].tolist())]
-    heapq.heapify(queue)
-    in_item, in_text, made = set(), set(), []
-    while queue:
-        n, a, b = heapq.heappop(queue)
-        free = [a + k not in in_item and b + k not in in_text for k in range(-n)]
-        if all(free):
-            made.append((a, b, -n))
-            in_item.update(range(a, a - n))
-            in_text.update(range(b, b - n))
-            continue
-        k = 0
-        while k < len(free):
-            end = k
-            while end < len(free) and free[end]:
-                end += 1
-            if end - k >= size:
-                heapq.heappush(queue, (k - end, a + k, b + k))
-            k = max(end, k + 1)
+class _Rolling:
+    """Polynomial hashes of runs of any length, from sums up to each place."""
+
+    def __init__(self, row: np.ndarray):
+        with np.errstate(over="ignore"):
+            ones = np.ones(len(row) + 1, np.uint64)
+            up, down = ones.copy(), ones.copy()
+            up[1:], down[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+            self.shift = np.cumprod(down)
+            self.sums = np.concatenate((ones[:1] - ones[:1], np.cumsum(row * np.cumprod(up)[:-1], dtype=np.uint64)))
+
+    def runs(self, at: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[at + n] - self.sums[at]) * self.shift[at]
+
+
+def tiles(item: np.ndarray, text: np.ndarray, free: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Tiles (place in the item, place in the text, length) of two rows of
+    terms, of which ``free`` says what of the text may be marked.  The longest
+    unmarked match is marked first, ties by the lowest places.
+
+    Lengths only fall.  The next one is found by bisection: where a run of a
+    length agrees, so does one of each shorter length.  All tiles of one length
+    are marked in one pass, in which the places of a run in the text are gone
+    through once.  Memory is linear in the two rows, and there are fewer lengths
+    than the root of twice the item's terms, whatever repeats in them."""
+    room = np.ones(len(item), bool), free.copy()
+    rolling = [_Rolling(row) for row in (item, text)]
+    made: list[tuple[int, int, int]] = []
+
+    def runs(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, rolling hashes) of the unmarked runs of ``n`` terms of both rows."""
+        found = []
+        for row, left in zip(rolling, room):
+            marked = np.concatenate(([0], np.cumsum(~left)))
+            at = np.flatnonzero(marked[n:] == marked[:-n])
+            found.append((at, row.runs(at, n)))
+        return found
+
+    def agree(n: int) -> bool:
+        (_, a), (_, b) = runs(n)
+        return bool(np.isin(a, b).any())
+
+    high = min(len(item), len(text))
+    while high >= size and agree(size):
+        low = size
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if agree(middle) else (low, middle - 1)
+        (i, a), (j, b) = runs(low)
+        by = np.argsort(b, kind="stable")
+        j, b = j[by], b[by]
+        begins, ends = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right")
+        met, last = {}, 0  # how far the places of a run are gone through; where the last tile in the item ends
+        for k in np.flatnonzero(begins < ends).tolist():
+            place, at, end = int(i[k]), met.get(int(begins[k]), int(begins[k])), int(ends[k])
+            if place < last:
+                continue
+            while at < end and not (room[1][j[at]] and room[1][j[at] + low - 1]):
+                at += 1
+            if at < end and (item[place : place + low] == text[j[at] : j[at] + low]).all():
+                made.append((place, int(j[at]), low))
+                last = place + low
+                room[0][place:last] = False
+                room[1][j[at] : j[at] + low] = False
+            met[int(begins[k])] = at
+        high = low - 1
     return made
 
 
+def _under(at: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of ``n`` places lie under the runs of ``size`` that begin at ``at``."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.subtract.at(change, at + size, 1)
+    return np.cumsum(change[:-1]) > 0
+
+
 class Benchmark:
     """A block of items, as hashes."""
 
@@ -88,27 +133,47 @@ class Benchmark:
         self.ids = ids
         self.items = [hashed[a:b] for a, b in zip(starts, starts[1:])]
         self.sizes = sorted({min(SHORTEST, len(x)) for x in self.items if len(x)})
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        for size in self.sizes:
-            places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for k, item in enumerate(self.items):
-                if min(SHORTEST, len(item)) == size:
-                    for at, h in enumerate(windows(item, size, _BASE).tolist()):
-                        places[h].append((k, at))
-            self.seeds[size] = (np.array(sorted(places), np.uint64), dict(places))
-
-    def covered(self, text: np.ndarray, hits: list[tuple[int, int]], size: int) -> Iterator[tuple[int, float, int]]:
-        """(item, coverage, tiles) of the items seeded at ``hits``, a list of
-        (place in the text, seed)."""
-        pairs = defaultdict(list)
-        places = self.seeds[size][1]
-        for j, seed in hits:
-            for k, i in places[seed]:
-                if (text[j : j + size] == self.items[k][i : i + size]).all():
-                    pairs[k].append((i, j))
-        for k, some in pairs.items():
-            made = tiles(np.array(some), size)
-            yield k, sum(n for _, _, n in made) / len(self.items[k]), len(made)
+        self.seeds = {}
+        for size in self.sizes:  # distinct runs, where each one's items begin, and the items and places of all
+            own = [k for k, x in enumerate(self.items) if min(SHORTEST, len(x)) == size]
+            rolled = [windows(self.items[k], size, _BASE) for k in own]
+            item = np.repeat(np.array(own), [len(r) for r in rolled])
+            place = np.concatenate([np.arange(len(r)) for r in rolled])
+            run = np.concatenate(rolled)
+            by = np.lexsort((place, item, run))
+            runs, first = np.unique(run[by], return_index=True)
+            self.seeds[size] = runs, np.concatenate((first, [len(by)])), item[by], place[by]
+
+    def covered(self, text: np.ndarray, at: np.ndarray, seed: np.ndarray, size: int, least: float):
+        """(item, coverage, tiles) of the items seeded at the places ``at`` of
+        the text by the runs numbered ``seed`` whose coverage is ``least`` or
+        more.  Each item's places come from the distinct runs, however often
+        these are in the text; an item whose terms under them are too few is
+        left, as tiles cover no others."""
+        _, begins, items, places = self.seeds[size]
+        met = np.unique(seed)
+        count = begins[met + 1] - begins[met]
+        entry = np.repeat(begins[met] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        run = np.repeat(met, count)
+        by = np.argsort(items[entry], kind="stable")
+        entry, run = entry[by], run[by]
+        item = items[entry]
+        for some in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            k = int(item[some[0]])
+            n = len(self.items[k])
+            under = _under(places[entry[some]], n, size)
+            if np.count_nonzero(under) < least * n:
+                continue
+            # the stretches of the text that the item's runs cover, with a barrier between
+            free = np.flatnonzero(_under(at[np.isin(seed, run[some])], len(text), size))
+            gap = np.concatenate(([False], np.diff(free) > 1))
+            to = np.arange(len(free)) + np.cumsum(gap)
+            part, room = np.zeros(to[-1] + 1, np.uint64), np.zeros(to[-1] + 1, bool)
+            part[to], room[to] = text[free], True
+            made = tiles(self.items[k], part, room, size)
+            share = sum(length for _, _, length in made) / n
+            if share >= least:
+                yield k, share, len(made)
 
     def matches(self, texts: pa.Array, coverage: float) -> list[tuple[int, int, float, int]]:
         """(row, item id, coverage, tiles) of each document that holds an item."""
@@ -126,13 +191,12 @@ class Benchmark:
             row = np.searchsorted(starts, at, "right") - 1
             inside = at + size <= starts[row + 1]
             at, row = at[inside], row[inside]
+            number = np.searchsorted(seeds, rolled[at])
             for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(row)) + 1) if len(at) else ():
                 r = int(row[some[0]])
                 text = hashed[starts[r] : starts[r + 1]]
-                hits = list(zip((at[some] - starts[r]).tolist(), rolled[at[some]].tolist()))
-                for k, share, n in self.covered(text, hits, size):
-                    if share >= coverage:
-                        found.append((r, self.ids[k], share, n))
+                for k, share, n in self.covered(text, at[some] - starts[r], number[some], size, coverage):
+                    found.append((r, self.ids[k], share, n))
         return found
 
 
