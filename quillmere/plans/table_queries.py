@@ -15,6 +15,7 @@ from quillmere.plans.text_queries import window_chunks
 from quillmere.schemas import QUERY_LOGS
 from quillmere.session import shared_dir, written
 from quillmere.sources import collections, jdbc, rest
+from quillmere.sources.registry import read_source
 
 AS_OF = sn.AS_OF
 
@@ -565,6 +566,26 @@ def scan_collections(spark, sf):
     return found
 
 
+@query("""SELECT role AS collection, count(*) AS records, count(DISTINCT conv_id) AS conversations,
+  (SELECT count(*) FROM conversations) AS records_ingested, (SELECT 4 - count(DISTINCT role) FROM conversations) AS records_failed,
+  'completed' AS status, 'chat,batch_ingestion' AS tags FROM conversations GROUP BY role""")
+def land_collections(spark, sf):
+    """A source of four collections, of which one is absent, landed in the raw
+    zone in small files and read back with its summary and catalog row."""
+    export, root = shared_dir(spark, "exported"), shared_dir(spark, "lake")
+    rows, names = table(spark, sf, "conversations"), ("system", "user", "assistant")
+    for role in names:
+        rows.filter(F.col("role") == role).select(F.col("conv_id").alias("_id"), "turn", "text").write.json(f"{export}/{role}")
+    found = read_source(spark, "mongodb", {"root_path": export, "collections": [*names, "absent"]})
+    landed = lake.land(found.rows, root, "chat", datetime(2024, 1, 30, 12), batch_size=500, problems=found.problems)
+    summary = {k: F.lit(landed[k]).alias(k) for k in ("records_ingested", "records_failed", "status")}
+    back = lake.load(spark, root, "raw", landed["asset"].first().key, "parquet").groupBy("collection").agg(
+        F.count("*").alias("records"), F.countDistinct(F.get_json_object("data", "$._id")).alias("conversations")
+    )
+    tags = F.lit(",".join(lake.list_assets(lake.catalog(spark, root), zone="raw").first().tags)).alias("tags")
+    return back.select("*", *summary.values(), tags)
+
+
 @query("""SELECT 'customer' AS endpoint, c_custkey AS key, (row_number() OVER (ORDER BY c_custkey) - 1) // 500 + 1 AS page FROM customer
 UNION ALL SELECT 'supplier', s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) // 500 + 1 FROM supplier""")
 def scan_endpoints(spark, sf):

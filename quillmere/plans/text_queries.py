@@ -11,6 +11,7 @@ from quillmere.plans import snippets as sn
 from quillmere.plans.registry import entries, query, table, texts
 from quillmere.session import shared_dir, written
 from quillmere.sources import files
+from quillmere.sources.registry import read_source
 
 
 @query(f"SELECT doc_id, {sn.clean('text')} AS cleaned FROM documents")
@@ -312,3 +313,17 @@ def _file_sums(found, size):
     text = F.col("content").cast("string")
     lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     return found.groupBy("source").agg(F.sum(size).alias("bytes"), F.sum(lines).cast("long").alias("lines"))
+
+
+@query(f"""SELECT kind, s.* FROM (SELECT unnest(['s3', 'filesystem']) AS kind), ({_FILE_SUMS} GROUP BY source) s""")
+def read_sources(spark, sf):
+    """One folder as two kinds of source, through the configured entry point."""
+    path, found = _text_files(spark, sf), []
+    for kind, config, name, size in (
+        ("s3", {"bucket": path, "prefix": ""}, "key", "size"),
+        ("filesystem", {"root_path": path, "file_patterns": ["*.txt"]}, "file_path", "file_size"),
+    ):
+        rows = read_source(spark, kind, config).rows.filter(F.endswith(name, F.lit(".txt")))
+        rows = rows.withColumn("source", F.regexp_extract(name, "source=([^/]+)/", 1))
+        found.append(_file_sums(rows, size).select(F.lit(kind).alias("kind"), "source", "bytes", "lines"))
+    return found[0].unionByName(found[1])
