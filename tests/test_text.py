@@ -1,4 +1,6 @@
 import html
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,25 @@ def test_cache_key(spark):
 
     assert one(spark, sc.cache_key, "q") == "rag_query:" + hashlib.md5(b"q").hexdigest()
     assert one(spark, lambda c: sc.cache_key(c, F.lit(5)), "q") != one(spark, lambda c: sc.cache_key(c, F.lit(6)), "q")
+
+
+def test_markdown_of_long_lines_is_linear(spark):
+    """A line of 600,000 characters, and a comment of as many; the square of a line took minutes."""
+    line = "word " * 120_000
+    source = f"{line}\nTitle\n===\n{line}<!-- {line}-->end"
+    began = time.monotonic()
+    assert one(spark, tx.markdown_to_text, source) == f"{line}\nTitle\n{line}end"
+    assert time.monotonic() - began < 30
+
+
+def test_markdown_in_possessive_form_gives_the_rules_results(spark):
+    dice = random.Random(5)
+    signs = ["=", "-", "--", "\n", "\n", " ", "\t", "\r", "\x0b", "a", "b", ">", "#", "*", "+", "<!--", "-->", "<!", "<a ", ">", " "]
+    rows = [("".join(dice.choices(signs, k=dice.randrange(30))),) for _ in range(5000)]
+    text = ruled = F.col("t")
+    for pattern, kept in tx.MARKDOWN_RULES:
+        ruled = F.regexp_replace(ruled, pattern.replace("(?m)", "(?md)"), kept)
+    found = spark.createDataFrame(rows, "t string").select(
+        F.count_if(tx.markdown_to_text(text) != tx.strip(ruled)), F.count_if(tx.strip(ruled) != tx.strip(text)))
+    differing, changed = found.first()
+    assert differing == 0 and changed > 1000
