@@ -144,7 +144,7 @@ def store_of_two_writers(spark, sf):
     chunk_store.create(spark, loaded)
     handlers.apply_events(ev.parse(create), loaded, chunk_store.begin(spark, loaded, "load"), windows=word_windows)
     chunk_store.compact(spark, loaded, store)
-    union_sources([update, change, delete, broken]).coalesce(4).write.json(f"{root}/in")
+    union_sources([update, change, delete, broken]).write.json(f"{root}/in")
     for attempt in ("first", "again"):
         messages = ev.read_messages(spark, f"{root}/in")
         handlers.process(messages, store, f"{root}/dead", f"{root}/check-{attempt}", windows=word_windows).awaitTermination()

@@ -4,6 +4,7 @@ import pytest
 
 from quillmere.operators import chunk_store
 from quillmere.operators.chunking import word_windows
+from quillmere.plans.catalog import QUERIES
 from quillmere.schemas import MESSAGE, TOPICS
 from quillmere.session import Folder, shared_dir
 from quillmere.streaming import events as ev, handlers
@@ -224,3 +225,43 @@ def test_latest_events_end_and_ignore_repeats(spark, first):
     time.sleep(2)
     sent("b", first.filter("offset = 5"))
     assert step(1)[0] <= 3  # the others' time is over
+
+
+@pytest.mark.parametrize("name", ["store_of_two_writers", "retried_messages", "apply_event_stream"])
+def test_message_files_are_written_by_the_input_s_tasks(spark, tmp_path, monkeypatch, name):
+    """No query gathers its messages in a fixed number of tasks: here four, each with a share of the whole input."""
+    from pyspark.sql import DataFrameWriter
+
+    class Written(Exception):
+        pass
+
+    def look(self, path, *args, **kwargs):
+        raise Written(self._df.rdd.getNumPartitions())
+
+    base = str(tmp_path)
+    spark.range(400).selectExpr(
+        "id AS doc_id", "concat('word ', id) AS text", "element_at(array('en', 'de', 'fr'), int(id % 3) + 1) AS lang",
+        "'web' AS source", "8 AS n_chars").write.parquet(f"{base}/documents.parquet")
+    spark.range(0, 400, 5).selectExpr("id AS doc_id", "1 AS toxic").write.parquet(f"{base}/labels.parquet")
+    monkeypatch.setattr(DataFrameWriter, "json", look)
+    with pytest.raises(Written) as tasks:
+        QUERIES[name](spark, base)
+    assert tasks.value.args[0] >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_good_messages_are_kept_once(spark, first, tmp_path, monkeypatch):
+    kept, apply = [], handlers.apply_events
+
+    def look(parsed, *args, **kwargs):
+        kept.extend((r["value"] is None, r["reason"] is None) for r in parsed.collect())
+        return apply(parsed, *args, **kwargs)
+
+    monkeypatch.setattr(handlers, "apply_events", look)
+    first.coalesce(1).write.json(f"{tmp_path}/in")
+    chunk_store.create(spark, f"{tmp_path}/store")
+    handlers.process(
+        ev.read_messages(spark, f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/dead", f"{tmp_path}/check", windows=word_windows,
+    ).awaitTermination()
+    assert len(kept) == 14 and all(bare == good for bare, good in kept)
+    letters = handlers.dead_letter_table(spark, f"{tmp_path}/dead").collect()
+    assert len(letters) == 3 and all(r["value"] for r in letters)
