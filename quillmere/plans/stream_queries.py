@@ -163,7 +163,7 @@ def retried_messages(spark, sf):
     store, letters = f"{root}/store", f"{root}/dead"
     chunk_store.create(spark, store)
     create, *_, broken = event_log(spark, sf)
-    union_sources([create, broken]).coalesce(4).write.json(f"{root}/in")
+    union_sources([create, broken]).write.json(f"{root}/in")
     for _ in range(4):  # once more than there are attempts
         messages = ev.read_messages(spark, f"{root}/in")
         handlers.process(messages, store, letters, f"{root}/check", windows=word_windows).awaitTermination()

@@ -129,7 +129,10 @@ def process(
         # the query's id belongs to its checkpoint: a new checkpoint is a new writer
         writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         change = chunk_store.begin(spark, store, f"stream-{writer}", batch_id)
-        parsed = (wanted or (lambda rows: rows))(ev.parse(batch)).persist()
+        parsed = (wanted or (lambda rows: rows))(ev.parse(batch))
+        if encoder is None:  # only a message that failed is needed again: the others are kept once, not twice
+            parsed = parsed.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value")))
+        parsed = parsed.persist()
         try:
             letters = apply_events(parsed, store, change, windows, encoder)
             letters.write.mode("overwrite").parquet(change.folder(dead_letter_path, "letters"))
