@@ -123,7 +123,7 @@ def apply_event_stream(spark, sf):
     chunk_store.create(spark, store)
     create, update, change, delete, broken = event_log(spark, sf)
     for step in ([create, update], [change, delete, broken]):
-        union_sources(step).coalesce(4).write.mode("append").json(f"{root}/in")
+        union_sources(step).write.mode("append").json(f"{root}/in")
         messages = ev.read_messages(spark, f"{root}/in")
         handlers.process(messages, store, letters, checkpoint, windows=word_windows).awaitTermination()
     meta = F.col("metadata")
