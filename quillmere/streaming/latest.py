@@ -21,6 +21,7 @@ from quillmere.streaming import metrics
 from quillmere.streaming.handlers import event_rank
 
 SALTS = 8
+PARTS_PER_CORE = 2
 TTL_SECONDS = 7 * 24 * 3600
 ORDER = ("event_micros", "rank", "offset")
 _STATE = "event_micros long, rank int, offset long"
@@ -36,7 +37,7 @@ class _Latest(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = max(rows, key=lambda r: tuple(r[c] for c in ORDER))
         order = tuple(best[c] for c in ORDER)
-        known = self.last.get() if self.last.exists() else None
+        known = self.last.get()  # None if there is none
         if known is None or tuple(known) < order:
             self.last.update(order)
             yield Row(document_id=key[0], **{c: best[c] for c in (*ORDER, *self.columns)})
@@ -62,9 +63,13 @@ def latest_events(parsed: DataFrame, columns: Sequence[str], ttl_seconds: int =
 def run(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the changed rows of each micro-batch until the input ends.  The
     state lives in the store that can let it end; without new messages there
-    is no batch, or the clock would make them for ever."""
+    is no batch, or the clock would make them for ever.  Each batch opens and
+    commits every part of the state, whatever it brings: there are no more of
+    them than ``PARTS_PER_CORE`` for each core."""
     spark = latest.sparkSession
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
     wanted = {
+        "spark.sql.shuffle.partitions": str(min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))),
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",

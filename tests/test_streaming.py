@@ -7,7 +7,7 @@ from quillmere.operators.chunking import word_windows
 from quillmere.plans.catalog import QUERIES
 from quillmere.schemas import MESSAGE, TOPICS
 from quillmere.session import Folder, shared_dir
-from quillmere.streaming import events as ev, handlers
+from quillmere.streaming import events as ev, handlers, latest
 
 
 def message(topic, offset, minute, event_type, document_id, **body):
@@ -265,3 +265,20 @@ def test_good_messages_are_kept_once(spark, first, tmp_path, monkeypatch):
     assert len(kept) == 14 and all(bare == good for bare, good in kept)
     letters = handlers.dead_letter_table(spark, f"{tmp_path}/dead").collect()
     assert len(letters) == 3 and all(r["value"] for r in letters)
+
+
+def test_state_has_parts_by_cores(spark, first, tmp_path):
+    """Each part is opened and committed in every batch, also an empty one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        first.coalesce(1).write.json(f"{tmp_path}/in")
+        parsed = ev.parse(ev.read_messages(spark, f"{tmp_path}/in")).filter("reason is null")
+        latest.run(latest.latest_events(parsed, ["event_type"]), f"{tmp_path}/out", f"{tmp_path}/check")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [p for p in (tmp_path / "check" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == 2 * spark.sparkContext.defaultParallelism
+    found = latest.latest_of(spark.read.parquet(f"{tmp_path}/out")).collect()
+    assert {r["document_id"]: r["event_type"] for r in found}["c"] == "document_delete"
