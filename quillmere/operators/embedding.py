@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from quillmere.functions.text import WORD
 
 DIMENSION = 384
+COUNTED_CELLS = 1 << 19  # counts made at once
 
 
 def term_buckets(text: Column, dimension: int = DIMENSION) -> Column:
@@ -23,11 +24,15 @@ def term_buckets(text: Column, dimension: int = DIMENSION) -> Column:
 def hashed_encoder(dimension: int = DIMENSION) -> Callable[[Column], Column]:
     """Default encoder: hashed term counts scaled to unit length.
 
-    The JVM hashes; one vectorised count per Arrow batch makes the vectors.
+    The JVM hashes; one vectorised count per ``COUNTED_CELLS`` makes the vectors.
     """
+    step = max(1, COUNTED_CELLS // dimension)
 
     @F.arrow_udf("array<float>")
     def count(buckets: pa.Array) -> pa.Array:
+        return pa.concat_arrays([count_some(buckets.slice(at, step)) for at in range(0, max(len(buckets), 1), step)])
+
+    def count_some(buckets: pa.Array) -> pa.Array:
         sizes = pa.compute.list_value_length(buckets).fill_null(0).to_numpy(zero_copy_only=False)
         rows = len(sizes)
         flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

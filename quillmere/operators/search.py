@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from quillmere.session import shared_dir, written
 
 BLOCK_BYTES = 64 << 20  # question vectors held by one task
-HELD_BYTES = 64 << 20  # vectors held while the blocks go past
+HELD_BYTES = 64 << 20  # vectors held, as they are multiplied, while the blocks go past
+HELD_ROWS = 4096  # vectors made ready at once
 PUSHED_VALUES = 1000  # of a match column that are sent to the scan as a filter
 RANK_PARTS = 64  # of the hits of a question, ranked by themselves first
 TILE_CELLS = 1 << 21  # scores held at a time
@@ -150,6 +151,7 @@ def _scanner(asked: _Asked, filters: Sequence[str], probe: Callable | None, out:
         # checked here: a Spark filter on a computed vector would run its encoder a second time
         batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), width))
         matrix = _unit_rows(batch.column("embedding"))
+        batch = batch.select([name for name in batch.schema.names if name != "embedding"])
         finite = np.isfinite(matrix).all(axis=1)
         return (batch, matrix) if finite.all() else (batch.filter(pa.array(finite)), matrix[finite])
 
@@ -204,25 +206,28 @@ def _scanner(asked: _Asked, filters: Sequence[str], probe: Callable | None, out:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, None  # the last block is kept: one block is read once
 
-        def pass_blocks(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pass_blocks(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
             nonlocal at, block
             for width, blocks in asked.blocks:
-                held = [x for x in (usable_rows(b, width) for b in batches) if x[0].num_rows]
-                for path in [asked.path(width, k) for k in range(blocks if held else 0)]:
+                for path in [asked.path(width, k) for k in range(blocks if held[width] else 0)]:
                     if path != at:
                         at, block = path, _block(path)
                     if block is not None:
-                        yield from hits(held, block)
+                        yield from hits(held[width], block)
 
-        held, size = [], 0
+        none = lambda: {width: [] for width, _ in asked.blocks}
+        held, size = none(), 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= HELD_BYTES:
-                yield from pass_blocks(held)
-                held, size = [], 0
-        if held:
-            yield from pass_blocks(held)
+            for first in range(0, batch.num_rows, HELD_ROWS):
+                for width, _ in asked.blocks:
+                    rows, matrix = usable_rows(batch.slice(first, HELD_ROWS), width)
+                    if rows.num_rows:
+                        held[width].append((rows, matrix))
+                        size += rows.nbytes + matrix.nbytes
+                if size >= HELD_BYTES:
+                    yield from pass_blocks(held)
+                    held, size = none(), 0
+        yield from pass_blocks(held)
 
     return scan
 

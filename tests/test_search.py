@@ -267,3 +267,27 @@ def test_recall_of_the_registered_cells(spark):
     near = search.search_cells(questions, search.assign_cells(vectors, centers), centers, 10, nprobe=20)
     recall = near.select("question_id", "vector_id").intersect(exact).count() / exact.count()
     assert recall >= 0.9, recall
+
+
+def test_a_scan_makes_few_vectors_ready_at_once(spark, tmp_path, monkeypatch):
+    """What is held counts as it is multiplied, and a large batch is worked on in parts."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmere.operators import search
+
+    monkeypatch.setattr(search, "HELD_BYTES", 1 << 20)
+    width, rows = 64, 100_000
+    flat = pa.array(np.random.default_rng(1).random(width * rows, np.float32))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), flat)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(rows)]), vectors], names=["vector_id", "embedding"])
+    scan = search._scanner(search._Asked(str(tmp_path), [(width, 1)], 0, 1), [], None, pa.schema([]))
+    tracemalloc.start()
+    try:
+        assert list(scan(iter([batch]))) == []  # the block has no questions
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 << 20  # all as doubles are 51 MB
